@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words in every operator here: space and 0x09-0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -56,4 +57,9 @@ def hashed_fraction(df: DataFrame, key: Column, fraction: float, seed: str) -> D
 
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
-    return F.coalesce(F.size(F.split(F.regexp_replace(text, WORD_PATTERN, "x"), "x")) - 1, F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def plus(schema: T.StructType, ddl: str) -> T.StructType:
+    """A schema with further columns, given as DDL."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
