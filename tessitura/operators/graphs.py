@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.session import shared_table
+
 
 def symmetric_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, weight) of an undirected graph: both directions summed, loops once."""
@@ -66,22 +66,12 @@ def prune(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias("node")), "node", "left_semi")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, where the session names one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/tessitura/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def page_rank(edges: DataFrame, alpha: float = 0.85, iterations: int = 30) -> DataFrame:
-    """(node, rank) by power iteration; nodes without outgoing edges spread evenly. Lineage is cut every ten rounds."""
+    """(node, rank) by power iteration; nodes without outgoing edges spread evenly. A round reads the ranks twice,
+    so the lineage is cut every second round."""
     w = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    step = _checkpointed(w.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")))
-    nodes = _checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    step = shared_table(w.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")), "steps")
+    nodes = shared_table(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     n = nodes.count()
     rank = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     sinks = nodes.join(step.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(1.0))
@@ -89,14 +79,14 @@ def page_rank(edges: DataFrame, alpha: float = 0.85, iterations: int = 30) -> Da
         flow = step.join(rank, step["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         lost = rank.join(sinks, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         rank = nodes.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", (alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("rank"))
-        if i % 10 == 9:
-            rank = _checkpointed(rank)
+        if i % 2:
+            rank = shared_table(rank, "rank")
     return rank
 
 
-def link_rank_matrix(edges: DataFrame, alpha: float = 0.85, null_weight: float = 1.0) -> DataFrame:
+def link_rank_matrix(edges: DataFrame, alpha: float = 0.85, null_weight: float = 1.0, iterations: int = 30) -> DataFrame:
     """(i, j, link, value) on the edges: link = pi_i G_ij and value = link - gamma pi_i pi_j."""
-    rank = _checkpointed(page_rank(edges, alpha))
+    rank = shared_table(page_rank(edges, alpha, iterations), "rank")
     g = google_matrix(edges, alpha)
     both = g.join(rank.select(F.col("node").alias("i"), F.col("rank").alias("pi")), "i").join(rank.select(F.col("node").alias("j"), F.col("rank").alias("pj")), "j")
     link = F.col("pi") * F.col("value")

@@ -184,5 +184,5 @@ def knn_entropy(df: DataFrame, x: str, k: int = 3, base: float = 2) -> DataFrame
 
 def mean_digamma(df: DataFrame, x: str, radius: float) -> DataFrame:
     """Mean digamma of the number of rows within ``radius``, the row itself included: a range frame, no join."""
-    count = F.count("*").over(Window.orderBy(x).rangeBetween(-radius, radius))
+    count = F.expr(f"count(*) over (order by `{x}` range between {radius!r}D preceding and {radius!r}D following)")
     return df.select(digamma_int(count).alias("psi")).agg(F.avg("psi").alias("mean_digamma"))

@@ -11,6 +11,7 @@ from tessitura.operators import graphs as G
 from tessitura.operators import points as P
 from tessitura.operators import statistics as A
 from tessitura.plans.tables import EDGES, MULTI, SIG, TRAINS, nation_edges, r, seconds, signal, table, trains
+from tessitura.session import shared_table
 from tessitura.sources import generators as S
 
 QUERIES: dict = {}
@@ -227,13 +228,13 @@ def google_matrix(spark, d):
     "q_link_rank",
     f"""WITH RECURSIVE {EDGES}, st AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e), nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM nd),
     pr(it, node, rank) AS (SELECT 0, node, 1 / (SELECT n FROM n)::DOUBLE FROM nd UNION ALL (
-      SELECT p.it + 1, s.dst, 0.85::DOUBLE * sum(p.rank * s.share) + 0.15::DOUBLE / (SELECT n FROM n) FROM pr p JOIN st s ON s.src = p.node WHERE p.it < 30 GROUP BY p.it, s.dst)),
-    f AS (SELECT node, rank FROM pr WHERE it = 30)
+      SELECT p.it + 1, s.dst, 0.85::DOUBLE * sum(p.rank * s.share) + 0.15::DOUBLE / (SELECT n FROM n) FROM pr p JOIN st s ON s.src = p.node WHERE p.it < 12 GROUP BY p.it, s.dst)),
+    f AS (SELECT node, rank FROM pr WHERE it = 12)
     SELECT src AS i, dst AS j, round(a.rank * (0.85::DOUBLE * share + 0.15::DOUBLE / (SELECT n FROM n)), 8) AS link,
       round(a.rank * (0.85::DOUBLE * share + 0.15::DOUBLE / (SELECT n FROM n)) - a.rank * b.rank, 8) + 0.0 AS value FROM st JOIN f a ON a.node = src JOIN f b ON b.node = dst""",
 )
 def link_rank(spark, d):
-    return G.link_rank_matrix(nation_edges(spark, d)).select("i", "j", r("link", 8).alias("link"), r("value", 8).alias("value"))
+    return G.link_rank_matrix(shared_table(nation_edges(spark, d), "edges"), iterations=12).select("i", "j", r("link", 8).alias("link"), r("value", 8).alias("value"))
 
 
 @query("q_prune_graph", "SELECT DISTINCT c_custkey AS node FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -264,12 +265,12 @@ TS, FS = [i * 0.01 for i in range(31)], [300.0 * j for j in range(21)]
 STRF = "g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, i * 0.01::DOUBLE AS t, j * 300::DOUBLE AS f FROM range(31) a(i), range(21) b(j))"
 
 
-@query("q_onset_strf", f"WITH {STRF}, v AS (SELECT i, j, sin({TAU} * 10 * t) * exp(-(f - 3000) ** 2 / 500000) * exp(-(t - 0.15::DOUBLE) ** 2 / 0.125::DOUBLE) AS w FROM g) SELECT i, j, round(w / max(abs(w)) OVER (), 8) + 0.0 AS w FROM v")
+@query("q_onset_strf", f"WITH {STRF}, v AS (SELECT i, j, sin({TAU} * 10 * t) * exp(-((f - 3000) ** 2) / 500000) * exp(-((t - 0.15::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g) SELECT i, j, round(w / max(abs(w)) OVER (), 8) + 0.0 AS w FROM v")
 def onset_strf(spark, d):
     return S.onset_strf(spark, TS, FS).select("i", "j", r("w", 8).alias("w"))
 
 
-@query("q_checkerboard_strf", f"WITH {STRF}, v AS (SELECT i, j, cos({TAU} * 10 * t) * cos({TAU} * 1e-4 * f) * exp(-(f - 3000) ** 2 / 500000) * exp(-(t - 0.15::DOUBLE) ** 2 / 0.005::DOUBLE) AS w FROM g) SELECT i, j, round(w / max(abs(w)) OVER (), 8) + 0.0 AS w FROM v")
+@query("q_checkerboard_strf", f"WITH {STRF}, v AS (SELECT i, j, cos({TAU} * 10 * t) * cos({TAU} * 1e-4 * f) * exp(-((f - 3000) ** 2) / 500000) * exp(-((t - 0.15::DOUBLE) ** 2) / 0.005::DOUBLE) AS w FROM g) SELECT i, j, round(w / max(abs(w)) OVER (), 8) + 0.0 AS w FROM v")
 def checkerboard_strf(spark, d):
     return S.checkerboard_strf(spark, TS, FS, f_freq=1e-4).select("i", "j", r("w", 8).alias("w"))
 

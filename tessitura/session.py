@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -40,3 +41,14 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(PACKAGE.parent))
     context.addPyFile(path)
     context._tessitura_shipped = True
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` (a fresh folder where that is unset, as in tests) and read it back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessitura_tables", None)
+    if not folder:
+        folder = spark._tessitura_tables = "file://" + tempfile.mkdtemp(prefix="tessitura-")
+    path = f"{folder.rstrip('/')}/tessitura/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
