@@ -1,6 +1,6 @@
 """All queries over the driver's tables, and their SQL."""
 
-from tessitura.plans import point_queries, signal_queries
+from tessitura.plans import array_queries, point_queries, signal_queries
 
-QUERIES = {**signal_queries.QUERIES, **point_queries.QUERIES}
+QUERIES = {**signal_queries.QUERIES, **point_queries.QUERIES, **array_queries.QUERIES}
 ORACLES = {**signal_queries.ORACLES, **point_queries.ORACLES}
