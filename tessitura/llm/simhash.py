@@ -6,8 +6,8 @@ linked like any other. Distinct fingerprints are the nodes, so copies never meet
 
 Links (``max_distance`` differing bits or fewer) come from two exact steps:
 
-1. Bits that differ in one place: fingerprints that agree outside one of 16 nibbles form groups of 16 at most, each
-   of which yields a star. Their components collapse the dense cubes that near copies of one text make.
+1. Bits that differ in one place: fingerprints that agree outside one run of 4 bits (fewer for smaller distances) form
+   groups of 16 at most, each of which yields a star. Their components collapse the dense cubes of near copies.
 2. Generalised pigeonhole for the whole distance: correlated bits are grouped into partitions, every fingerprint gets
    its own threshold per partition by dynamic programming on estimated candidate counts, with the thresholds' sum
    fixed so that no pair within the distance can escape; probes meet the partition index in an equi-join that
@@ -265,9 +265,11 @@ def _probe_batches(groups: list[list[int]], near: np.ndarray, n: int, distance:
     return run
 
 
-def _one_bit_edges(nodes: DataFrame) -> DataFrame:
-    """Stars over fingerprints that agree outside one nibble; a group has 16 members at most."""
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(~(15 << 4 * i) if i < 15 else (1 << 60) - 1)).alias("rest")) for i in range(16)])
+def _cube_edges(nodes: DataFrame, width: int) -> DataFrame:
+    """Stars over fingerprints that agree outside one run of ``width`` bits; a group has 2^width members at most."""
+    outside = [((1 << 64) - 1) & ~(((1 << width) - 1) << at) for at in range(0, 64, width)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in outside]
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(signed)])
     grouped = (
         nodes.select("fp", F.explode(keys).alias("k"))
         .groupBy("k.part", "k.rest")
@@ -290,7 +292,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
     labelled = nodes.select("fp", F.col("fp").alias("comp"))
     if n < 2 or distance < 1:
         return labelled
-    labelled = durable(_relabel(labelled, connected_components(_one_bit_edges(nodes))), "cubes")
+    labelled = durable(_relabel(labelled, connected_components(_cube_edges(nodes, min(distance, 4)))), "cubes")
     if distance == 1:
         return labelled
     both = _grid(nodes.mapInArrow(_cooccurrence, "k int, c long").groupBy("k").agg(F.sum("c")).collect(), 4096)
