@@ -108,6 +108,33 @@ def complex_pca(cov: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.n
     return values[order], vectors * (np.conj(lead) / np.abs(lead))
 
 
+def complex_transform(z: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores of complex rows on the components."""
+    return z @ vectors
+
+
+def complex_inverse(scores: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Rows from scores, by the conjugate transpose."""
+    return scores @ np.conj(vectors).T
+
+
+def demodulate(z: np.ndarray, over_space: bool = True, depth: int = 1) -> np.ndarray:
+    """Complex signals (channels, times) with the phases of their leading components taken out.
+
+    Over space the components are those of the channels' real and imaginary parts together; over time those of the two parts apart.
+    """
+    out = np.array(z, complex)
+    for _ in range(depth):
+        if over_space:
+            parts = np.concatenate([out.real, out.imag])
+            u, s, v = np.linalg.svd(parts - parts.mean(axis=1, keepdims=True), full_matrices=False)
+            lead = v[0] * s[0] + 1j * (v[1] * s[1] if len(v) > 1 else 0)
+        else:
+            lead = sum(f * np.linalg.svd(p - p.mean(axis=1, keepdims=True), full_matrices=False)[2][0] for f, p in ((1, out.real), (1j, out.imag)))
+        out = out * np.exp(-1j * np.angle(lead))[None]
+    return out
+
+
 def radial_fit(x: np.ndarray, y: np.ndarray, df: int = 3, folds: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(centers, widths, weights) of a radial basis: centers at percentiles, ridge strength by unshuffled cross-validation."""
     centers = np.percentile(x, [int((k + 1) * 100 / (df + 1)) for k in range(df)])

@@ -165,6 +165,20 @@ def multitaper_coherence(signals: DataFrame, rate: float = 1, size: int = 1024,
     return out.select("a", "b", "k", (F.col("k") * rate / size).alias("freq"), "re", "im", back(F.col("g")).alias("coherence"), back(F.col("g") - 2 * F.col("se")).alias("lower"), back(F.col("g") + 2 * F.col("se")).alias("upper"))
 
 
+def split_half_coherence(trials: DataFrame, rate: float, size: int, permutations: int = 5, seed: int = 0, nw: float = 3) -> DataFrame:
+    """(perm, k, freq, coherence) between the mean signals of two hash-drawn halves of the trials (trial, n, x), per permutation."""
+    perms = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
+    spread_ = trials.select("trial", "n", "x", perms.alias("perm"))
+    half = F.when(F.pmod(F.xxhash64(F.lit(seed), "perm", "trial"), F.lit(2)) == 0, "a").otherwise("b")
+    means = spread_.groupBy("perm", "n", half.alias("half")).agg(F.avg("x").alias("x"))
+    out = None
+    for i in range(permutations):
+        own = multitaper_coherence(means.filter(F.col("perm") == i).select(F.col("half").alias(KEY), "n", "x"), rate, size, 0.5, nw)
+        own = own.select(F.lit(i).alias("perm"), "k", "freq", "coherence")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def multitaper_power(signals: DataFrame, rate: float, size: int, nw: float = 3) -> DataFrame:
     """(signal_id, k, freq, power, std): multitaper power of chunks without overlap, mean and sample deviation over them."""
     spectra = taper_spectra(chunk(signals, size, 0.0), size, nw)

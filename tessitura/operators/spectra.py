@@ -85,3 +85,19 @@ def spec_stats(spec: DataFrame) -> DataFrame:
     run = F.sum("p").over(whole.orderBy("f").rowsBetween(Window.unboundedPreceding, 0))
     q = [F.coalesce(F.max(F.when(F.col("run") <= s, F.col("f"))), F.lit(0.0)).alias(f"q{i}") for i, s in ((1, 0.25), (2, 0.5), (3, 0.75))]
     return p.select("t", "f", "p", run.alias("run")).groupBy("t").agg(F.sum(F.col("p") * F.col("f")).alias("mean_freq"), *q)
+
+
+def strf_correlation(first: DataFrame, second: DataFrame, times: int, freqs: int, max_delay: int = 10) -> DataFrame:
+    """(delay, roll, corr): the normalised product of two (i, j, w) kernels of largest size over time shifts and circular frequency rolls.
+
+    Shifts and rolls explode on the first kernel only and meet the second in an equi-join; ties go to the first shift, then roll.
+    """
+    moves = F.explode(F.sequence(F.lit(-max_delay), F.lit(max_delay)))
+    moved = first.select("i", "j", "w", moves.alias("delay")).select("*", F.explode(F.sequence(F.lit(0), F.lit(freqs - 1))).alias("roll"))
+    moved = moved.select((F.col("i") + F.col("delay")).alias("i"), F.pmod(F.col("j") + F.col("roll"), F.lit(freqs)).alias("j"), F.col("w").alias("a"), "delay", "roll")
+    met = moved.filter((F.col("i") >= 0) & (F.col("i") < times)).join(second.select("i", "j", F.col("w").alias("b")), ["i", "j"])
+    sums = met.groupBy("delay", "roll").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    norms = first.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("na")).crossJoin(second.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nb")))
+    scored = sums.crossJoin(F.broadcast(norms)).select("delay", "roll", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("corr"))
+    best = F.max_by(F.struct("delay", "roll", "corr"), F.struct(F.abs(F.round("corr", 9)), -F.col("delay"), -F.col("roll"))).alias("m")
+    return scored.agg(best).select("m.delay", "m.roll", "m.corr")

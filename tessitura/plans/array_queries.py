@@ -119,6 +119,12 @@ def surrogates(spark, d):
     return A.spread(_arrays(spark, d).select("signal_id", A.array_map(lambda v: K.surrogates(v, 3, 1).ravel()).alias("x")))
 
 
+@query
+def split_half_coherence(spark, d):
+    days = signal(spark, d, True).select(F.concat_ws("-", "signal_id", F.floor(F.col("n") / 240)).alias("trial"), (F.col("n") % 240).cast("int").alias("n"), "x")
+    return A.split_half_coherence(days, 24.0, 48, 2)
+
+
 def _cf(spark, d, a, b):
     return T.correlation_function(signal(spark, d, True), a, b, list(range(-24, 25)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessitura.functions.columns import EULER_GAMMA
 from tessitura.operators import graphs as G
 from tessitura.operators import points as P
+from tessitura.operators import spectra as T
 from tessitura.operators import statistics as A
 from tessitura.plans.tables import EDGES, MULTI, SIG, TRAINS, nation_edges, r, seconds, signal, table, trains
 from tessitura.session import shared_table
@@ -280,6 +281,24 @@ def sweep_strf(spark, d):
     return S.sweep_strf(spark, TS, FS, theta=0.5, f_c=3000.0).select("i", "j", r("w", 8).alias("w"))
 
 
+SHORT_T, SHORT_F = [i * 0.01 for i in range(16)], [300.0 * j for j in range(11)]
+
+
+@query(
+    "q_strf_correlation",
+    f"""WITH g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, i * 0.01::DOUBLE AS t, j * 300::DOUBLE AS f FROM range(16) a(i), range(11) b(j)),
+    o AS (SELECT i, j, sin({TAU} * 10 * t) * exp(-((f - 1500) ** 2) / 500000) * exp(-((t - 0.07::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g),
+    c AS (SELECT i, j, cos({TAU} * 10 * t) * cos({TAU} * 1e-4 * f) * exp(-((f - 1500) ** 2) / 500000) * exp(-((t - 0.08::DOUBLE) ** 2) / 0.005::DOUBLE) AS w FROM g),
+    s AS (SELECT delay, roll, sum(o.w * c.w) AS dot FROM range(-4, 5) d(delay), range(11) r(roll), o JOIN c ON c.i = o.i + delay AND c.j = (o.j + roll) % 11 GROUP BY 1, 2),
+    n AS (SELECT delay, roll, dot / (SELECT sqrt(sum(w * w)) FROM o) / (SELECT sqrt(sum(w * w)) FROM c) AS corr FROM s)
+    SELECT CAST(delay AS INTEGER) AS delay, CAST(roll AS INTEGER) AS roll, round(corr, 8) AS corr FROM n ORDER BY round(abs(corr), 9) DESC, delay, roll LIMIT 1""",
+)
+def strf_correlation(spark, d):
+    a = S.onset_strf(spark, SHORT_T, SHORT_F, t_c=0.07, f_c=1500.0)
+    b = S.checkerboard_strf(spark, SHORT_T, SHORT_F, f_freq=1e-4, t_c=0.08, f_c=1500.0)
+    return T.strf_correlation(a, b, 16, 11, 4).select("delay", "roll", r("corr", 8).alias("corr"))
+
+
 @query("q_simulate_poisson")
 def simulate_poisson(spark, d):
     rate = signal(spark, d).select("n", (F.col("x") / 2000).alias("rate"))

@@ -145,3 +145,14 @@ def test_wav_round_trip():
     assert rate == 8000 and np.abs(np.array(channels[0]) - np.trunc(LOW / np.abs(LOW).max() * 32767)).max() == 0
     with pytest.raises(ValueError):
         wav.parse_wav(b"nothing")
+
+
+def test_complex_components_invert_and_demodulation_stills_phase():
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(300, 3)) + 1j * rng.normal(size=(300, 3))
+    values, vectors = L.complex_pca(np.conj(z.T @ np.conj(z)) / 300)
+    assert np.allclose(L.complex_inverse(L.complex_transform(z, vectors), vectors), z)
+    assert (np.diff(np.abs(values)) <= 1e-12).all()
+    wave = np.exp(2j * np.pi * 5 * T)
+    out = L.demodulate(np.array([wave, 0.5 * wave]))
+    assert np.abs(np.diff(np.unwrap(np.angle(out[0])))).max() < 0.01
