@@ -48,7 +48,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     key = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    # coalesce, as a join on a null-safe equality alone would do, but with a key that skew handling can split
+    # one row a source, read back with its size known, so Spark broadcasts it by its own threshold or sorts and splits skew
     joined = sized.join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
     return joined.select(*keep, "size", "source_size", "target", copies.cast("long").alias("copies"))
 
