@@ -325,11 +325,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
 
 
 def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id; of rows that share it, one."""
+    """One document of each near-duplicate group: the one with the smallest doc_id; of rows that share it, one.
+
+    The survivors' ids grow with the input, so they meet the texts in a sort-merge join at every size, never by broadcast.
+    """
     found = durable(near_duplicates(docs, words, distance), "near")
     survivors = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = durable(survivors.groupBy("doc_id").agg(F.count("*").alias("copies")), "survivors")
-    once = docs.join(ids.filter("copies = 1").select(F.col("doc_id").alias("keep_id")), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    once = docs.join(ids.filter("copies = 1").select(F.col("doc_id").alias("keep_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
     repeated = ids.filter("copies > 1").select(F.col("doc_id").alias("keep_id"))
     if repeated.isEmpty():
         return once
