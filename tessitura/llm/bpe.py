@@ -30,7 +30,7 @@ from tessitura.llm.common import DOCUMENT_COLUMNS, plus, table
 #: Pre-token pattern of byte-level BPE vocabularies of this kind (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Words longer than this are merged with a heap instead of a scan for the lowest rank.
 LONG_WORD = 200
 NO_MERGE = 1 << 60

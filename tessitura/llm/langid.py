@@ -30,7 +30,7 @@ SMOOTH = 0.5
 #: Weight of one place of an unknown word against a whole known word.
 GRAM_WEIGHT = 0.5
 UNDETERMINED = "und"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 _RUNS = regex.compile(r"\p{L}[\p{L}\p{M}]*")

@@ -39,7 +39,7 @@ STATE_SHARE = 1e-4
 ARC_SHARE = 2e-6
 #: Discount of bigrams, and of words where none was seen twice.
 DISCOUNT = 0.75
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: The end of a text, which is also the history that every text starts from. No word is empty.
 END = b""
 
