@@ -305,7 +305,9 @@ def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
     left = rows.filter("probe").select("key", F.col("fp").alias("fp_a"), F.col("comp").alias("u"))
     right = rows.filter("not probe").select("key", F.col("fp").alias("fp_b"), F.col("comp").alias("v"))
     apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    pairs = left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("u") != F.col("v")) & (apart <= distance))
+    # every fingerprint's own probes find all that is near it, so of two fingerprints only the smaller one's need count
+    near_by = (F.col("fp_a") < F.col("fp_b")) & (F.col("u") != F.col("v")) & (apart <= distance)
+    pairs = left.hint("merge").join(right, (left["key"] == right["key"]) & near_by)
     return durable(_relabel(labelled, connected_components(pairs.select("u", "v"))), "linked")
 
 

@@ -255,7 +255,7 @@ def test_pipeline_stages(spark):
     want = {r["doc_id"] for r in first.collect() if net.score([(r["text"] or "").encode()])[0] >= 0.3}
     assert {r["doc_id"] for r in after.collect()} == want
     first, after = kept["near_duplicates"]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(first).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(first, distance=corpus_pipeline.NEAR_BITS).collect()}
     assert {r["doc_id"] for r in after.collect()} == set(groups.values())
     assert kept["tokens"][1].count() == kept["mixture"][1].count() and kept["language"][1].count() > 0
     assert kept["tokens"][1].filter("size(ids) <> n_tokens").count() == 0

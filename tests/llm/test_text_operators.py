@@ -92,7 +92,7 @@ def test_simhash_edge_cases(spark, edges):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 7, 8, 9, 10] and kept.columns == edges.columns
 
 
-@pytest.mark.parametrize("distance", [1, 2, 4])
+@pytest.mark.parametrize("distance", [1, 2, 4, 6])
 def test_links_of_dense_fingerprints(spark, distance):
     rng = np.random.default_rng(distance)
     centers = rng.integers(0, 1 << 63, 6)
