@@ -228,8 +228,9 @@ def google_matrix(spark, d):
 @query(
     "q_link_rank",
     f"""WITH RECURSIVE {EDGES}, st AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e), nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM nd),
+    st2 AS (SELECT src, dst, share FROM st UNION ALL SELECT k.node, nd.node, 1 / (SELECT n FROM n)::DOUBLE FROM nd k, nd WHERE k.node NOT IN (SELECT src FROM e)),
     pr(it, node, rank) AS (SELECT 0, node, 1 / (SELECT n FROM n)::DOUBLE FROM nd UNION ALL (
-      SELECT p.it + 1, s.dst, 0.85::DOUBLE * sum(p.rank * s.share) + 0.15::DOUBLE / (SELECT n FROM n) FROM pr p JOIN st s ON s.src = p.node WHERE p.it < 12 GROUP BY p.it, s.dst)),
+      SELECT p.it + 1, s.dst, 0.85::DOUBLE * sum(p.rank * s.share) + 0.15::DOUBLE / (SELECT n FROM n) FROM pr p JOIN st2 s ON s.src = p.node WHERE p.it < 12 GROUP BY p.it, s.dst)),
     f AS (SELECT node, rank FROM pr WHERE it = 12)
     SELECT src AS i, dst AS j, round(a.rank * (0.85::DOUBLE * share + 0.15::DOUBLE / (SELECT n FROM n)), 8) AS link,
       round(a.rank * (0.85::DOUBLE * share + 0.15::DOUBLE / (SELECT n FROM n)) - a.rank * b.rank, 8) + 0.0 AS value FROM st JOIN f a ON a.node = src JOIN f b ON b.node = dst""",
