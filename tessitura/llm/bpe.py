@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import DOCUMENT_COLUMNS, plus, table
+from tessitura.llm.common import DOCUMENT_COLUMNS, plus, table, worker_state
 
 #: Pre-token pattern of byte-level BPE vocabularies of this kind (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -248,15 +248,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-_CODEC: dict[str, Codec] = {}
-
-
 def codec(key: str, spec_of) -> Codec:
     """The worker's codec for a vocabulary, built at its first use."""
-    if key not in _CODEC:
-        _CODEC.clear()
-        _CODEC[key] = Codec(spec_of())
-    return _CODEC[key]
+    return worker_state(key, lambda: Codec(spec_of()))
 
 
 def slices(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:

@@ -63,3 +63,14 @@ def word_count(text: Column) -> Column:
 def plus(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with further columns, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+_STATE: dict = {}
+
+
+def worker_state(key: str, build):
+    """What a Python worker keeps between tasks: one operator's state only, so stages don't add up in a reused worker."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.bpe import Memory
-from tessitura.llm.common import crc_fold, durable, hashed_fraction, plus, table
+from tessitura.llm.common import crc_fold, durable, hashed_fraction, plus, table, worker_state
 
 #: Expected number of labelled rows that training reads at most.
 TRAIN_ROWS = 5_000
@@ -163,13 +163,8 @@ class Scorer:
         return langs, scores
 
 
-_SCORER: list = [None, None]
-
-
 def _scorer(key: str, model_of) -> Scorer:
-    if _SCORER[0] != key:
-        _SCORER[:] = [key, Scorer(model_of())]
-    return _SCORER[1]
+    return worker_state(key, lambda: Scorer(model_of()))
 
 
 def _slices(texts: list, most: int = 2_000_000) -> Iterator[list]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.bpe import Memory
-from tessitura.llm.common import crc_fold, durable, table
+from tessitura.llm.common import crc_fold, durable, table, worker_state
 from tessitura.llm.simhash import LOWER
 
 COMMON_SHARE = 2e-6
@@ -132,9 +132,6 @@ class Automaton:
         return total
 
 
-_AUTOMATON: list = [None, None]
-
-
 class _Scorer:
     """An automaton and a memory of the tokens that a worker has met."""
 
@@ -175,9 +172,7 @@ class _Scorer:
 
 def _score_batches(key: str, automaton_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _AUTOMATON[0] != key:
-            _AUTOMATON[:] = [key, _Scorer(automaton_of())]
-        own = _AUTOMATON[1]
+        own = worker_state(key, lambda: _Scorer(automaton_of()))
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):

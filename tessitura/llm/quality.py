@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import DOCUMENT_COLUMNS, crc_fold, hashed_fraction, plus, table
+from tessitura.llm.common import DOCUMENT_COLUMNS, crc_fold, hashed_fraction, plus, table, worker_state
 
 #: Expected number of labelled documents per class that training reads at most.
 TRAIN_PER_CLASS = 700
@@ -189,13 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, per_cl
     return train([r["text"].encode() for r in rows], [r["quality"] for r in rows])
 
 
-_NETWORK: list = [None, None]
-
-
 def _network(key: str, parameters_of) -> Network:
-    if _NETWORK[0] != key:
-        _NETWORK[:] = [key, Network(parameters_of())]
-    return _NETWORK[1]
+    return worker_state(key, lambda: Network(parameters_of()))
 
 
 def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
