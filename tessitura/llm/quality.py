@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tessitura.llm.common import DOCUMENT_COLUMNS, crc_fold, hashed_fraction, plus, table, worker_state
 
-#: Expected number of labelled documents per class that training reads at most.
+#: Expected number of labelled documents per class that training reads at most, and the longest text among them.
 TRAIN_PER_CLASS = 700
+TRAIN_CHARS = 1_000_000
 EMBED, FILTERS, CHUNK_FILTERS = 8, 16, 8
 ECHO = 32
 BLOCK = 64
@@ -77,21 +78,23 @@ class Network:
         }
         self.p = {k: v.astype(np.float32) for k, v in (parameters or start).items()}
 
-    def activations(self, data: np.ndarray, echo: np.ndarray) -> np.ndarray:
-        """Filter outputs (before the rectifier) at every fourth byte; the last window of the whole run sees zeros."""
+    def activations(self, data: np.ndarray, echo: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Filter outputs (before the rectifier) at every fourth byte; behind a text's last block its windows see zeros."""
         cells = np.empty((len(data), CHANNELS), np.float32)
         cells[:, :EMBED] = self.p["embed"][data]
         cells[:, EMBED] = echo
         cells = cells.reshape(-1, STEP * CHANNELS)
         half = STEP * CHANNELS
         out = cells @ self.p["conv"][:half]
-        out[:-1] += cells[1:] @ self.p["conv"][half:]
+        after = cells[1:] @ self.p["conv"][half:]
+        after[starts[1:-1] * (BLOCK // STEP) - 1] = 0
+        out[:-1] += after
         return out + self.p["conv_bias"]
 
     def chunks(self, texts: list[bytes]):
         """(chunk filter outputs, means per chunk, windows' outputs, layout) of a list of texts."""
         data, echo, valid, starts = lay_out(texts)
-        raw = self.activations(data, echo)
+        raw = self.activations(data, echo, starts)
         per = BLOCK // STEP
         mask = np.arange(per)[None, :] < valid[:, None]
         active = (np.maximum(raw, 0).reshape(-1, per, FILTERS) * mask[:, :, None]).sum(axis=1)
@@ -137,7 +140,8 @@ class Network:
             d_raw = d_raw.reshape(-1, FILTERS)
             first = (rows[:, None] * BLOCK + STEP * np.arange(per)[None, :]).ravel()
             place = first[:, None] + np.arange(2 * STEP)[None, :]
-            inside = place < len(data)
+            ends = np.repeat(starts[1:], np.diff(starts))[rows] * BLOCK
+            inside = place < np.repeat(ends, per)[:, None]
             place = np.minimum(place, len(data) - 1)
             cells = np.concatenate([p["embed"][data[place]], echo[place][:, :, None]], axis=2) * inside[:, :, None]
             g["conv"] = cells.reshape(len(first), -1).T @ d_raw
@@ -177,15 +181,21 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> dict[s
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, per_class: int = TRAIN_PER_CLASS) -> dict[str, np.ndarray]:
-    """Parameters learned from labelled rows outside fold ``out``; a document with both labels counts as 0."""
+    """Parameters learned from labelled rows outside fold ``out``; a document with both labels counts as 0.
+
+    A doc_id that several texts share teaches by one of them, and texts over ``TRAIN_CHARS`` characters teach nothing, so
+    what reaches the driver is bounded: about 2 * ``per_class`` texts. Null ids, null or other labels are left out.
+    """
     known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_fold("doc_id", folds) != out))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picks = [hashed_fraction(known.filter(F.col("quality") == q), F.col("doc_id"), per_class / max(counts.get(q, 0), 1), "quality") for q in (0, 1)]
     # about 2 * per_class ids by construction, whatever the tables hold
     chosen = F.broadcast(picks[0].unionByName(picks[1]))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+    one = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "quality")).alias("one"))
+    rows = one.select("doc_id", "one.text", "one.quality").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"].encode() for r in rows], [r["quality"] for r in rows])
 
 
@@ -194,7 +204,11 @@ def _network(key: str, parameters_of) -> Network:
 
 
 def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns and score (0 to 1, higher is better) of every row; null text counts as empty."""
+    """``keep`` columns and score (0 to 1, higher is better) of every row; null text counts as empty.
+
+    Repeated rows are scored each, equal texts alike whatever lies beside them (to 6 decimals, so that the order of
+    float sums in a batch doesn't show). An empty table gives no rows; other columns don't matter.
+    """
     key, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(parameters)
     slim = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_quality_text"))
     schema = plus(slim.drop("_quality_text").schema, "score double")
@@ -211,7 +225,7 @@ def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray], keep: tupl
                     some, size = [], 0
             if some:
                 scores.append(net.score(some))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(np.concatenate(scores))], schema.names)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(np.round(np.concatenate(scores), 6))], schema.names)
 
     return slim.mapInArrow(run, schema)
 
