@@ -13,8 +13,9 @@ Links (``max_distance`` differing bits or fewer) come from two exact steps:
    fixed so that no pair within the distance can escape; probes meet the partition index in an equi-join that
    verifies the distance and skips pairs that are already known to be one component.
 
-The number of partitions follows from the number of fingerprints (more of them: wider partitions, more probes), so the
-candidate count stays near linear. Nothing is dropped at any size.
+Between the two, index keys meet their smallest fingerprint only, in a few rounds, so that dense groups are one component
+before the exact join, which then has few pairs left to emit. The number of partitions follows from the distance alone, so
+probes per fingerprint are the same at every size. Nothing is dropped at any size.
 """
 
 from __future__ import annotations
@@ -33,32 +34,48 @@ from tessitura.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SUB_BITS = 8
+#: Shingles that are unpacked to bits at a time.
+PIECE = 100_000
+#: Rounds in which index keys meet their smallest fingerprint only, before the exact join; they move no result.
+STAR_ROUNDS = 3
 #: Cost of comparing a candidate, in units of one probe row's shuffle and sort.
 CANDIDATE_COST = 0.05
+#: Cost of a threshold whose probes would be too many to list.
+UNLISTED = 1e30
 
 
-def shingle_hashes(text: bytes | None, words: int) -> list[int]:
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     """XXH64 (seed 42) of every shingle of ``words`` words, repeats included; fewer words make one shingle."""
     parts = (text or b"").translate(LOWER).split()
     if not parts:
-        return []
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return [digest(joined, 42)]
+        return np.array([digest(joined, 42)], "<u8")
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    del parts
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(parts) - words + 1].tolist()
-    return [digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+    starts = (ends - lengths)[: len(ends) - words + 1]
+    ends, out = ends[words - 1 :], np.empty(len(starts), "<u8")
+    for lo in range(0, len(out), PIECE):
+        some = zip(starts[lo : lo + PIECE].tolist(), ends[lo : lo + PIECE].tolist(), strict=True)
+        out[lo : lo + PIECE] = [digest(joined[a:b], 42) for a, b in some]
+    return out
 
 
-def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
-    """Fingerprints of consecutive runs of ``counts`` hashes; an empty run gives zero."""
-    out, sizes = np.zeros(len(counts), np.uint64), np.asarray(counts)
-    full = np.flatnonzero(sizes)
+def majority(runs: list[np.ndarray]) -> np.ndarray:
+    """One fingerprint for each run of hashes, a bit set if over half of the run sets it; an empty run gives zero."""
+    sizes = np.array([len(r) for r in runs], np.int64)
+    out, full = np.zeros(len(runs), np.uint64), np.flatnonzero(sizes)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        hashes, ends = np.concatenate([runs[i] for i in full]), np.cumsum(sizes[full])
+        ones = np.zeros((len(full), 64), np.int64)
+        for lo in range(0, len(hashes), PIECE):
+            some = hashes[lo : lo + PIECE]
+            bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first, last = np.searchsorted(ends, [lo, lo + len(some) - 1], "right")
+            starts = np.concatenate(([0], ends[first:last] - lo))
+            ones[first : last + 1] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         over = (2 * ones > sizes[full][:, None]).astype(np.uint8)
         out[full] = np.packbits(over, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
@@ -67,17 +84,14 @@ def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
 def _fingerprint_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(1).cast(pa.binary()), []
-            hashes: list[int] = []
-            counts: list[int] = []
-            for value in texts:
-                own = shingle_hashes(value.as_py(), words)
-                hashes += own
-                counts.append(len(own))
-                if len(hashes) > 100_000:
-                    found.append(_majority(hashes, counts))
-                    hashes, counts = [], []
-            found.append(_majority(hashes, counts))
+            found, some, size = [np.zeros(0, np.uint64)], [], 0
+            for value in batch.column(1).cast(pa.binary()):
+                some.append(shingle_hashes(value.as_py(), words))
+                size += len(some[-1])
+                if size > PIECE:
+                    found.append(majority(some))
+                    some, size = [], 0
+            found.append(majority(some))
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
 
     return run
@@ -129,17 +143,12 @@ def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
     return groups
 
 
-def choose_parts(n: int, distance: int) -> int:
-    """Number of partitions with the least cost for ``n`` fingerprints, taken as spread evenly."""
-
-    def cost(parts: int) -> float:
-        width, units = 64 / parts, [0] * parts
-        for i in range(distance + 1):
-            units[i % parts] += 1
-        probes = sum(sum(_choose(width, d) for d in range(t)) for t in units)
-        return probes * (1 + CANDIDATE_COST * n / 2**width)
+def parts_for(distance: int) -> int:
+    """Number of partitions, a matter of the distance alone, so probes per fingerprint don't grow with the input.
 
-    return min(range(2, 9), key=cost)
+    Half a partition per bit leaves most thresholds at one bit: 45 probes on 21-bit partitions for 4 bits.
+    """
+    return max(2, (distance + 2) // 2)
 
 
 def _choose(n: float, d: int) -> float:
@@ -210,6 +219,8 @@ def allocate(counts: list[np.ndarray], probes: list[np.ndarray], distance: int)
     for i in range(len(counts) - 1, -1, -1):
         out[:, i] = picks[i][np.arange(rows), left]
         left = left - out[:, i]
+    if rows and best[:, budget].max() >= UNLISTED:
+        raise ValueError(f"{len(counts)} partitions need too many probes for {distance} bits; take more of them")
     return out
 
 
@@ -225,8 +236,8 @@ def _probe_batches(groups: list[list[int]], near: np.ndarray, n: int, distance:
         cuts.append(np.array(cut))
         where.append(range(at, at + len(_subs(g))))
         at += len(_subs(g))
-    # a threshold whose probes were not listed costs more than any budget here, so the allocation leaves it out
-    tries = [np.array([c if i == 0 or c > cut[i - 1] else 1e12 for i, c in enumerate(cut)], float) for cut in cuts]
+    # a threshold whose probes were not listed costs more than any other, so the allocation leaves it out or raises
+    tries = [np.array([c if i == 0 or c > cut[i - 1] else UNLISTED for i, c in enumerate(cut)], float) for cut in cuts]
 
     def estimates(fps: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -285,7 +296,7 @@ def _relabel(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(step, F.col("comp") == F.col("old"), "left").select("fp", F.coalesce("new", "comp").alias("comp"))
 
 
-def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
+def link_fingerprints(fps: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
     """(fp, comp) per distinct non-null fp: comp is the smallest fingerprint (as a signed long) of its component."""
     nodes = durable(fps.select("fp").filter("fp is not null").distinct(), "fps")
     n = nodes.count()
@@ -296,7 +307,8 @@ def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
     if distance == 1:
         return labelled
     both = _grid(nodes.mapInArrow(_cooccurrence, "k int, c long").groupBy("k").agg(F.sum("c")).collect(), 4096)
-    groups = group_bits(both.reshape(64, 64), n, choose_parts(n, distance))
+    groups = group_bits(both.reshape(64, 64), n, parts or parts_for(distance))
+    labelled = _star_rounds(labelled, groups, distance)
     size = 256 * sum(len(_subs(g)) for g in groups)
     counts = nodes.mapInArrow(_sub_histograms(groups), "k int, c long").groupBy("k").agg(F.sum("c")).collect()
     near = distance_tables(_grid(counts, size).reshape(-1, 256), distance)
@@ -304,13 +316,43 @@ def link_fingerprints(fps: DataFrame, distance: int = 4) -> DataFrame:
     rows = durable(labelled.mapInArrow(_probe_batches(groups, near, n, distance), schema), "probes")
     left = rows.filter("probe").select("key", F.col("fp").alias("fp_a"), F.col("comp").alias("u"))
     right = rows.filter("not probe").select("key", F.col("fp").alias("fp_b"), F.col("comp").alias("v"))
-    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
     # every fingerprint's own probes find all that is near it, so of two fingerprints only the smaller one's need count
-    near_by = (F.col("fp_a") < F.col("fp_b")) & (F.col("u") != F.col("v")) & (apart <= distance)
+    near_by = (F.col("fp_a") < F.col("fp_b")) & (F.col("u") != F.col("v")) & (_apart("fp_a", "fp_b") <= distance)
     pairs = left.hint("merge").join(right, (left["key"] == right["key"]) & near_by)
     return durable(_relabel(labelled, connected_components(pairs.select("u", "v"))), "linked")
 
 
+def _apart(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _star_rounds(labelled: DataFrame, groups: list[list[int]], distance: int) -> DataFrame:
+    """``labelled`` with components merged along links to the centre of each index key, so that dense groups meet the
+    exact join as one component.
+
+    A key's centre is one fingerprint of its smallest component; in the next round the members that are still apart from
+    it have centres of their own. Rounds end when a round merges under one fingerprint in a thousand.
+    """
+    masks = [sum(1 << b for b in g) for g in groups]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
+    total = labelled.count()
+    apart = labelled.select("fp", "comp", F.explode(keys).alias("k")).select("fp", "comp", "k.part", "k.value")
+    for _ in range(STAR_ROUNDS):
+        # partial aggregates first, so a hot key costs its task one row from each other task
+        centres = apart.groupBy("part", "value").agg(F.min(F.struct("comp", "fp")).alias("centre"), F.max("comp").alias("most")).filter(F.col("centre.comp") != F.col("most"))
+        met = durable(apart.join(centres.select("part", "value", F.col("centre.comp").alias("v"), F.col("centre.fp").alias("to")), ["part", "value"]).filter("comp <> v"), "met")
+        links = met.filter(_apart("fp", "to") <= distance).select(F.col("comp").alias("u"), "v").distinct()
+        merged = connected_components(links)
+        moved = merged.count()
+        labelled = durable(_relabel(labelled, merged), "stars") if moved else labelled
+        if moved * 1000 < total:
+            break
+        left = met.filter(_apart("fp", "to") > distance).select("fp", "part", "value")
+        apart = left.hint("merge").join(labelled, "fp")
+    return labelled
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row: component_id is the smallest doc_id reachable over links, itself included.
 
@@ -326,22 +368,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col:
     return fps.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id; of rows that share it, one.
-
-    The survivors' ids grow with the input, so they meet the texts in a sort-merge join at every size, never by broadcast.
-    """
-    found = durable(near_duplicates(docs, words, distance), "near")
-    survivors = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = durable(survivors.groupBy("doc_id").agg(F.count("*").alias("copies")), "survivors")
-    once = docs.join(ids.filter("copies = 1").select(F.col("doc_id").alias("keep_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    repeated = ids.filter("copies > 1").select(F.col("doc_id").alias("keep_id"))
-    if repeated.isEmpty():
-        return once
-    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for all of ``documents``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -88,8 +88,6 @@ def test_simhash_edge_cases(spark, edges):
     _check_groups(rows, {e[0]: e[1] for e in EDGES if e[0] is not None})
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [5]
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
-    kept = simhash.keep_one(edges)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 7, 8, 9, 10] and kept.columns == edges.columns
 
 
 @pytest.mark.parametrize("distance", [1, 2, 4, 6])
@@ -110,6 +108,19 @@ def test_thresholds_keep_the_pigeonhole_promise(parts):
     assert (units.sum(axis=1) == 5).all() and (units >= 0).all()
 
 
+def test_thresholds_that_no_list_of_probes_holds_raise():
+    with pytest.raises(ValueError, match="too many probes"):
+        simhash.allocate([np.ones((3, 5))], [np.array([1.0, 10, 50, simhash.UNLISTED, simhash.UNLISTED])], 4)
+
+
+def test_fingerprints_of_long_texts_in_pieces(monkeypatch):
+    texts = [b"", b"a b", b" ".join(b"w%d" % (i % 37) for i in range(500)), b"x y z q", b" ".join(b"v%d" % i for i in range(300)), b""]
+    whole = simhash.majority([simhash.shingle_hashes(t, 4) for t in texts])
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    assert (simhash.majority([simhash.shingle_hashes(t, 4) for t in texts]) == whole).all()
+    assert [int(f) for f in whole] == [_fingerprint(t.decode()) for t in texts]
+
+
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3), (7, None), (200, 150)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
@@ -251,9 +262,52 @@ def test_quality_held_out_and_edges(spark, edges):
     assert quality.score_quality(edges.limit(0), quality.train([], [])).count() == 0
 
 
+def test_quality_of_a_text_does_not_depend_on_its_neighbours():
+    """Every length 0 to 200 (all residues of blocks and windows), alone and between other texts."""
+    rng = np.random.default_rng(3)
+    net = quality.Network()
+    texts = [rng.integers(1, 256, n).astype(np.uint8).tobytes() for n in range(201)]
+    alone = np.array([net.score([t])[0] for t in texts])
+    assert np.abs(net.score(texts) - alone).max() < 1e-6
+    order = rng.permutation(len(texts))
+    assert np.abs(net.score([texts[i] for i in order]) - alone[order]).max() < 1e-6
+
+
+def _naive_quality(p, text):
+    """The network by loops over positions: embed, echo, 8-byte filters at every 4th byte, chunks of two blocks, maximum."""
+    blocks = max(2, -(-len(text) // 64))
+    data = list(text) + [0] * (64 * blocks - len(text))
+    echo = [float(i >= 3 and any(i - lag >= 3 and text[i - 3 : i + 1] == text[i - lag - 3 : i - lag + 1] for lag in range(2, 33))) if i < len(text) else 0.0 for i in range(len(data))]
+    cells = [np.append(p["embed"][b], e) for b, e in zip(data, echo, strict=True)] + [np.zeros(9)] * 4
+    sums, sizes = [], []
+    for b in range(blocks):
+        at = [i for i in range(64 * b, 64 * b + 64, 4) if i < len(text)]
+        sums.append(sum((np.maximum(np.concatenate(cells[i : i + 8]) @ p["conv"] + p["conv_bias"], 0) for i in at), np.zeros(16)))
+        sizes.append(len(at))
+    chunks = [(sums[b] + sums[b + 1]) / max(sizes[b] + sizes[b + 1], 1) @ p["chunk"] + p["chunk_bias"] for b in range(blocks - 1)]
+    peak = np.maximum(np.max(chunks, axis=0), 0)
+    return 1 / (1 + math.exp(-(peak @ p["out"] + p["out_bias"][0])))
+
+
+def test_quality_equals_loops():
+    net = quality.Network()
+    net.p["conv_bias"][:] = np.linspace(-0.3, 0.3, 16)
+    texts = [b"", b"a", b"abc abc abc abc", b"some words | with | bars " * 9, bytes(range(256)) * 2, b"q" * 61, b"xyz " * 32, b"12345678" * 20]
+    for text, score in zip(texts, net.score(texts), strict=True):
+        assert abs(score - _naive_quality(net.p, text)) < 1e-5, text
+
+
+def test_quality_learns_from_repeated_ids_once(spark):
+    rows = [(1, "good " * 30), (1, "other " * 30), (2, "bad " * 30), (3, "x" * (quality.TRAIN_CHARS + 1)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 5)], "doc_id long, quality int")
+    one, two = quality.fit(docs, labels), quality.fit(docs.union(docs).repartition(3), labels)
+    assert all(np.array_equal(one[k], two[k]) for k in one)
+
+
 def test_quality_gradients_match_differences():
     net = quality.Network()
-    texts, y = [b"some words | with | bars " * 9, b"plain text of a kind " * 14, b""], np.array([0, 1, 1], np.float32)
+    texts, y = [b"some words | with | bars " * 9, b"plain text of a kind " * 14, b"", b"abcd" * 32], np.array([0, 1, 1, 0], np.float32)
     net.p = {k: v.astype(float) for k, v in net.p.items()}
     g = net.gradients(texts, y)
 
