@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessitura.llm import chat, gif, mixing, quality, registry, simhash, topk
+from tessitura.llm import chat, gif, langid, mixing, quality, registry, topk
 from tessitura.llm.common import DOCUMENT_COLUMNS
+from test_near import _groups
+from test_text_operators import EDGES, SCHEMA
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,6 +62,30 @@ def test_top_k_of_huge_components(spark):
     assert [r["vec_id"] for r in rows] == [2, 1, 1] and rows[0]["score"] == 1024 * int(1024e12) + 4 * 1024 * 1024
 
 
+def test_top_k_that_no_long_can_hold(spark):
+    df = spark.createDataFrame([(10, [1e18]), (1, [1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        topk.exact_top_k(df, F.col("vec_id") % 10 == 0, 3).collect()
+
+
+def test_top_k_skips_shards_of_clustered_vectors(spark):
+    """Tight clusters far apart: most shards and leaves can't reach the k-th score; a vector with thousands of copies."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 4)) * 30
+    rows = [(i, [float(x) for x in centres[i % 16] + rng.normal(size=4) * 0.01]) for i in range(3000)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(3000, 5000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counters = {}
+    got = {}
+    for r in topk.exact_top_k(df, F.col("vec_id") % 100 == 0, 5, 128, 16, counters).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    v = np.floor(1024 * np.array([x for _, x in rows])).astype(np.int64)
+    scores = v @ v[::100].T
+    for at, own in enumerate(range(0, 5000, 100)):
+        order = sorted((i for i in range(5000) if i != own), key=lambda i: (-scores[i, at], i))[:5]
+        assert got[own] == [(i, scores[i, at]) for i in order]
+    assert counters["searched"] < 0.8 * counters["pairs"] and counters["visited"] < counters["leaves"]
+
+
 def test_tree_boxes_are_tight_and_bounds_hold():
     rng = np.random.default_rng(1)
     p, q = rng.normal(size=(500, 6)), rng.normal(size=(9, 6))
@@ -254,8 +280,22 @@ def test_pipeline_stages(spark):
     net = quality.Network(quality.fit(first, labels))
     want = {r["doc_id"] for r in first.collect() if net.score([(r["text"] or "").encode()])[0] >= 0.3}
     assert {r["doc_id"] for r in after.collect()} == want
+    first, after = kept["language"]
+    pred = {r["doc_id"]: r["lang_pred"] for r in langid.identify(first, langid.fit_outside(first)).collect()}
+    assert {r["doc_id"] for r in after.collect()} == {i for i, lang in pred.items() if lang != "und"}
     first, after = kept["near_duplicates"]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(first, distance=corpus_pipeline.NEAR_BITS).collect()}
-    assert {r["doc_id"] for r in after.collect()} == set(groups.values())
+    assert {r["doc_id"] for r in after.collect()} == set(_groups({r["doc_id"]: r["text"] for r in first.collect()}).values())
     assert kept["tokens"][1].count() == kept["mixture"][1].count() and kept["language"][1].count() > 0
     assert kept["tokens"][1].filter("size(ids) <> n_tokens").count() == 0
+
+
+@pytest.mark.parametrize("rows", ["edges", "nulls", "none"])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, empty and long texts, repeated rows, other columns with clashing names; nothing at all."""
+    df = spark.createDataFrame(EDGES, SCHEMA)
+    df = {"edges": df, "nulls": df.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]), "none": df.limit(0)}[rows]
+    df.withColumn("ids", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (9, 0, 1), (None, 1, 0), (5, None, None), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(out) > 0) == (rows == "edges") and all(len(r["ids"]) == r["n_tokens"] for r in out)
+    assert {r["text"] for r in out} <= {e[1] for e in EDGES if e[1]}
