@@ -46,14 +46,21 @@ def xcorr_hist(first: DataFrame, second: DataFrame, duration: float, window: flo
     return grid.join(a, "bin", "left").join(b, "bin", "left").select("bin", (F.col("bin") / rate).alias("t"), (F.coalesce("a", F.lit(0)) * F.coalesce("b", F.lit(0)) / scale).alias("value"))
 
 
-def psth(trials: DataFrame, n_trials: int, duration: float, bin_size: float = 0.001, offset: float = 0.0) -> DataFrame:
-    """(bin, edge, rate): events per bin in kHz and per trial (trials without events count); offset <= t <= duration."""
-    bins = int(round((duration - offset) / bin_size))
+def psth(trials: DataFrame, n_trials: int | None, duration: float, bin_size: float = 0.001, offset: float = 0.0) -> DataFrame:
+    """(bin, edge, rate): events per bin in kHz and per trial (trials without events count); offset <= t <= duration.
+
+    Without ``n_trials`` the trials are those with an event or a row of null time.
+    There are ceil(duration / bin_size) bins from the offset on, so an offset leaves the last ones empty.
+    """
+    bins = math.ceil(duration / bin_size - 1e-9)
     place = F.floor((F.col("t") - offset) / bin_size).cast("int")
     kept = trials.filter((F.col("t") >= offset) & (F.col("t") <= duration)).select(place.alias("bin")).filter(F.col("bin") < bins)
     counts = kept.groupBy("bin").agg(F.count("*").alias("c"))
     grid = trials.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(counts, "bin", "left").select("bin", (offset + F.col("bin") * bin_size).alias("edge"), (F.coalesce("c", F.lit(0)) / (bin_size * 1000) / n_trials).alias("rate"))
+    full = grid.join(counts, "bin", "left")
+    if n_trials is None:  # one row, joined instead of collected
+        full = full.crossJoin(F.broadcast(trials.agg(F.count_distinct("train_id").alias("trials"))))
+    return full.select("bin", (offset + F.col("bin") * bin_size).alias("edge"), (F.coalesce("c", F.lit(0)) / (bin_size * 1000) / (F.lit(n_trials) if n_trials is not None else F.col("trials"))).alias("rate"))
 
 
 def spike_matrix(trains: DataFrame, bin_size: float, start: float, duration: float) -> DataFrame:
@@ -110,8 +117,13 @@ def causal_smooth(trains: DataFrame, duration: float, bin_size: float = 0.001, t
     return _spread(trains, duration, bin_size, [(o, w / total) for o, w in raw if w], True)
 
 
-def exp_conv(trains: DataFrame, duration: float, tau: float, bin_size: float, causal: bool = True, cut: float = 1e-6) -> DataFrame:
-    """Occupied bins convolved with exp(-|t| / tau), one- or two-sided; taps under ``cut`` are left out. Events at t <= 0 don't count."""
-    reach = min(int(duration / bin_size), int(-tau * math.log(cut) / bin_size) + 1)
+def exp_conv(trains: DataFrame, duration: float, tau: float, bin_size: float, causal: bool = True) -> DataFrame:
+    """Occupied bins convolved with exp(-|t| / tau), one- or two-sided, over 2 tau (whole bins of it) on a side.
+
+    Events at t <= 0 or t >= duration don't count; the window must be shorter than the series.
+    """
+    reach = 2 * int(tau / bin_size)
+    if 2 * reach + 1 >= int(duration / bin_size):
+        raise ValueError("the series is too short for this time constant")
     taps = [(o, math.exp(-abs(o) * bin_size / tau)) for o in range(0 if causal else -reach, reach + 1)]
-    return _spread(trains.filter((F.col("t") > 0) & (F.col("t") <= duration)), duration, bin_size, taps, False)
+    return _spread(trains.filter((F.col("t") > 0) & (F.col("t") < duration)), duration, bin_size, taps, False)

@@ -37,27 +37,35 @@ def correlation_function(signals: DataFrame, first: str, second: str, lags: list
 
 
 def quantify_correlogram(cf: DataFrame) -> DataFrame:
-    """Summary of a correlogram (lag, cf): peak, delay, width, mean, std, skew, anisotropy, halves, value at 0.
+    """Twelve figures of a correlogram (lag, cf): peak size and its delay, area under the size, mean, deviation and skew
+    of the lag, anisotropy (right less left area over the area off 0), mean lag and signed area of each half, value at 0.
 
-    Moments weigh lags by |cf|; the deviation is taken from the mean lag.
+    Lags are weighed by |cf|; areas are times the largest step between lags. The lags of one correlogram are few, so
+    their order is found in one task.
     """
-    size = F.abs("cf")
-    w = cf.select("lag", "cf", size.alias("w"))
-    total = w.agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("lag")).alias("first"), F.max("w").alias("top"), F.max_by("lag", F.struct("w", -F.col("lag"))).alias("delay"))
-    m = w.crossJoin(F.broadcast(total)).withColumn("mean", F.col("first") / F.col("total"))
+    stepped = cf.select("lag", "cf", F.abs("cf").alias("w"), (F.col("lag") - F.lag("lag").over(Window.orderBy("lag"))).alias("step"))
+    total = stepped.agg(
+        F.sum("w").alias("total"), F.sum(F.col("w") * F.col("lag")).alias("first"), F.max("w").alias("top"), F.max_by("lag", F.struct("w", -F.col("lag"))).alias("delay"), F.max("step").alias("dt")
+    )
+    m = stepped.crossJoin(F.broadcast(total)).withColumn("mean", F.col("first") / F.col("total"))
     off, p = F.col("lag") - F.col("mean"), F.col("w") / F.col("total")
-    left, right = F.sum(F.when(F.col("lag") < 0, F.col("w")).otherwise(0.0)), F.sum(F.when(F.col("lag") > 0, F.col("w")).otherwise(0.0))
+    side = {"left": F.col("lag") < 0, "right": F.col("lag") > 0}
+    area = {k: F.sum(F.when(v, F.col("w")).otherwise(0.0)) for k, v in side.items()}
+    centre = {k: F.sum(F.when(v, F.col("w") * F.col("lag"))) / F.nullif(area[k], F.lit(0.0)) for k, v in side.items()}
+    signed = {k: F.sum(F.when(v, F.col("cf")).otherwise(0.0)) * F.first("dt") for k, v in side.items()}
     sd = F.sqrt(F.sum(p * off * off))
     return m.agg(
         F.first("top").alias("peak"),
         F.first("delay").alias("delay"),
-        F.sum(F.when(F.col("w") >= F.col("top") / 2, 1).otherwise(0)).alias("width"),
+        (F.first("total") * F.first("dt")).alias("width"),
         F.first("mean").alias("mean_lag"),
         sd.alias("std_lag"),
         (F.sum(p * off * off * off) / F.pow(sd, F.lit(3.0))).alias("skew_lag"),
-        ((right - left) / (right + left)).alias("anisotropy"),
-        left.alias("left_sum"),
-        right.alias("right_sum"),
+        ((area["right"] - area["left"]) / F.nullif(area["right"] + area["left"], F.lit(0.0))).alias("anisotropy"),
+        centre["left"].alias("left_lag"),
+        centre["right"].alias("right_lag"),
+        signed["left"].alias("left_sum"),
+        signed["right"].alias("right_sum"),
         F.max(F.when(F.col("lag") == 0, F.col("cf"))).alias("cc0"),
     )
 

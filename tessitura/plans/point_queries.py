@@ -69,12 +69,15 @@ TRIALS = f"ev AS (SELECT user_id, (epoch_us(ts) - 1704067200000000) / CAST(10000
 
 @query("q_psth", f"WITH {TRIALS}, c AS (SELECT CAST(floor(t / 1800) AS INTEGER) AS bin, count(*) AS c FROM tr GROUP BY 1) SELECT CAST(g.b AS INTEGER) AS bin, g.b * 1800::DOUBLE AS edge, round(coalesce(c, 0) / 1800000::DOUBLE / (SELECT count(DISTINCT train_id) FROM tr) * 1e6, 8) AS rate FROM range(48) g(b) LEFT JOIN c ON c.bin = g.b")
 def psth(spark, d):
-    trials = _trials(spark, d)
-    n = trials.select("train_id").distinct().count()
-    out = P.psth(trials, n, float(DAY), 1800.0)
+    out = P.psth(_trials(spark, d), None, float(DAY), 1800.0)
     return out.select("bin", "edge", r(F.col("rate") * 1e6, 8).alias("rate"))
 
 
+@query("q_psth_offset", f"WITH {TRIALS}, c AS (SELECT CAST(floor((t - 3600) / 1800) AS INTEGER) AS bin, count(*) AS c FROM tr WHERE t >= 3600 AND t <= 80000 GROUP BY 1) SELECT CAST(g.b AS INTEGER) AS bin, 3600 + g.b * 1800::DOUBLE AS edge, round(coalesce(c, 0) / 1800000::DOUBLE / 40 * 1e6, 8) AS rate FROM range(45) g(b) LEFT JOIN c ON c.bin = g.b")
+def psth_offset(spark, d):
+    return P.psth(_trials(spark, d), 40, 80000.0, 1800.0, 3600.0).select("bin", "edge", r(F.col("rate") * 1e6, 8).alias("rate"))
+
+
 @query("q_spike_matrix", f"WITH {TRAINS} SELECT train_id, CAST(least(floor((t - {DAY}) / 3600), 239) AS INTEGER) AS bin, count(*) AS count FROM tr WHERE t >= {DAY} AND t < {11 * DAY} GROUP BY 1, 2")
 def spike_matrix(spark, d):
     return P.spike_matrix(trains(spark, d), 3600.0, float(DAY), 10.0 * DAY)
@@ -102,7 +105,7 @@ def causal_smooth(spark, d):
     return P.causal_smooth(trains(spark, d), float(SPAN), 3600.0, 7200.0, 14400.0).select("train_id", "bin", r("value").alias("value"))
 
 
-@query("q_exp_conv", _kernel("SELECT i AS o, exp(-abs(i) * 3600::DOUBLE / 7200) AS w FROM range(-28, 29) r(i)", False, "t > 0 AND t <= 2592000"))
+@query("q_exp_conv", _kernel("SELECT i AS o, exp(-abs(i) * 3600::DOUBLE / 7200) AS w FROM range(-4, 5) r(i)", False, "t > 0 AND t < 2592000"))
 def exp_conv(spark, d):
     return P.exp_conv(trains(spark, d), float(SPAN), 7200.0, 3600.0, causal=False).select("train_id", "bin", r("value").alias("value"))
 
@@ -267,7 +270,7 @@ TS, FS = [i * 0.01 for i in range(31)], [300.0 * j for j in range(21)]
 STRF = "g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, i * 0.01::DOUBLE AS t, j * 300::DOUBLE AS f FROM range(31) a(i), range(21) b(j))"
 
 
-@query("q_onset_strf", f"WITH {STRF}, v AS (SELECT i, j, sin({TAU} * 10 * t) * exp(-((f - 3000) ** 2) / 500000) * exp(-((t - 0.15::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g) SELECT i, j, round(w / max(abs(w)) OVER (), 8) + 0.0 AS w FROM v")
+@query("q_onset_strf", f"WITH {STRF}, v AS (SELECT i, j, sin({TAU} * 10 * (t - 0.15::DOUBLE)) * exp(-((f - 3000) ** 2) / 500000) * exp(-((t - 0.15::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g) SELECT i, j, round(w / max(abs(w)) OVER (), 8) + 0.0 AS w FROM v")
 def onset_strf(spark, d):
     return S.onset_strf(spark, TS, FS).select("i", "j", r("w", 8).alias("w"))
 
@@ -288,7 +291,7 @@ SHORT_T, SHORT_F = [i * 0.01 for i in range(16)], [300.0 * j for j in range(11)]
 @query(
     "q_strf_correlation",
     f"""WITH g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, i * 0.01::DOUBLE AS t, j * 300::DOUBLE AS f FROM range(16) a(i), range(11) b(j)),
-    o AS (SELECT i, j, sin({TAU} * 10 * t) * exp(-((f - 1500) ** 2) / 500000) * exp(-((t - 0.07::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g),
+    o AS (SELECT i, j, sin({TAU} * 10 * (t - 0.07::DOUBLE)) * exp(-((f - 1500) ** 2) / 500000) * exp(-((t - 0.07::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g),
     c AS (SELECT i, j, cos({TAU} * 10 * t) * cos({TAU} * 1e-4 * f) * exp(-((f - 1500) ** 2) / 500000) * exp(-((t - 0.08::DOUBLE) ** 2) / 0.005::DOUBLE) AS w FROM g),
     s AS (SELECT delay, roll, sum(o.w * c.w) AS dot FROM range(-4, 5) d(delay), range(11) r(roll), o JOIN c ON c.i = o.i + delay AND c.j = (o.j + roll) % 11 GROUP BY 1, 2),
     n AS (SELECT delay, roll, dot / (SELECT sqrt(sum(w * w)) FROM o) / (SELECT sqrt(sum(w * w)) FROM c) AS corr FROM s)

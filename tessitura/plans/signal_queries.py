@@ -379,12 +379,13 @@ def acf(spark, d):
 @query(
     "q_quantify_cf",
     ORACLES["q_xcorr"].replace("SELECT CAST(lag AS INTEGER) AS lag, round(sum", ", cf AS (SELECT lag, round(sum") + """), w AS (SELECT lag, cf, abs(cf) AS w FROM cf), t AS (SELECT *, sum(w) OVER () AS total, sum(w * lag) OVER () / sum(w) OVER () AS mean, max(w) OVER () AS top FROM w),
-    s AS (SELECT max(top) AS peak, CAST(arg_max(lag, w) AS INTEGER) AS delay, count(*) FILTER (w >= top / 2) AS width, max(mean) AS mean, sqrt(sum(w / total * (lag - mean) ** 2)) AS sd, sum(w / total * (lag - mean) ** 3) AS m3, sum(w) FILTER (lag < 0) AS l, sum(w) FILTER (lag > 0) AS r, max(cf) FILTER (lag = 0) AS cc0 FROM t)
-    SELECT round(peak, 6) AS peak, delay, width, round(mean, 6) AS mean_lag, round(sd, 6) AS std_lag, round(m3 / sd ** 3, 6) AS skew_lag, round((r - l) / (r + l), 6) AS anisotropy, round(l, 6) AS left_sum, round(r, 6) AS right_sum, round(cc0, 6) AS cc0 FROM s""",
+    s AS (SELECT max(top) AS peak, CAST(arg_max(lag, w) AS INTEGER) AS delay, sum(w) AS width, max(mean) AS mean, sqrt(sum(w / total * (lag - mean) ** 2)) AS sd, sum(w / total * (lag - mean) ** 3) AS m3, sum(w) FILTER (lag < 0) AS l, sum(w) FILTER (lag > 0) AS r,
+      sum(w * lag) FILTER (lag < 0) / sum(w) FILTER (lag < 0) AS ll, sum(w * lag) FILTER (lag > 0) / sum(w) FILTER (lag > 0) AS rl, sum(cf) FILTER (lag < 0) AS ls, sum(cf) FILTER (lag > 0) AS rs, max(cf) FILTER (lag = 0) AS cc0 FROM t)
+    SELECT round(peak, 6) AS peak, delay, round(width, 6) AS width, round(mean, 6) AS mean_lag, round(sd, 6) AS std_lag, round(m3 / sd ** 3, 6) AS skew_lag, round((r - l) / (r + l), 6) AS anisotropy, round(ll, 6) AS left_lag, round(rl, 6) AS right_lag, round(ls, 6) + 0.0 AS left_sum, round(rs, 6) + 0.0 AS right_sum, round(cc0, 6) AS cc0 FROM s""",
 )
 def quantify_cf(spark, d):
     out = A.quantify_correlogram(xcorr(spark, d))
-    return out.select(*[c if c in ("delay", "width") else r(c).alias(c) for c in out.columns])
+    return out.select(*[c if c == "delay" else r(c).alias(c) for c in out.columns])
 
 
 @query("q_plv", f"WITH {MULTI}, a AS (SELECT n, x AS a FROM sig WHERE signal_id = 'click'), b AS (SELECT n, x AS b FROM sig WHERE signal_id = 'view') SELECT round(sqrt(avg(cos((b - a) / 100)) ** 2 + avg(sin((b - a) / 100)) ** 2), 6) AS plv FROM a JOIN b USING (n)")

@@ -47,7 +47,7 @@ def onset_strf(spark, ts, fs, t_c=0.15, t_freq=10.0, t_phase=0.0, t_sigma=0.25,
     """(i, j, w): sine in time under Gaussians in time and frequency, largest size 1."""
     g = _grid(spark, ts, fs)
     t, f = F.col("t"), F.col("f")
-    return _peak_scaled(g, F.sin(2 * math.pi * t_freq * t + t_phase) * F.exp(-F.pow(f - f_c, F.lit(2.0)) / (2 * f_sigma**2)) * F.exp(-F.pow(t - t_c, F.lit(2.0)) / (2 * t_sigma**2)))
+    return _peak_scaled(g, F.sin(2 * math.pi * t_freq * (t - t_c) + t_phase) * F.exp(-F.pow(f - f_c, F.lit(2.0)) / (2 * f_sigma**2)) * F.exp(-F.pow(t - t_c, F.lit(2.0)) / (2 * t_sigma**2)))
 
 
 def checkerboard_strf(spark, ts, fs, t_freq=10.0, t_phase=0.0, f_freq=1e-6, f_phase=0.0, t_c=0.15, f_c=3000.0, t_sigma=0.05, f_sigma=500.0, harmonic=False) -> DataFrame:
