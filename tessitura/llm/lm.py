@@ -1,249 +1,304 @@
 """Language-model scoring: a weighted backoff automaton over words.
 
-Tokens are the lower-cased (A-Z) words of a text and one end. From the training documents come exact counts of all words
-and of the bigrams of frequent words. The automaton:
-
-* a state per history: the words (and the end, where every text starts) that make up ``STATE_SHARE`` of all tokens or
-  more, and the empty history;
-* arcs: bigrams of such words that make up ``ARC_SHARE`` of all tokens or more, with absolute discounting; an arc leads to
-  the state of its word;
-* failure arcs: from each history to the empty one, weighted so that the probabilities of a state sum to 1;
-* at the empty history every word of the corpus has its discounted share, and the mass that discounting frees is that of
-  one outcome that stands for all words never seen. The discount is estimated from the numbers of words seen once and
-  twice.
-
-A share bounds the number of entries above it (1 / share), so what is broadcast is bounded whatever the corpus. Words
-under ``COMMON_SHARE`` are never broadcast: each document emits its rare words, and these meet the full count table in an
-equi-join. Nothing is cut off: every word's own count is used.
+Tokens are the lower-cased (A-Z) words of a text and one end; the end is also what every text starts from. The automaton:
+
+* states: every history of up to ``order`` - 1 tokens in the texts learned from, and the empty history;
+* arcs: every n-gram of up to ``order`` tokens in them, from the state of its first tokens to that of its longest suffix
+  which is a state, with the probability (count + m * p) / (count of the history + m), p that of the n-gram without its first
+  token;
+* failure arcs: from every history to the one without its first token, with m / (count of the history + m), so that the
+  probabilities of a state sum to 1;
+* at the empty history every word has its discounted share, and the mass that discounting frees is that of one outcome
+  which stands for all words never seen. The discount is estimated from the numbers of words seen once and twice.
+
+Nothing is cut off: all arcs are kept, whatever their counts, and none is broadcast. Texts are cut into blocks of tokens; a
+block asks for each distinct n-gram of its own once, by 64-bit key, so that a frequent one costs a row for each block
+and no key is hot. The asked keys, with the block's counts of them in learned texts, are dealt over ranges of the key (a
+partitioned arc table), every range adds up the counts and answers its blocks, and the block traverses its texts with the
+part of the automaton that they can reach: left to right, each token's arc taken from the longest state that has it, and the
+failure arcs before it. All texts of a block are traversed at once, order by order.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.bpe import Memory
-from tessitura.llm.common import crc_fold, durable, table, worker_state
+from tessitura.llm.common import crc_fold, durable, forget, table, text_batches
 from tessitura.llm.simhash import LOWER
 
-COMMON_SHARE = 2e-6
-STATE_SHARE = 1e-4
-ARC_SHARE = 2e-6
-#: Discount of bigrams, and of words where none was seen twice.
+ORDER = 3
+#: Imaginary counts that a history spends on what its shorter history says (m above).
+STRENGTH = 4.0
+#: Discount of words where none was seen twice.
 DISCOUNT = 0.75
-CACHE_WORDS = 250_000
+#: Tokens after which a block is full (a longer text is a block of its own).
+BLOCK_TOKENS = 2_000_000
+#: Bytes of keys that a range aims at.
+RANGE_BYTES = 16_000_000
 #: The end of a text, which is also the history that every text starts from. No word is empty.
 END = b""
+BLOCK_SCHEMA = "block long, n long, ids array<long>, learn array<boolean>, sizes array<long>, words binary, tokens binary"
+ASK_SCHEMA = "part int, block long, keys binary, counts binary"
+ANSWER_SCHEMA = "block long, part int, counts binary, n long, v long, n1 long, n2 long"
+SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for value in batch.column(0).cast(pa.binary()):
-            counts.update(words_of(value.as_py()))
-            counts[END] += 1
-        if len(counts) > 1_000_000:
-            yield _counted(counts)
-            counts.clear()
-    yield _counted(counts)
+# --- packed arrays --------------------------------------------------------------------------------------------------
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+def pack_ints(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, each byte of them in a plane of its own, compressed."""
+    wide = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(wide[:, :width].T).tobytes())
 
 
-def _state_bigrams(states: dict[bytes, int]):
+def unpack_ints(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view("<u8")[:, 0]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys as the bytes of their steps."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + steps[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    width, first = data[0], np.frombuffer(data, "<u8", min(1, len(data) // 9), 1)
+    rest = np.frombuffer(data, np.uint8, offset=1 + 8 * len(first)).reshape(-1, width)
+    wide = np.zeros((len(rest), 8), np.uint8)
+    wide[:, :width] = rest
+    return np.cumsum(np.concatenate([first, wide.view("<u8")[:, 0]]), dtype=np.uint64)
+
+
+# --- blocks ---------------------------------------------------------------------------------------------------------
+
+
+class _Block:
+    """Texts as numbers of the block's words."""
+
+    def __init__(self):
+        self.seen = Memory()
+        self.end = self.seen[END]
+        self.tokens, self.ids, self.learn, self.sizes = array("i"), [], [], []
+
+    def add(self, doc_id: int | None, learn: bool, text: bytes | None) -> None:
+        before = len(self.tokens)
+        self.tokens.extend(map(self.seen.__getitem__, words_of(text)))
+        self.tokens.append(self.end)
+        self.ids.append(doc_id)
+        self.learn.append(learn)
+        self.sizes.append(len(self.tokens) - before)
+
+    def row(self, number: int) -> pa.RecordBatch:
+        tokens = np.frombuffer(self.tokens, np.int32)
+        words = np.array([xxhash.xxh64_intdigest(w, 42) for w in self.seen], "<u8")
+        # the commonest words get the smallest numbers, which pack well
+        order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        columns = [[number], [len(tokens)], [self.ids], [self.learn], [self.sizes], [np.append(words[order], words[self.end]).tobytes()], [pack_ints(place[tokens])]]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "n", "ids", "learn", "sizes", "words", "tokens"])
+
+
+def _block_batches(block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, get, end = len(states), states.get, states[END]
-        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
-            ids = [end]
-            for value in batch.column(0).cast(pa.binary()):
-                ids += [get(w, -1) for w in words_of(value.as_py())]
-                ids.append(end)
-            a = np.array(ids, np.int64)
-            both = (a[:-1] >= 0) & (a[1:] >= 0)
-            k, c = np.unique(a[:-1][both] * n + a[1:][both], return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            size += len(k)
-            if size > 2_000_000:
-                k, back = np.unique(np.concatenate(keys), return_inverse=True)
-                keys, counts, size = [k], [np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64)], 0
-        k, back = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(back, np.concatenate(counts), len(k)).astype(np.int64)
-        yield pa.record_batch([pa.array(k), pa.array(c)], ["k", "c"])
+            for doc_id, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                block.add(doc_id, learn, text.as_py())
+                if len(block.tokens) >= block_tokens:
+                    yield block.row(number)
+                    number, block = number + 1, _Block()
+        if block.ids:
+            yield block.row(number)
 
     return run
 
 
-class Automaton:
-    """States, arcs, failure arcs and the common words' own probabilities, as arrays of log10 weights."""
-
-    def __init__(self, common: dict[bytes, int], states: dict[bytes, int], bigrams: tuple[np.ndarray, np.ndarray], total: int, distinct: int, discount: float = DISCOUNT):
-        self.total, self.distinct, self.discount = total, distinct, discount
-        self.unseen = discount * distinct / total if total else 1.0
-        self.words = list(common)
-        counts = np.array(list(common.values()), float)
-        self.index = {w: i for i, w in enumerate(self.words)}
-        self.base = np.log10((counts + 1) / (total + distinct + 1))
-        self.own = np.log10((counts - discount) / max(total, 1))
-        self.state = np.array([states.get(w, -1) for w in self.words], np.int64)
-        self.n_states = len(states)
-        of_state = np.zeros(self.n_states)
-        own = np.zeros(self.n_states)
-        for w, s in states.items():
-            of_state[s], own[s] = counts[self.index[w]], self.own[self.index[w]]
-        keys, c = bigrams
-        order = np.argsort(keys)
-        self.keys, c = keys[order], np.maximum(c[order] - DISCOUNT, 0)
-        history, word = self.keys // max(self.n_states, 1), self.keys % max(self.n_states, 1)
-        held = np.bincount(history, c, self.n_states) if len(c) else np.zeros(self.n_states)
-        left = np.maximum(1 - held / np.maximum(of_state, 1), 1e-12)
-        self.failure = np.log10(left)
-        self.arcs = np.log10(c / of_state[history] + left[history] * 10 ** own[word]) if len(c) else np.zeros(0)
-
-    def walk(self, states: np.ndarray, own: np.ndarray) -> float:
-        """One traversal from the start state; states and own probabilities of the tokens, end included.
-
-        A token without an own probability here (0) is a rare word: only the failure arc that leads to it counts.
-        """
-        history = np.concatenate((states[-1:], states[:-1]))
-        inside = history >= 0
-        total = float(own.sum() + self.failure[history[inside]].sum())
-        if len(self.keys):
-            at = np.flatnonzero(inside & (states >= 0))
-            wanted = history[at] * self.n_states + states[at]
-            found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[found] == wanted
-            total += float((self.arcs[found[hit]] - own[at[hit]] - self.failure[history[at[hit]]]).sum())
-        return total
-
-
-class _Scorer:
-    """An automaton and a memory of the tokens that a worker has met."""
-
-    def __init__(self, automaton: Automaton):
-        self.a = automaton
-        self.clear()
-
-    def clear(self) -> None:
-        self.seen = Memory()
-        self.rare: list[bytes | None] = []
-        self.base, self.own, self.state = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        at = np.array([self.a.index.get(w, -1) for w in words], np.int64)
-        known = at >= 0
-        pick = np.maximum(at, 0)
-        for name, source, other in (("base", self.a.base, 0.0), ("own", self.a.own, 0.0), ("state", self.a.state, -1)):
-            new = np.where(known, source[pick], other) if len(source) else np.full(len(words), other)
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
-        self.state = self.state.astype(np.int64)
-        self.rare += [None if k else w for w, k in zip(words, known.tolist(), strict=True)]
-
-    def score(self, texts: list[bytes | None]):
-        if len(self.seen) > CACHE_WORDS:
-            self.clear()
-        get = self.seen.__getitem__
-        end = get(END)
-        cut = [[*map(get, words_of(t)), end] for t in texts]
-        if self.seen.new:
-            self.learn(self.seen.new)
-            self.seen.new = []
-        for numbers in cut:
-            at = np.array(numbers, np.int64)
-            rare = Counter(i for i in numbers if self.rare[i] is not None)
-            known = len(at) - sum(rare.values())
-            yield len(at), known, float(self.base[at].sum()), self.a.walk(self.state[at], self.own[at]), [(self.rare[i], n) for i, n in rare.items()]
-
-
-def _score_batches(key: str, automaton_of):
+def _mixed(state: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """Key of the n-gram that goes on from ``state`` with ``word``; the lowest two bits hold its order (4 as 0)."""
+    x = state * np.uint64(0x9E3779B97F4A7C15) ^ word
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return _tagged(x, order)
+
+
+def _tagged(keys: np.ndarray, order: int) -> np.ndarray:
+    return keys & ~np.uint64(3) | np.uint64(order & 3)
+
+
+def block_keys(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, (places, keys): the key of the n-gram that ends at each place; a text's places are its start, then
+    its tokens. The last word given is the end. Places with fewer tokens before them than the order asks have no key."""
+    n = len(tokens) + len(sizes)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    inner = np.ones(n, bool)
+    inner[starts] = False
+    own = np.full(n, words[-1])
+    own[inner] = words[tokens]
+    own = _tagged(own, 1)
+    depth = np.arange(n) - np.repeat(starts, sizes + 1)
+    state, out = own, []
+    for k in range(1, order + 1):
+        if k > 1:
+            state = np.concatenate([state[:1], _mixed(state[:-1], own[1:], k)])
+        at = np.flatnonzero(depth >= max(1, k - 1))
+        out.append((at, state[at]))
+    return out
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, each key's place among them)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.ones(len(ranked), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ranked[first], place
+
+
+def _open(words: bytes, tokens: bytes, sizes: list[int], order: int):
+    sizes = np.array(sizes, np.int64)
+    keyed = block_keys(np.frombuffer(words, "<u8"), unpack_ints(tokens).astype(np.int64), sizes, order)
+    distinct, place = _distinct(np.concatenate([k for _, k in keyed]))
+    return sizes, [at for at, _ in keyed], distinct, place
+
+
+def _ask_batches(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = worker_state(key, lambda: _Scorer(automaton_of()))
-        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                tokens, known, base, score, rare = [], [], [], [], []
-                for value in own.score([v.as_py() for v in some.column(1).cast(pa.binary())]):
-                    for out, v in zip((tokens, known, base, score, rare), value, strict=True):
-                        out.append(v)
-                words = [[w for w, _ in r] for r in rare]
-                times = [[n for _, n in r] for r in rare]
-                uids = np.arange(uid, uid + len(tokens))
-                uid += len(tokens)
+            for i in range(batch.num_rows):
+                block, learn, sizes, words, tokens = (batch.column(c)[i].as_py() for c in range(5))
+                sizes, places, distinct, place = _open(words, tokens, sizes, order)
+                learned = np.repeat(np.array(learn, bool), sizes + 1)
+                counts = np.bincount(place, np.concatenate([learned[at] for at in places]), len(distinct)).astype(np.int64)
+                ends = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange(1, 1 << bits, dtype=np.uint64)) if bits else np.zeros(0, np.int64)
+                edges = [0, *ends.tolist(), len(distinct)]
+                rows = [(part, a, b) for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
                 yield pa.record_batch(
-                    [pa.array(uids), some.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    ["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    [
+                        pa.array([p for p, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()),
+                        pa.array([pack_keys(distinct[a:b]) for _, a, b in rows], pa.binary()), pa.array([pack_ints(counts[a:b]) for _, a, b in rows], pa.binary()),
+                    ],
+                    ["part", "block", "keys", "counts"],
                 )
 
     return run
 
 
-def build(docs: DataFrame, common_share: float = COMMON_SHARE, state_share: float = STATE_SHARE, arc_share: float = ARC_SHARE) -> tuple[Automaton, DataFrame]:
-    """(automaton, table of all word counts) from the whole text of every row of ``docs`` (text)."""
-    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = durable(text.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    total, distinct = whole["n"] or 0, whole["v"]
-    common = {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") >= F.lit(common_share * total)).collect()}
-    common = dict(sorted(common.items(), key=lambda x: (-x[1], x[0])))
-    if END not in common and total:
-        common[END] = counts.filter(F.length("word") == 0).first()["c"]
-    states = {w: i for i, w in enumerate(w for w, c in common.items() if w == END or c >= state_share * total)}
-    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if states:
-        pairs = text.mapInArrow(_state_bigrams(states), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-        found = pairs.filter(F.col("c") >= F.lit(arc_share * total)).toPandas()
-        keys, times = found["k"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
-    discount = min(0.95, max(0.05, whole["n1"] / (whole["n1"] + 2 * whole["n2"]))) if whole["n2"] else DISCOUNT
-    return Automaton(common, states, (keys, times), total, distinct, discount), counts
-
-
-def score_texts(docs: DataFrame, automaton: Automaton, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
-
-    A null or empty text is the end alone. Repeated rows are scored each. With nothing to learn from, every token has
-    probability 1.
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums of all blocks' counts in one range of keys: to each block those of its keys, and one row about the words."""
+    keys = [unpack_keys(v.as_py()) for v in asked.column("keys")]
+    counts = np.concatenate([unpack_ints(v.as_py()) for v in asked.column("counts")])
+    distinct, place = _distinct(np.concatenate(keys))
+    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    words = total[(distinct & np.uint64(3)) == 1]
+    facts = [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
+    packed = [pack_ints(total[place[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    columns = [[*asked.column("block").to_pylist(), None], [*asked.column("part").to_pylist(), None], [*packed, None], *[[None] * len(keys) + [f] for f in facts]]
+    types = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "part", "counts", "n", "v", "n1", "n2"])
+
+
+class Model:
+    """What of the automaton isn't a count: order, strength, and the words' totals."""
+
+    def __init__(self, total: int, distinct: int, once: int, twice: int, order: int = ORDER, strength: float = STRENGTH):
+        self.total, self.distinct, self.order, self.strength = total, distinct, order, strength
+        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if twice else DISCOUNT
+        self.unseen = self.discount * distinct / total if total else 1.0
+
+    def traverse(self, sizes: np.ndarray, places: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of every token of texts of these sizes; ``counts`` has, by order, those of the n-grams that
+        end at ``places`` (a text's start, then its tokens).
+
+        From the word's own share on, each longer state either has an arc, whose weight blends in what the shorter one
+        says, or is left by its failure arc, which scales it; a state without a count isn't there and changes nothing.
+        """
+        n = int(sizes.sum()) + len(sizes)
+        ends = np.cumsum(sizes + 1) - 1
+        words = np.zeros(n)
+        words[places[0]] = counts[0]
+        p = np.where(words > 0, (words - self.discount) / max(self.total, 1), self.unseen)
+        history = words
+        # the start of a text is the end as a history: as many as there are texts
+        history[ends - sizes] = words[ends]
+        for at, own in zip(places[1:], counts[1:], strict=True):
+            before = history[at - 1]
+            p[at] = (own + self.strength * p[at]) / (before + self.strength)
+            history = np.zeros(n)
+            history[at] = own
+        return np.log10(p[places[0]])
+
+
+def _score_block(model: Model):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, sizes, words, tokens = (block.column(c)[0].as_py() for c in ("ids", "sizes", "words", "tokens"))
+        sizes, places, _, place = _open(words, tokens, sizes, model.order)
+        parts = answers.sort_by("part").column("counts")
+        counts = np.concatenate([unpack_ints(v.as_py()) for v in parts])[place].astype(float)
+        counts = np.split(counts, np.cumsum([len(at) for at in places])[:-1])
+        starts = np.cumsum(sizes) - sizes
+        base = np.log10((counts[0] + 1) / (model.total + model.distinct + 1))
+        score = model.traverse(sizes, places, counts)
+        sums = [np.add.reduceat(v, starts) for v in (counts[0] > 0, base, score)]
+        return pa.table(
+            [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+            ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    return run
+
+
+def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, the model learned from rows where ``learn`` is true.
+
+    A null or empty text is the end alone. Repeated rows are scored, and learned from, each; a null ``learn`` is false.
+    With nothing to learn from, every token has probability 1. An empty table gives no rows; other columns don't matter.
+    Orders up to 4 fit the keys.
     """
-    key, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(automaton)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
-    scored = durable(slim.mapInArrow(_score_batches(key, lambda: held.value), schema), "scored")
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    base = F.log10((F.col("c") + 1) / F.lit(float(automaton.total + automaton.distinct + 1)))
-    seen = F.log10((F.col("c") - F.lit(automaton.discount)) / F.lit(float(max(automaton.total, 1))))
-    own = F.when(F.col("c") > 0, seen).otherwise(F.lit(math.log10(automaton.unseen)))
-    sums = met.groupBy("uid").agg(
-        F.sum(base * F.col("times")).alias("rare_base"), F.sum(own * F.col("times")).alias("rare_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known")
-    )
-    joined = scored.drop("rare", "times").join(sums, "uid", "left")
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(automaton.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
-    )
+    if not 1 <= order <= 4:
+        raise ValueError("orders are 1 to 4")
+    text_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
+    blocks = durable(slim.mapInArrow(_block_batches(block_tokens), BLOCK_SCHEMA), "blocks")
+    tokens = blocks.agg(F.sum("n")).first()[0] or 0
+    # an n-gram's key takes about 6 bytes, and about as many are distinct in a block as it has tokens, for each two orders
+    bits = min(24, max(0, int(np.ceil(np.log2(max(1, tokens * order * 4 / range_bytes))))))
+    asked = blocks.select("block", "learn", "sizes", "words", "tokens").mapInArrow(_ask_batches(order, bits), ASK_SCHEMA)
+    answers = durable(asked.groupBy("part").applyInArrow(_answer, ANSWER_SCHEMA), "answers")
+    facts = answers.filter("block is null").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
+    model = Model(*[facts[c] or 0 for c in ("n", "v", "n1", "n2")], order, strength)
+    given = answers.filter("block is not null").select("block", "part", "counts")
+    scored = blocks.select("block", "ids", "sizes", "words", "tokens").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_score_block(model), SCORE_SCHEMA)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all of ``documents``; learned from the folds but 2 of 7."""
-    docs = table(spark, sf_dir, "documents")
-    scored = score_texts(docs, *build(docs.filter(crc_fold("doc_id", 7) != 2)))
+    scored = score_texts(table(spark, sf_dir, "documents"), crc_fold("doc_id", 7) != 2)
     return scored.select("doc_id", (crc_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
