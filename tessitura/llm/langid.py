@@ -1,29 +1,32 @@
 """Language identification: known words first, shorter and shorter character n-grams for the rest.
 
 Training counts, per language, the words and the character n-grams (1 to 4, with word edges marked) of a bounded,
-hash-chosen sample of labelled rows; the model keeps entries that make up at least ``min_share`` of a language's
-words (or of its n-grams of that length), so its size is bounded by languages / min_share whatever the corpus.
+hash-chosen sample of labelled rows. A word is known if the sample has it twice; one seen once counts through its n-grams,
+which are all kept. The sample's bounds, in rows and in characters of a row, bound the model whatever the corpus.
 A text's score per language sums log frequencies over all its words: a word that the model knows counts by its own
 frequency; another counts by its n-grams, each place by the longest one known.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.bpe import Memory
-from tessitura.llm.common import crc_fold, durable, hashed_fraction, plus, table, worker_state
+from tessitura.llm.common import crc_fold, hashed_fraction, plus, table, text_batches, worker_state
 
 #: Expected number of labelled rows that training reads at most.
 TRAIN_ROWS = 5_000
-MIN_SHARE = 1e-5
+#: Longest text among them, and how often a word must be in them to be known.
+TRAIN_CHARS = 200_000
+KNOWN_TIMES = 2
 LONGEST = 4
 #: Languages share this many imaginary counts of an entry that they lack.
 SMOOTH = 0.5
@@ -54,6 +57,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words.setdefault(lang, Counter()).update(text.split())
+        if sum(map(len, words.values())) > 500_000:
+            yield from _counted(words)
+            words = {}
+    yield from _counted(words)
+
+
+def _counted(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
     for lang, tokens in words.items():
         clean: Counter = Counter()
         for token, n in tokens.items():
@@ -69,33 +79,30 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "kind", "entry", "n"])
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE) -> dict:
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> dict:
     """The model, from (text, lang) of rows with both; {} languages if there are none."""
-    labelled = docs.filter("text is not null and lang is not null")
+    labelled = docs.filter("text is not null and lang is not null").filter(F.length("text") <= train_chars)
     total = labelled.count()
-    sample = hashed_fraction(labelled, F.col("doc_id"), train_rows / max(total, 1), "langid").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    sample = hashed_fraction(labelled, F.struct("doc_id", F.xxhash64("text")), train_rows / max(total, 1), "langid").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counted = sample.mapInArrow(_count_batches, "lang string, kind int, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
-    counted = durable(counted, "langid-counts")
-    whole = {(r["lang"], r["kind"]): r["n"] for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted({lang for lang, _ in whole})
-    least = F.lit(None).cast("double")
-    for (lang, kind), n in whole.items():
-        least = F.when((F.col("lang") == lang) & (F.col("kind") == kind), F.lit(min_share * n)).otherwise(least)
-    kept = counted.filter(F.col("n") >= least).collect() if whole else []
+    # at most the words and n-grams of the bounded sample
+    same = Window.partitionBy("entry", F.col("kind") > 0)
+    kept = counted.withColumn("of_all", F.sum("n").over(same)).filter((F.col("kind") > 0) | (F.col("of_all") >= KNOWN_TIMES)).select("lang", "kind", "entry", "n").toArrow()
+    names, kinds, keys, times = kept.column("lang"), kept.column("kind").to_numpy(), kept.column("entry").to_pylist(), kept.column("n").to_numpy()
+    langs = sorted(set(names.unique().to_pylist()))
+    numbers = {lang: i for i, lang in enumerate(langs)}
+    own = np.array([numbers[v] for v in names.to_pylist()], np.int64)
+    whole = np.zeros((LONGEST + 1, len(langs)))
+    np.add.at(whole, (kinds, own), times)
     entries: list[dict[str, int]] = [{}, {}]
-    counts: list[dict[tuple[str, int], float]] = [{}, {}]
-    for lang, kind, entry, n in kept:
-        group = min(kind, 1)
-        entries[group].setdefault(entry, len(entries[group]))
-        counts[group][entry, langs.index(lang)] = n
     tables = []
     for group in (0, 1):
-        logs = np.zeros((len(entries[group]), len(langs)))
-        for entry, at in entries[group].items():
-            for i, lang in enumerate(langs):
-                of = whole.get((lang, 0 if group == 0 else len(entry)), 0)
-                logs[at, i] = np.log((counts[group].get((entry, i), 0) + SMOOTH) / (of + SMOOTH * (len(entries[group]) + 1)))
-        tables.append(logs)
+        picks = np.flatnonzero((kinds > 0) == (group == 1)).tolist()
+        at = np.array([entries[group].setdefault(keys[i], len(entries[group])) for i in picks], np.int64)
+        seen, lengths = np.zeros((len(entries[group]), len(langs))), np.zeros(len(entries[group]), np.int64)
+        np.add.at(seen, (at, own[picks]), times[picks])
+        lengths[at] = kinds[picks]
+        tables.append(np.log((seen + SMOOTH) / (whole[lengths] + SMOOTH * (len(entries[group]) + 1))).astype(np.float32))
     return {"langs": langs, "words": entries[0], "grams": entries[1], "word_logs": tables[0], "gram_logs": tables[1]}
 
 
@@ -185,8 +192,7 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",),
     A text whose words and letters say nothing gets the first language by name at an even score. With no languages
     learned every row is ``und``.
     """
-    import uuid
-
+    text_batches(docs.sparkSession)
     key, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(*keep, F.col(text_col).cast("string").alias("_lang_text"))
     schema = plus(slim.drop("_lang_text").schema, "lang_pred string, score double")
