@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import plus, table
+from tessitura.llm.common import plus, table, text_batches
 
 WIDTH = 64
 #: Rows of a frame at most; longer payloads go on in further frames.
 ROWS = 1024
 DELAY = 10
+#: Pixels of a screen that are composed at most (four bytes each).
+MOST_PIXELS = 1 << 26
 TOP = 4096
 
 
@@ -225,7 +227,13 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
 
 
 def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
-    """The whole screen as RGBA after each frame, by palettes, transparency and disposal."""
+    """The whole screen as RGBA after each frame, by palettes, transparency and disposal.
+
+    The next frame may overwrite what was yielded. A screen of more than ``MOST_PIXELS`` is an error, as a file of a few
+    bytes can claim any.
+    """
+    if width * height > MOST_PIXELS:
+        raise ValueError("the screen is too large")
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         h, w = f.indices.shape
@@ -241,7 +249,7 @@ def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray
         else:
             shown = indices != f.transparent
             place[shown] = colours[indices[shown]]
-        yield canvas.copy()
+        yield canvas
         if f.disposal == 2:
             place[:] = 0
         elif before is not None:
@@ -266,6 +274,7 @@ def payload_of(text: str | None) -> bytes:
 
 def store_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` columns, n_bytes and media (a GIF file) of every row; null text is stored as empty."""
+    text_batches(docs.sparkSession)
     slim = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_media_text"))
     schema = plus(slim.drop("_media_text").schema, "n_bytes long, media binary")
 
@@ -282,65 +291,74 @@ def store_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col:
 
 
 FRAME_TYPE = "array<struct<time_ms:bigint,delay_ms:bigint,width:int,height:int,histogram:array<array<bigint>>>>"
+ARROW_FRAMES = pa.list_(pa.struct([("time_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.list_(pa.int64())))]))
+
+
+def timed_frames(data: bytes | None, red: list[bytes] | None = None) -> list[dict] | None:
+    """Time, delay, screen size and colour histogram of each composed frame; None if the file can't be read.
+
+    ``red`` receives the red samples of each frame's own place, which are what ``encode_gif`` stored.
+    """
+    time, told = 0, []
+    try:
+        w, h, frames = decode_gif(data or b"")
+        for f, image in zip(frames, compose(w, h, frames), strict=True):
+            told.append({"time_ms": time, "delay_ms": f.delay_ms, "width": w, "height": h, "histogram": colour_histogram(image).tolist()})
+            time += f.delay_ms
+            if red is not None:
+                red.append(image[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes())
+    except (ValueError, MemoryError):
+        return None
+    return told
 
 
 def frame_columns(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Every column of ``media`` and frames: time, delay, screen size and colour histogram of each composed frame.
 
-    Null media, and files that can't be read, have null frames.
+    Null media, files that can't be read, and screens of more than ``MOST_PIXELS`` have null frames. Repeated rows stay; an
+    empty table gives no rows.
     """
     schema = plus(media.schema, f"frames {FRAME_TYPE}")
     at = media.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("time_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.list_(pa.int64())))]))
         for batch in batches:
-            out = []
-            for data in batch.column(at).to_pylist():
-                try:
-                    w, h, frames = decode_gif(data or b"")
-                except ValueError:
-                    out.append(None)
-                    continue
-                time, told = 0, []
-                for f, image in zip(frames, compose(w, h, frames), strict=True):
-                    told.append({"time_ms": time, "delay_ms": f.delay_ms, "width": w, "height": h, "histogram": colour_histogram(image).tolist()})
-                    time += f.delay_ms
-                out.append(told)
-            yield pa.record_batch([*batch.columns, pa.array(out, kind)], schema.names)
+            for lo in range(0, batch.num_rows, 64):
+                some = batch.slice(lo, 64)
+                yield pa.record_batch([*some.columns, pa.array([timed_frames(v.as_py()) for v in some.column(at)], ARROW_FRAMES)], schema.names)
 
     return media.mapInArrow(run, schema)
 
 
 def read_payloads(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, and what the stored file says: digests of payload and file, and a feature from its colours."""
+    """doc_id, n_bytes, and what the stored file says: digests of payload and file, its timed frames (as ``frame_columns``
+    has them) and a feature made of these: number of frames, their whole time, and colour counts over all frames.
+
+    Null media, and files that can't be read, have null figures. Repeated rows stay; an empty table gives no rows.
+    """
     slim = media.select("doc_id", "n_bytes", "media")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), ARROW_FRAMES, pa.string()]
         for batch in batches:
-            sizes, shas, tails, stored, digests, features = [], [], [], [], [], []
-            for value in batch.column(2):
-                data = value.as_py()
-                w, h, frames = decode_gif(data)
-                parts, bins = [], np.zeros(16, np.int64)
-                for f, image in zip(frames, compose(w, h, frames), strict=True):
-                    shown = np.ascontiguousarray(image[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0])
-                    parts.append(shown.tobytes())
-                    bins += np.bincount(shown.ravel() >> 4, minlength=16)
-                payload = b"".join(parts)
-                sizes.append(len(payload))
-                shas.append(hashlib.sha256(payload).hexdigest())
-                tails.append(zlib.crc32(payload[-64:]))
-                stored.append(len(data))
-                digests.append(hashlib.sha256(data).hexdigest())
-                features.append(f"frames={len(frames)};red=" + ",".join(map(str, bins.tolist())))
-            longs, strings = pa.int64(), pa.string()
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, longs), pa.array(shas, strings), pa.array(tails, longs), pa.array(stored, longs), pa.array(digests, strings), pa.array(features, strings)], names)
-
-    return slim.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for lo in range(0, batch.num_rows, 64):
+                some, rows = batch.slice(lo, 64), []
+                for doc_id, n, value in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2), strict=True):
+                    data, red = value.as_py(), []
+                    frames = timed_frames(data, red)
+                    if frames is None:
+                        rows.append((doc_id, n, *[None] * 7))
+                        continue
+                    payload = b"".join(red)
+                    colours = np.array([f["histogram"] for f in frames], np.int64).reshape(-1, 3, 16).sum(axis=0)
+                    told = ";".join([f"frames={len(frames)}", f"ms={sum(f['delay_ms'] for f in frames)}", *(f"{c}=" + ",".join(map(str, own.tolist())) for c, own in zip(("red", "green", "blue"), colours, strict=True))])
+                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), frames, told))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return slim.mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames {FRAME_TYPE}, feature string")
 
 
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as GIF files, read back."""
-    return read_payloads(store_media(table(spark, sf_dir, "documents")))
+    return read_payloads(store_media(table(spark, sf_dir, "documents"))).drop("frames")
