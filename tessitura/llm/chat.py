@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import table
 
 TURN, NEXT, END = "<|turn|>", "<|next|>", "<|end|>\n"
+#: Turns whose spans are found together.
+RUN = 256
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -55,8 +57,17 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         span = F.struct(begin.alias("start"), end.alias("end"))
         return F.struct((end + F.char_length(p["tail"])).alias("at"), F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
+    # appending copies what is there, so spans are found run by run, from 0, and then moved by the length before their run
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("p") / RUN).cast("int") - 1, F.lit(0))), lambda i: F.slice("p", i * RUN + 1, RUN))
     text = F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    return pieces.select("conv_id", text.alias("formatted"), F.aggregate("p", start, walk)["spans"].alias("loss_spans"))
+    local = pieces.select("conv_id", text.alias("formatted"), F.transform(runs, lambda r: F.aggregate(r, start, walk)).alias("runs"))
+    before = F.aggregate("runs", F.array(F.lit(0).cast("long")), lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + r["at"]))
+
+    def moved(run: Column, offset: Column) -> Column:
+        return F.transform(run["spans"], lambda s: F.struct((s["start"] + offset).alias("start"), (s["end"] + offset).alias("end")))
+
+    spans = F.flatten(F.zip_with("runs", F.slice(before, F.lit(1), F.size("runs")), moved))
+    return local.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
