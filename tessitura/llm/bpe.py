@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import DOCUMENT_COLUMNS, plus, table, worker_state
+from tessitura.llm.common import DOCUMENT_COLUMNS, plus, table, text_batches, worker_state
 
 #: Pre-token pattern of byte-level BPE vocabularies of this kind (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -268,6 +268,7 @@ def slices(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
 
 def ship(spark: SparkSession, path: str | None = None):
     """(key, function that returns the vocabulary on any worker): the file is read by the driver and broadcast."""
+    text_batches(spark)
     spec = read_vocabulary(path)
     key = hashlib.sha256(json.dumps(spec["merges"]).encode()).hexdigest()
     held = spark.sparkContext.broadcast(spec)
@@ -297,7 +298,11 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, keep: tuple[st
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, digested beside the encoding."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, digested beside the encoding.
+
+    Null text counts as empty: no tokens, digests of nothing. Null ids and repeated rows stay; an empty table gives no rows;
+    other columns don't matter.
+    """
     key, spec_of = ship(docs.sparkSession, vocabulary)
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -323,7 +328,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The documents' columns with ``text`` as decoded, then ids and n_tokens; a null text stays null."""
+    """The documents' columns with ``text`` as decoded, then ids and n_tokens.
+
+    A null text stays null, with no ids and 0 tokens. Null ids and repeated rows stay; an empty table gives no rows; columns
+    that documents lack, among them ones named ids or n_tokens, are left behind.
+    """
     coded = encode_decode(docs.select(*DOCUMENT_COLUMNS), vocabulary, DOCUMENT_COLUMNS)
     text = F.when(F.col("text").isNotNull(), F.col("decoded")).alias("text")
     return coded.select(*[text if c == "text" else c for c in DOCUMENT_COLUMNS], "ids", F.size("ids").cast("long").alias("n_tokens"))

@@ -15,19 +15,34 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows of an Arrow batch of texts: with Spark's own 10,000, batches of long texts fill a worker's memory.
+BATCH_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows at most, for this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, opened with Spark's reader only, so any store that Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a fresh local one where it is unset and the master
+    is local (tests). On a cluster executors would write to disks of their own, so an unset folder raises there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark, "_tessitura_dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessitura-")
         spark._tessitura_dir = folder
     return folder.rstrip("/")
@@ -38,7 +53,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessitura/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessitura_table = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of ``durable`` tables that nothing reads any more; other DataFrames are let be."""
+    for df in tables:
+        path = getattr(df, "_tessitura_table", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_fold(column: str | Column, folds: int) -> Column:
@@ -68,6 +95,11 @@ def plus(schema: T.StructType, ddl: str) -> T.StructType:
 _STATE: dict = {}
 
 
+def clear_state() -> None:
+    """Drop what an earlier operator left in this Python worker."""
+    _STATE.clear()
+
+
 def worker_state(key: str, build):
     """What a Python worker keeps between tasks: one operator's state only, so stages don't add up in a reused worker."""
     if key not in _STATE:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import durable
+from tessitura.llm.common import durable, forget
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,13 @@ def _jump(parents: DataFrame) -> DataFrame:
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Pointer jumping until no parent has a parent of its own; log2(depth) passes."""
+    before = parents
     while True:
         after = durable(_jump(parents), "jump")
+        forget(before)
         if after.filter("moved").isEmpty():
-            return after.select("node", "parent")
-        parents = after.select("node", "parent")
+            return after
+        before, parents = after, after.select("node", "parent")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -49,20 +51,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not graph.isEmpty():
         parents = durable(graph.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")), "parents")
         roots = _roots(parents)
-        if labels is None:
-            labels = roots.select("node", F.col("parent").alias("component"))
-        else:
+        own = roots.select("node", F.col("parent").alias("component"))
+        if labels is not None:
             step = roots.select(F.col("node").alias("old"), F.col("parent").alias("new"))
             moved = labels.join(step, F.col("component") == F.col("old"), "left").select(
                 "node", F.coalesce("new", "component").alias("component")
             )
-            labels = durable(moved.unionByName(roots.select("node", F.col("parent").alias("component"))), "labels")
+            own = moved.unionByName(own)
+        merged = durable(own, "labels")
+        forget(*([labels] if labels is not None else []))
+        labels = merged
         to_u = roots.select(F.col("node").alias("u"), F.col("parent").alias("root_u"))
         to_v = roots.select(F.col("node").alias("v"), F.col("parent").alias("root_v"))
         joined = graph.join(to_u, "u", "left").join(to_v, "v", "left")
-        graph = durable(
+        left = durable(
             _ordered(joined.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))), "edges"
         )
+        forget(graph, roots)
+        graph = left
     if labels is None:
         return graph.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    forget(graph)
     return labels

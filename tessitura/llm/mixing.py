@@ -54,7 +54,11 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, seed: str = SEED) -> DataFrame:
-    """The mix itself: every document's columns, repeated ``copies`` times."""
+    """The mix itself: every document's columns, repeated ``copies`` times.
+
+    A source without words isn't taken, nor are its documents; a null source is a source. Null texts of a source with words
+    are repeated like others. Rows that share a doc_id share their draw; an empty table gives no rows.
+    """
     planned = plan_mix(docs, weights, most, seed, DOCUMENT_COLUMNS)
     repeated = planned.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select(*DOCUMENT_COLUMNS)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import DOCUMENT_COLUMNS, crc_fold, hashed_fraction, plus, table, worker_state
+from tessitura.llm.common import DOCUMENT_COLUMNS, crc_fold, hashed_fraction, plus, table, text_batches, worker_state
 
 #: Expected number of labelled documents per class that training reads at most, and the longest text among them.
 TRAIN_PER_CLASS = 700
@@ -209,6 +209,7 @@ def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray], keep: tupl
     Repeated rows are scored each, equal texts alike whatever lies beside them (to 6 decimals, so that the order of
     float sums in a batch doesn't show). An empty table gives no rows; other columns don't matter.
     """
+    text_batches(docs.sparkSession)
     key, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(parameters)
     slim = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_quality_text"))
     schema = plus(slim.drop("_quality_text").schema, "score double")
@@ -231,7 +232,11 @@ def score_quality(docs: DataFrame, parameters: dict[str, np.ndarray], keep: tupl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` (the documents' columns) that score ``least`` or more."""
+    """The rows of ``docs`` (the documents' columns) that score ``least`` or more.
+
+    Null and empty texts are scored as empty ones. Repeated rows stay or go together; an empty table gives no rows. Without
+    both labels to learn from, all rows score alike: 0.5 without any label, which keeps them.
+    """
     scored = score_quality(docs, fit(docs, labels), DOCUMENT_COLUMNS)
     return scored.filter(F.col("score") >= least).select(*DOCUMENT_COLUMNS)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import durable, table
+from tessitura.llm.common import durable, forget, table, text_batches
 from tessitura.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -99,6 +99,7 @@ def _fingerprint_batches(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; fp is the 64-bit fingerprint as a signed long. Null text counts as empty."""
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(_fingerprint_batches(words), "doc_id long, fp long")
 
@@ -319,7 +320,10 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, parts: int | None = Non
     # every fingerprint's own probes find all that is near it, so of two fingerprints only the smaller one's need count
     near_by = (F.col("fp_a") < F.col("fp_b")) & (F.col("u") != F.col("v")) & (_apart("fp_a", "fp_b") <= distance)
     pairs = left.hint("merge").join(right, (left["key"] == right["key"]) & near_by)
-    return durable(_relabel(labelled, connected_components(pairs.select("u", "v"))), "linked")
+    merged = connected_components(pairs.select("u", "v"))
+    linked = durable(_relabel(labelled, merged), "linked")
+    forget(nodes, rows, merged, labelled)
+    return linked
 
 
 def _apart(a: str, b: str):
@@ -338,18 +342,23 @@ def _star_rounds(labelled: DataFrame, groups: list[list[int]], distance: int) ->
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
     total = labelled.count()
     apart = labelled.select("fp", "comp", F.explode(keys).alias("k")).select("fp", "comp", "k.part", "k.value")
+    tables = []
     for _ in range(STAR_ROUNDS):
         # partial aggregates first, so a hot key costs its task one row from each other task
         centres = apart.groupBy("part", "value").agg(F.min(F.struct("comp", "fp")).alias("centre"), F.max("comp").alias("most")).filter(F.col("centre.comp") != F.col("most"))
         met = durable(apart.join(centres.select("part", "value", F.col("centre.comp").alias("v"), F.col("centre.fp").alias("to")), ["part", "value"]).filter("comp <> v"), "met")
+        tables.append(met)
         links = met.filter(_apart("fp", "to") <= distance).select(F.col("comp").alias("u"), "v").distinct()
         merged = connected_components(links)
         moved = merged.count()
-        labelled = durable(_relabel(labelled, merged), "stars") if moved else labelled
+        if moved:
+            before, labelled = labelled, durable(_relabel(labelled, merged), "stars")
+            forget(before)
         if moved * 1000 < total:
             break
         left = met.filter(_apart("fp", "to") > distance).select("fp", "part", "value")
         apart = left.hint("merge").join(labelled, "fp")
+    forget(*tables)
     return labelled
 
 

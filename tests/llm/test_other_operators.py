@@ -220,6 +220,19 @@ def test_media_queries(spark):
         want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == want
     assert len({(r["media_sha256"], r["feature"]) for r in rows if r["n_bytes"] == 5}) == 1
+    for r, (i, t) in zip(sorted(rows, key=lambda r: (r["n_bytes"], r["doc_id"] or 0)), sorted(texts, key=lambda x: (len((x[1] or "").encode()), x[0] or 0)), strict=True):
+        p = gif.payload_of(t)
+        parts, screen, shown = -(-len(p) // 65536), b"", Counter()
+        for k in range(parts):  # a shorter last frame leaves the rest of the screen as it was
+            own = p[65536 * k : 65536 * (k + 1)]
+            screen = own + screen[len(own) :]
+            shown.update(v >> 4 for v in screen)
+        grey = ",".join(str(shown[b]) for b in range(16))
+        assert (r["doc_id"], r["feature"]) == (i, f"frames={parts};ms={100 * parts};red={grey};green={grey};blue={grey}")
+        assert (r["media_bytes"], r["media_sha256"]) == (len(gif.encode_gif(p)), hashlib.sha256(gif.encode_gif(p)).hexdigest())
+    wide = _file(65535, 65535, [(0, 0, 1, 1, [1], 0, 0, None, False)], [0] * 12)
+    odd = gif.read_payloads(spark.createDataFrame([(1, 0, wide), (2, 0, None), (3, 0, b"x")], "doc_id long, n_bytes long, media binary")).collect()
+    assert all(r["frames"] is None and r["feature"] is None for r in odd) and len(odd) == 3 and gif.timed_frames(wide) is None
     seen = gif.frame_columns(stored.unionByName(spark.createDataFrame([(9, 0, b"junk"), (10, 0, None)], "doc_id long, n_bytes long, media binary"))).collect()
     by = {r["doc_id"]: r["frames"] for r in seen if r["doc_id"] in (9, 10) or r["n_bytes"] == 200000}
     assert by[9] is None and by[10] is None and [f["time_ms"] for f in by[5]] == [100 * i for i in range(len(by[5]))] and len(by[5]) == 4

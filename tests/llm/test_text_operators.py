@@ -183,49 +183,85 @@ def _held(i, folds, out):
     return zlib.crc32(b"" if i is None else str(i).encode()) % folds == out
 
 
-@pytest.mark.parametrize("shares", [(2e-6, 1e-4, 2e-6), (1e-3, 2e-3, 1e-4)])
-def test_language_model(spark, docs, edges, shares):
+class _Automaton:
+    """States, arcs and failure arcs in dictionaries, walked arc by arc."""
+
+    def __init__(self, texts, order, m):
+        self.counts, self.order, self.m = Counter(), order, m
+        for words in texts:
+            path = [b"", *words]
+            for k in range(1, order + 1):
+                self.counts.update(tuple(path[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(path)))
+        words = {w[0]: c for w, c in self.counts.items() if len(w) == 1}
+        self.total, self.words = sum(words.values()), words
+        once, twice = (sum(c == n for c in words.values()) for n in (1, 2))
+        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if twice else lm.DISCOUNT
+
+    def arc(self, state, word):
+        """Probability of an arc that is there, or None."""
+        c = self.counts.get((*state, word), 0)
+        if not c:
+            return None
+        if not state:
+            return (c - self.discount) / self.total
+        return (c + self.m * self.arc(state[1:], word)) / (self.counts[state] + self.m)
+
+    def step(self, state, word):
+        weight = 1.0
+        while (p := self.arc(state, word)) is None:
+            if not state:
+                return weight * (self.discount * len(self.words) / self.total if self.total else 1.0), ()
+            weight *= self.m / (self.counts[state] + self.m)
+            state = state[1:]
+        after = (*state, word)[-(self.order - 1) :] if self.order > 1 else ()
+        return weight * p, after
+
+    def walk(self, words):
+        state, out = ((b"",) if self.order > 1 and (b"",) in self.counts else ()), 0.0
+        for w in words:
+            p, state = self.step(state, w)
+            out += math.log10(p)
+        return out
+
+
+@pytest.mark.parametrize("order,block,span", [(1, 100, 1000), (2, 2_000_000, 16_000_000), (3, 3000, 5000), (4, 700, 900)])
+def test_language_model(spark, docs, edges, order, block, span):
+    """Against an automaton walked arc by arc; blocks and ranges of any size give the same."""
     both = docs.select("doc_id", "text").unionByName(edges.select((F.col("doc_id") + 900_000).alias("doc_id"), "text"))
-    train = both.filter("doc_id is null or doc_id % 3 <> 0")
-    automaton, counts = lm.build(train, *shares)
+    rows = lm.score_texts(both, F.col("doc_id") % 3 != 0, order, 2.5, block_tokens=block, range_bytes=span).collect()
+    texts = [(r["doc_id"], [*lm.words_of((r["text"] or "").encode()), b""]) for r in both.collect()]
+    a = _Automaton([w for i, w in texts if i is not None and i % 3], order, 2.5)
     got = {}
-    for r in lm.score_texts(both, automaton, counts).collect():
+    for r in rows:
         got.setdefault(r["doc_id"], []).append(r)
-    texts = [(r["doc_id"], [*lm.words_of((r["text"] or "").encode()), b""]) for r in both.collect()]
-    c = Counter()
-    for i, w in texts:
-        if i is None or i % 3:
-            c.update(w)
-    total, distinct = sum(c.values()), len(c)
-    state = {w: s for w, s in zip(automaton.words, automaton.state.tolist(), strict=True) if s >= 0}
-    arcs = dict(zip(automaton.keys.tolist(), automaton.arcs.tolist(), strict=True))
+    assert sum(map(len, got.values())) == len(texts)
     for i, words in texts:
-        r = got[i].pop(0) if i is None or len(got[i]) == 1 else got[i][0]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in c for w in words), total)
-        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in words), rel_tol=1e-9)
-        score, history = 0.0, state[b""]
-        for w in words:  # one traversal, arc by arc
-            s = state.get(w, -1)
-            arc = arcs.get(history * automaton.n_states + s) if history >= 0 and s >= 0 else None
-            if arc is not None:
-                score += arc
-            else:
-                score += (automaton.failure[history] if history >= 0 else 0) + math.log10((c[w] - automaton.discount) / total if w in c else automaton.unseen)
-            history = s
-        assert math.isclose(r["score"], score, rel_tol=1e-9), i
-    # the probabilities of every state sum to 1 over all words and the unseen one
-    root = sum((v - automaton.discount) / total for v in c.values()) + automaton.unseen
-    assert abs(root - 1) < 1e-9
-    for h in range(automaton.n_states):
-        own = {w: arcs.get(h * automaton.n_states + s) for w, s in state.items()}
-        mass = sum(10**a if (a := own.get(w)) is not None else 10 ** automaton.failure[h] * (v - automaton.discount) / total for w, v in c.items())
-        assert abs(mass + 10 ** automaton.failure[h] * automaton.unseen - 1) < 1e-6
+        for r in got[i]:
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in a.words for w in words), a.total)
+            assert math.isclose(r["base_score"], sum(math.log10((a.words.get(w, 0) + 1) / (a.total + len(a.words) + 1)) for w in words), rel_tol=1e-9)
+            assert math.isclose(r["score"], a.walk(words), rel_tol=1e-9), i
+    # the probabilities of a state sum to 1 over all words and the unseen one
+    rng = np.random.default_rng(0)
+    states = [(), *[g for g in a.counts if len(g) < order and not (len(g) > 1 and g[-1] == b"")]]
+    for at in rng.choice(len(states), min(12, len(states)), False).tolist():
+        mass = sum(a.step(states[at], w)[0] for w in a.words) + a.step(states[at], b"never seen")[0]
+        assert abs(mass - 1) < 1e-9
 
 
 def test_language_model_of_nothing(spark, edges):
-    automaton, counts = lm.build(edges.limit(0))
-    rows = lm.score_texts(edges, automaton, counts).collect()
+    rows = lm.score_texts(edges, F.lit(None).cast("boolean")).collect()
     assert len(rows) == len(EDGES) and all(r["base_score"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in rows)
+    assert lm.score_texts(edges.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50_000])
+def test_packed_arrays(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64, False))
+    assert n == 0 or (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
+    for top in (1, 255, 256, 1 << 40):
+        values = rng.integers(0, top, n)
+        assert (lm.unpack_ints(lm.pack_ints(values)) == values).all()
 
 
 def test_language_model_beats_the_base_on_held_out_rows(spark):
@@ -331,4 +367,4 @@ def test_null_only_tables(spark):
     schema = T.StructType([T.StructField(n, T.LongType() if n in ("doc_id", "n_chars") else T.StringType()) for n in ("doc_id", "text", "lang", "source", "n_chars")])
     nulls = spark.createDataFrame([(None,) * 5] * 3, schema)
     assert simhash.near_duplicates(nulls).count() == 3 and bpe.digests(nulls).count() == 3
-    assert langid.identify(nulls, langid.train(nulls)).count() == 3 and lm.score_texts(nulls, *lm.build(nulls)).count() == 3
+    assert langid.identify(nulls, langid.train(nulls)).count() == 3 and lm.score_texts(nulls, F.lit(True)).count() == 3
