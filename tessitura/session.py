@@ -44,9 +44,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a fresh folder where that is unset, as in tests) and read it back."""
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back; where that is unset, a local master gets a fresh folder and
+    any other raises, as its executors share no disk."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessitura_tables", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = spark._tessitura_tables = "file://" + tempfile.mkdtemp(prefix="tessitura-")
     path = f"{folder.rstrip('/')}/tessitura/{name}-{uuid.uuid4().hex}"
