@@ -49,10 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back: lineage ends, lost executors cost nothing."""
+    """Write ``df`` to the shared folder and return the table read back: lineage ends, lost executors cost nothing.
+
+    Once it is written nothing asks for its shuffles again, so Spark deletes them at the end of the write.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessitura/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, setting = f"{shared_dir(spark)}/tessitura/{name}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessitura_table = path
     return out

@@ -12,8 +12,9 @@ Tokens are the lower-cased (A-Z) words of a text and one end; the end is also wh
   which stands for all words never seen. The discount is estimated from the numbers of words seen once and twice.
 
 Nothing is cut off: all arcs are kept, whatever their counts, and none is broadcast. Texts are cut into blocks of tokens; a
-block asks for each distinct n-gram of its own once, by 64-bit key, so that a frequent one costs a row for each block
-and no key is hot. The asked keys, with the block's counts of them in learned texts, are dealt over ranges of the key (a
+block asks for each distinct n-gram of its own once, by its key, so that a frequent one is asked once for each block and
+no key is hot. A key holds the order and a hash, of 62 bits for words and 54 for longer n-grams (of n of them about
+n^2 / 2^55 pairs share a key and a count). The asked keys, with the block's counts of them in learned texts, are dealt over ranges of the key (a
 partitioned arc table), every range adds up the counts and answers its blocks, and the block traverses its texts with the
 part of the automaton that they can reach: left to right, each token's arc taken from the longest state that has it, and the
 failure arcs before it. All texts of a block are traversed at once, order by order.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.bpe import Memory
-from tessitura.llm.common import crc_fold, durable, forget, table, text_batches
+from tessitura.llm.common import crc_fold, durable, table, text_batches
 from tessitura.llm.simhash import LOWER
 
 ORDER = 3
@@ -42,7 +43,7 @@ STRENGTH = 50.0
 #: Discount of words where none was seen twice.
 DISCOUNT = 0.75
 #: Tokens after which a block is full (a longer text is a block of its own).
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 #: Bytes of keys that a range aims at.
 RANGE_BYTES = 16_000_000
 #: The end of a text, which is also the history that every text starts from. No word is empty.
@@ -75,18 +76,19 @@ def unpack_ints(data: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Rising 64-bit keys as the bytes of their steps."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    """Rising 64-bit keys as the bytes of their steps; a low byte that is 0 in all of them is left out."""
+    shift = 0 if (keys & np.uint64(255)).any() else 8
+    steps = np.diff(keys >> np.uint64(shift), prepend=np.uint64(0)).astype("<u8")
     width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + steps[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width, shift]) + steps[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    width, first = data[0], np.frombuffer(data, "<u8", min(1, len(data) // 9), 1)
-    rest = np.frombuffer(data, np.uint8, offset=1 + 8 * len(first)).reshape(-1, width)
+    width, shift, first = data[0], data[1], np.frombuffer(data, "<u8", 1, 2)
+    rest = np.frombuffer(data, np.uint8, offset=10).reshape(-1, width)
     wide = np.zeros((len(rest), 8), np.uint8)
     wide[:, :width] = rest
-    return np.cumsum(np.concatenate([first, wide.view("<u8")[:, 0]]), dtype=np.uint64)
+    return np.cumsum(np.concatenate([first, wide.view("<u8")[:, 0]]), dtype=np.uint64) << np.uint64(shift)
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -136,8 +138,9 @@ def _block_batches(block_tokens: int):
 
 
 def _mixed(state: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
-    """Key of the n-gram that goes on from ``state`` with ``word``; the lowest two bits hold its order (4 as 0)."""
-    x = state * np.uint64(0x9E3779B97F4A7C15) ^ word
+    """Key of the n-gram of ``order`` tokens that goes on from ``state`` with ``word``."""
+    x = state * np.uint64(0x9E3779B97F4A7C15)
+    x ^= word
     for _ in range(2):
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
@@ -145,11 +148,16 @@ def _mixed(state: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
     return _tagged(x, order)
 
 
-def _tagged(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys & ~np.uint64(3) | np.uint64(order & 3)
+def _tagged(hashes: np.ndarray, order: int) -> np.ndarray:
+    """Keys from hashes: the order less 1 in the two highest bits; of longer n-grams the lowest byte is 0."""
+    keys = hashes >> np.uint64(2)
+    keys |= np.uint64((order - 1) << 62)
+    if order > 1:
+        keys &= ~np.uint64(255)
+    return keys
 
 
-def block_keys(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def block_keys(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order, (places, keys): the key of the n-gram that ends at each place; a text's places are its start, then
     its tokens. The last word given is the end. Places with fewer tokens before them than the order asks have no key."""
     n = len(tokens) + len(sizes)
@@ -159,14 +167,13 @@ def block_keys(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order:
     own = np.full(n, words[-1])
     own[inner] = words[tokens]
     own = _tagged(own, 1)
-    depth = np.arange(n) - np.repeat(starts, sizes + 1)
-    state, out = own, []
+    depth = np.arange(n, dtype=np.int32) - np.repeat(starts, sizes + 1).astype(np.int32)
+    state = own
     for k in range(1, order + 1):
         if k > 1:
             state = np.concatenate([state[:1], _mixed(state[:-1], own[1:], k)])
-        at = np.flatnonzero(depth >= max(1, k - 1))
-        out.append((at, state[at]))
-    return out
+        at = np.flatnonzero(depth >= max(1, k - 1)).astype(np.int32)
+        yield at, state[at]
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,16 +182,15 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranked = keys[order]
     first = np.ones(len(ranked), bool)
     first[1:] = ranked[1:] != ranked[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(first) - 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - 1
     return ranked[first], place
 
 
-def _open(words: bytes, tokens: bytes, sizes: list[int], order: int):
-    sizes = np.array(sizes, np.int64)
-    keyed = block_keys(np.frombuffer(words, "<u8"), unpack_ints(tokens).astype(np.int64), sizes, order)
-    distinct, place = _distinct(np.concatenate([k for _, k in keyed]))
-    return sizes, [at for at, _ in keyed], distinct, place
+def _opened(words: bytes, tokens: bytes, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, distinct keys, each place's key among them) for each order; all orders' keys in a row are sorted."""
+    for at, keys in block_keys(np.frombuffer(words, "<u8"), unpack_ints(tokens).astype(np.int32), sizes, order):
+        yield at, *_distinct(keys)
 
 
 def _ask_batches(order: int, bits: int):
@@ -192,10 +198,13 @@ def _ask_batches(order: int, bits: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 block, learn, sizes, words, tokens = (batch.column(c)[i].as_py() for c in range(5))
-                sizes, places, distinct, place = _open(words, tokens, sizes, order)
+                sizes, keys, sums = np.array(sizes, np.int64), [], []
                 learned = np.repeat(np.array(learn, bool), sizes + 1)
-                counts = np.bincount(place, np.concatenate([learned[at] for at in places]), len(distinct)).astype(np.int64)
-                ends = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange(1, 1 << bits, dtype=np.uint64)) if bits else np.zeros(0, np.int64)
+                for at, distinct, place in _opened(words, tokens, sizes, order):
+                    keys.append(distinct)
+                    sums.append(np.bincount(place, learned[at], len(distinct)).astype(np.int64))
+                distinct, counts = np.concatenate(keys), np.concatenate(sums)
+                ends = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange(1, 1 << bits, dtype=np.uint64))
                 edges = [0, *ends.tolist(), len(distinct)]
                 rows = [(part, a, b) for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
                 yield pa.record_batch(
@@ -216,7 +225,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     distinct, place = _distinct(np.concatenate(keys))
     total = np.bincount(place, counts, len(distinct)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys]).tolist()
-    words = total[(distinct & np.uint64(3)) == 1]
+    words = total[distinct < np.uint64(1 << 62)]
     facts = [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
     packed = [pack_ints(total[place[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     columns = [[*asked.column("block").to_pylist(), None], [*asked.column("part").to_pylist(), None], [*packed, None], *[[None] * len(keys) + [f] for f in facts]]
@@ -258,10 +267,12 @@ class Model:
 def _score_block(model: Model):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sizes, words, tokens = (block.column(c)[0].as_py() for c in ("ids", "sizes", "words", "tokens"))
-        sizes, places, _, place = _open(words, tokens, sizes, model.order)
-        parts = answers.sort_by("part").column("counts")
-        counts = np.concatenate([unpack_ints(v.as_py()) for v in parts])[place].astype(float)
-        counts = np.split(counts, np.cumsum([len(at) for at in places])[:-1])
+        sizes, at, places, counts = np.array(sizes, np.int64), 0, [], []
+        told = np.concatenate([unpack_ints(v.as_py()).astype(np.int64) for v in answers.sort_by("part").column("counts")])
+        for own, distinct, place in _opened(words, tokens, sizes, model.order):
+            places.append(own)
+            counts.append(told[at : at + len(distinct)][place].astype(float))
+            at += len(distinct)
         starts = np.cumsum(sizes) - sizes
         base = np.log10((counts[0] + 1) / (model.total + model.distinct + 1))
         score = model.traverse(sizes, places, counts)
@@ -287,9 +298,10 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, strength: fl
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
     blocks = durable(slim.mapInArrow(_block_batches(block_tokens), BLOCK_SCHEMA), "blocks")
     tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    # an n-gram's key takes about 6 bytes, and about as many are distinct in a block as it has tokens, for each two orders
-    bits = min(24, max(0, int(np.ceil(np.log2(max(1, tokens * order * 4 / range_bytes))))))
+    # a key takes 5 or 6 bytes, and an order, which has a quarter of the ranges, as many of them as there are tokens at most
+    bits = min(24, max(2, int(np.ceil(np.log2(max(1, tokens * 6 / range_bytes)))) + 2))
     asked = blocks.select("block", "learn", "sizes", "words", "tokens").mapInArrow(_ask_batches(order, bits), ASK_SCHEMA)
+    # written, so the asked keys' shuffle is gone before the blocks meet their answers
     answers = durable(asked.groupBy("part").applyInArrow(_answer, ANSWER_SCHEMA), "answers")
     facts = answers.filter("block is null").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     model = Model(*[facts[c] or 0 for c in ("n", "v", "n1", "n2")], order, strength)
