@@ -95,6 +95,44 @@ def stft_rows(arrays: DataFrame, rate: float, window: float, hop: float, estimat
     return arrays.select(key, "x").mapInPandas(run, f"{key} string, t_idx long, f_idx long, t double, f double, re double, im double")
 
 
+def rows_of(arrays: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, column: str = "x", key: str = KEY) -> DataFrame:
+    """(key, schema's columns): every signal's rows by a kernel that returns columns of equal length."""
+
+    def run(batches):
+        for rows in batches:
+            for name, x in zip(rows[key], rows[column], strict=True):
+                out = kernel(np.asarray(x, float))
+                yield pd.DataFrame({key: [name] * len(next(iter(out.values()))), **out})
+
+    return arrays.select(key, column).mapInPandas(run, f"{key} string, {schema}")
+
+
+def modulation_rows(arrays: DataFrame, rate: float, spec_rate: float, spacing: float, window: float | None = None) -> DataFrame:
+    """(signal_id, wf, wt, power): modulation spectrum of the log spectrogram of every signal."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        _, f, s = K.spectrogram(x, rate, spec_rate, spacing)
+        wf, wt, power = K.modulation_spectrum(20 * np.log10(np.abs(s) + 1e-9), f[1] - f[0], 1 / spec_rate, window)
+        return {"wf": np.repeat(wf, len(wt)), "wt": np.tile(wt, len(wf)), "power": power.ravel()}
+
+    return rows_of(arrays, run, "wf double, wt double, power double")
+
+
+def surrogate_rows(arrays: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """(signal_id, copy, x): signals with the same power spectrum and shuffled phases."""
+    return rows_of(arrays, lambda x: {"copy": np.arange(count), "x": list(K.surrogates(x, count, seed))}, "copy int, x array<double>")
+
+
+def band_rows(arrays: DataFrame, rate: float, centers: list[float], widths: list[float]) -> DataFrame:
+    """(signal_id, band, n, re, im): analytic signals of Gaussian bands in frequency."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        z = K.band_analytic(x, rate, centers, widths)
+        return {"band": np.repeat(np.arange(len(z)), len(x)), "n": np.tile(np.arange(len(x)), len(z)), "re": z.real.ravel(), "im": z.imag.ravel()}
+
+    return rows_of(arrays, run, "band int, n int, re double, im double")
+
+
 def mean_spectrogram(arrays: DataFrame, rate: float, windows: list[float], hop: float, low: float, high: float, bands: int = 32, mask_gain: float | None = None) -> DataFrame:
     """(signal_id, t_idx, band, x): mean over window lengths of log spectrograms on one grid; optionally masked where they disagree."""
     grid = np.linspace(low, high, bands)
@@ -121,8 +159,9 @@ def mean_spectrogram(arrays: DataFrame, rate: float, windows: list[float], hop:
 # --- multitaper -----------------------------------------------------------------------------------------------------
 
 
-def taper_spectra(frames: DataFrame, size: int, nw: float = 3) -> DataFrame:
-    """(signal_id, frame, taper, k, re, im): detrended frames under 2 nw - 1 Slepian tapers, transformed."""
+def taper_spectra(frames: DataFrame, size: int, nw: float = 3, group: list[str] | None = None) -> DataFrame:
+    """(group, signal_id, frame, taper, k, re, im): detrended frames under 2 nw - 1 Slepian tapers, transformed."""
+    keys = [*(group or []), KEY, "frame"]
     tapers, _ = K.dpss(size, nw, int(2 * nw - 1))
     kind = "array<struct<taper:int,k:int,re:double,im:double>>"
 
@@ -134,49 +173,50 @@ def taper_spectra(frames: DataFrame, size: int, nw: float = 3) -> DataFrame:
             out.append([{"taper": i, "k": k, "re": float(c.real), "im": float(c.imag)} for i, row in enumerate(z) for k, c in enumerate(row)])
         return pd.Series(out)
 
-    arrays = gather(frames, KEY, "frame", order="m")
-    return arrays.select(KEY, "frame", F.explode(run("x")).alias("s")).select(KEY, "frame", "s.taper", "s.k", "s.re", "s.im")
+    arrays = gather(frames, *keys, order="m")
+    return arrays.select(*keys, F.explode(run("x")).alias("s")).select(*keys, "s.taper", "s.k", "s.re", "s.im")
 
 
-def multitaper_coherence(signals: DataFrame, rate: float = 1, size: int = 1024, overlap: float = 0.5, nw: float = 3) -> DataFrame:
-    """(a, b, k, freq, re, im, coherence, lower, upper) of all channel pairs a < b.
+def multitaper_coherence(signals: DataFrame, rate: float = 1, size: int = 1024, overlap: float = 0.5, nw: float = 3, group: str | None = None) -> DataFrame:
+    """(group, a, b, k, freq, re, im, coherence, lower, upper) of all channel pairs a < b, of each group apart.
 
     Cross-spectra average over tapers and sum over chunks; leaving a chunk out is the sum less that chunk, so one window
     gives all pseudovalues. Bounds are two standard errors of the jackknifed arctanh of the coherency's size.
     """
-    spectra = taper_spectra(chunk(signals, size, overlap), size, nw)
-    per = cross_spectra(spectra, ["frame", "taper", "k"]).groupBy("frame", "k", "a", "b").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
-    whole = Window.partitionBy("k", "a", "b")
+    keys = [group] if group else []
+    spectra = taper_spectra(chunk(signals, size, overlap, keys), size, nw, keys)
+    per = cross_spectra(spectra, [*keys, "frame", "taper", "k"]).groupBy(*keys, "frame", "k", "a", "b").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    whole = Window.partitionBy(*keys, "k", "a", "b")
     summed = per.select("*", F.sum("re").over(whole).alias("sre"), F.sum("im").over(whole).alias("sim"), F.count("*").over(whole).alias("n"))
-    own = summed.filter("a = b").select("frame", "k", F.col("a").alias("channel"), F.col("re").alias("p"), F.col("sre").alias("sp"))
-    pairs = summed.filter("a < b").join(own.select("frame", "k", F.col("channel").alias("a"), F.col("p").alias("pa"), F.col("sp").alias("spa")), ["frame", "k", "a"])
-    pairs = pairs.join(own.select("frame", "k", F.col("channel").alias("b"), F.col("p").alias("pb"), F.col("sp").alias("spb")), ["frame", "k", "b"])
+    own = summed.filter("a = b").select(*keys, "frame", "k", F.col("a").alias("channel"), F.col("re").alias("p"), F.col("sre").alias("sp"))
+    on = [*keys, "frame", "k"]
+    pairs = summed.filter("a < b").join(own.select(*on, F.col("channel").alias("a"), F.col("p").alias("pa"), F.col("sp").alias("spa")), [*on, "a"])
+    pairs = pairs.join(own.select(*on, F.col("channel").alias("b"), F.col("p").alias("pb"), F.col("sp").alias("spb")), [*on, "b"])
     scale = F.sqrt(F.col("spa") * F.col("spb"))
     left = F.sqrt((F.col("spa") - F.col("pa")) * (F.col("spb") - F.col("pb")))
     most = F.lit(1 - 1e-12)
     g_all = F.atanh(F.least(F.hypot("sre", "sim") / scale, most))
     g_out = F.atanh(F.least(F.hypot(F.col("sre") - F.col("re"), F.col("sim") - F.col("im")) / left, most))
-    pseudo = pairs.select("k", "a", "b", "n", (F.col("sre") / scale).alias("cre"), (F.col("sim") / scale).alias("cim"), (F.col("n") * g_all - (F.col("n") - 1) * g_out).alias("g"))
-    out = pseudo.groupBy("k", "a", "b").agg(F.first("cre").alias("re"), F.first("cim").alias("im"), F.avg("g").alias("g"), F.sqrt(F.var_pop("g") / F.count("*")).alias("se"))
+    pseudo = pairs.select(*keys, "k", "a", "b", "n", (F.col("sre") / scale).alias("cre"), (F.col("sim") / scale).alias("cim"), (F.col("n") * g_all - (F.col("n") - 1) * g_out).alias("g"))
+    out = pseudo.groupBy(*keys, "k", "a", "b").agg(F.first("cre").alias("re"), F.first("cim").alias("im"), F.avg("g").alias("g"), F.sqrt(F.var_pop("g") / F.count("*")).alias("se"))
 
     def back(v: Column) -> Column:
         return F.pow(F.tanh(F.greatest(v, F.lit(0.0))), F.lit(2.0))
 
-    return out.select("a", "b", "k", (F.col("k") * rate / size).alias("freq"), "re", "im", back(F.col("g")).alias("coherence"), back(F.col("g") - 2 * F.col("se")).alias("lower"), back(F.col("g") + 2 * F.col("se")).alias("upper"))
+    return out.select(*keys, "a", "b", "k", (F.col("k") * rate / size).alias("freq"), "re", "im", back(F.col("g")).alias("coherence"), back(F.col("g") - 2 * F.col("se")).alias("lower"), back(F.col("g") + 2 * F.col("se")).alias("upper"))
 
 
 def split_half_coherence(trials: DataFrame, rate: float, size: int, permutations: int = 5, seed: int = 0, nw: float = 3) -> DataFrame:
-    """(perm, k, freq, coherence) between the mean signals of two hash-drawn halves of the trials (trial, n, x), per permutation."""
+    """(perm, k, freq, coherence) between the mean signals of two halves of the trials (trial, n, x), per permutation.
+
+    A trial's half follows from an MD5 of seed, permutation and trial; all permutations run in one plan, as groups.
+    """
     perms = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
     spread_ = trials.select("trial", "n", "x", perms.alias("perm"))
-    half = F.when(F.pmod(F.xxhash64(F.lit(seed), "perm", "trial"), F.lit(2)) == 0, "a").otherwise("b")
-    means = spread_.groupBy("perm", "n", half.alias("half")).agg(F.avg("x").alias("x"))
-    out = None
-    for i in range(permutations):
-        own = multitaper_coherence(means.filter(F.col("perm") == i).select(F.col("half").alias(KEY), "n", "x"), rate, size, 0.5, nw)
-        own = own.select(F.lit(i).alias("perm"), "k", "freq", "coherence")
-        out = own if out is None else out.unionByName(own)
-    return out
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("trial").cast("string")).cast("binary"))
+    half = F.when(F.substring(digest, 1, 1) < "8", "a").otherwise("b")
+    means = spread_.groupBy("perm", half.alias(KEY), "n").agg(F.avg("x").alias("x"))
+    return multitaper_coherence(means, rate, size, 0.5, nw, "perm").select("perm", "k", "freq", "coherence")
 
 
 def multitaper_power(signals: DataFrame, rate: float, size: int, nw: float = 3) -> DataFrame:
@@ -204,17 +244,29 @@ def lag_coherency(cf: DataFrame, first: DataFrame, second: DataFrame, noise_db:
     return joined.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "lag int, coherency double")
 
 
-def wiener_filter(cross: DataFrame, auto: DataFrame) -> DataFrame:
-    """(k, re, im): Hann-windowed cross-correlogram over autocorrelogram in frequency."""
+def wiener_filter(cross: DataFrame, auto: DataFrame, output: DataFrame | None = None) -> DataFrame:
+    """(k, re, im): Hann-windowed cross-correlogram over the input's autocorrelogram in frequency.
+
+    With the output's autocorrelogram also coherence: the cross-spectrum's squared size over both powers. Without lags but
+    0 the one row is the regression coefficient (and the squared correlation).
+    """
     joined = cross.join(auto.select("lag", F.col("cf").alias("a")), "lag")
+    schema = "k int, re double, im double"
+    if output is not None:
+        joined, schema = joined.join(output.select("lag", F.col("cf").alias("b")), "lag"), schema + ", coherence double"
+    both = output is not None
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("lag")
-        w = np.hanning(len(rows))
-        h = np.fft.rfft(np.fft.ifftshift(rows["cf"].to_numpy() * w)) / np.maximum(np.abs(np.fft.rfft(np.fft.ifftshift(rows["a"].to_numpy() * w))), 1e-300)
-        return pd.DataFrame({"k": np.arange(len(h)), "re": h.real, "im": h.imag})
-
-    return joined.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "k int, re double, im double")
+        w = np.hanning(len(rows)) if len(rows) > 1 else np.ones(1)
+        c, *own = (np.fft.rfft(np.fft.ifftshift(rows[v].to_numpy() * w)) for v in ("cf", "a", "b") if v in rows)
+        power = [np.maximum(np.abs(v), 1e-300) for v in own]
+        out = {"k": np.arange(len(c)), "re": (c / power[0]).real, "im": (c / power[0]).imag}
+        if both:
+            out["coherence"] = np.abs(c) ** 2 / (power[0] * power[1])
+        return pd.DataFrame(out)
+
+    return joined.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, schema)
 
 
 def acf_spectrum(acf: DataFrame) -> DataFrame:

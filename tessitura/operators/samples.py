@@ -169,19 +169,19 @@ def instantaneous_frequency(analytic: DataFrame, rate: float) -> DataFrame:
     return analytic.select(KEY, "n", F.coalesce(freq, F.lit(0.0)).alias("freq"))
 
 
-def chunk(signals: DataFrame, size: int = 1024, overlap: float = 0.5) -> DataFrame:
-    """(signal_id, frame, m, x): frames of ``size`` samples, the last zero-padded; samples map to their frames without a join."""
-    hop = size - int(size * overlap)
-    length = F.max("n").over(_whole()) + 1
+def chunk(signals: DataFrame, size: int = 1024, overlap: float = 0.5, group: list[str] | None = None) -> DataFrame:
+    """(group, signal_id, frame, m, x): frames of ``size`` samples, the last zero-padded; samples map to their frames without a join."""
+    keys, hop = [*(group or []), KEY], size - int(size * overlap)
+    length = F.max("n").over(Window.partitionBy(*keys)) + 1
     frames = F.greatest(F.floor((F.col("len") - hop) / hop) + F.when(F.col("len") % hop != 0, 1).otherwise(0), F.lit(1))
-    sized = signals.select(KEY, "n", "x", length.alias("len")).select("*", frames.cast("int").alias("frames"))
+    sized = signals.select(*keys, "n", "x", length.alias("len")).select("*", frames.cast("int").alias("frames"))
     first = F.greatest(F.ceil((F.col("n") - size + 1) / hop), F.lit(0)).cast("int")
     last = F.least(F.floor(F.col("n") / hop), F.col("frames") - 1).cast("int")
-    held = sized.filter(first <= last).select(KEY, F.explode(F.sequence(first, last)).alias("frame"), "n", "x")
-    held = held.select(KEY, "frame", (F.col("n") - F.col("frame") * hop).cast("int").alias("m"), "x")
-    grid = sized.select(KEY, "frames").distinct().select(KEY, F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame"))
-    grid = grid.select(KEY, "frame", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("m"))
-    return grid.join(held, [KEY, "frame", "m"], "left").select(KEY, "frame", "m", F.coalesce("x", F.lit(0.0)).alias("x"))
+    held = sized.filter(first <= last).select(*keys, F.explode(F.sequence(first, last)).alias("frame"), "n", "x")
+    held = held.select(*keys, "frame", (F.col("n") - F.col("frame") * hop).cast("int").alias("m"), "x")
+    grid = sized.select(*keys, "frames").distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame"))
+    grid = grid.select(*keys, "frame", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("m"))
+    return grid.join(held, [*keys, "frame", "m"], "left").select(*keys, "frame", "m", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def sliding_windows(n: Column, rate: float, increment: float, window: float) -> Column:

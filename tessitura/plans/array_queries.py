@@ -1,4 +1,4 @@
-"""Queries whose kernels run in Arrow batches: no SQL twin; tested against NumPy and closed forms."""
+"""Queries whose kernels run in Arrow batches; their SQL twins, where SQL can say it, are in ``kernel_sql``."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ from tessitura.operators import arrays as A
 from tessitura.operators import graphs as G
 from tessitura.operators import learn as M
 from tessitura.operators import statistics as T
+from tessitura.plans import kernel_sql
+from tessitura.plans.kernel_sql import BANDS
 from tessitura.plans.tables import nation_edges, r, signal, table
-from tessitura.session import shared_table
+from tessitura.session import shared_folder, shared_table
 from tessitura.sources import wav
 
 QUERIES: dict = {}
@@ -27,46 +29,55 @@ def _arrays(spark, d):
     return A.gather(signal(spark, d, True))
 
 
+def _samples(arrays, digits: int):
+    return A.spread(arrays).select("signal_id", "n", r("x", digits).alias("x"))
+
+
+def _complex(rows, digits: int):
+    return rows.select(*[r(c, digits).alias(c) if c in ("re", "im") else c for c in rows.columns])
+
+
 @query
 def lowpass(spark, d):
-    return A.spread(_arrays(spark, d).select("signal_id", A.lowpass("x", 24.0, 2.0).alias("x")))
+    return _samples(_arrays(spark, d).select("signal_id", A.lowpass("x", 24.0, 2.0).alias("x")), 4)
 
 
 @query
 def highpass(spark, d):
-    return A.spread(_arrays(spark, d).select("signal_id", A.highpass("x", 24.0, 2.0).alias("x")))
+    return _samples(_arrays(spark, d).select("signal_id", A.highpass("x", 24.0, 2.0).alias("x")), 4)
 
 
 @query
 def bandpass(spark, d):
-    return A.spread(_arrays(spark, d).select("signal_id", A.bandpass("x", 24.0, 0.8, 1.2, 3).alias("x")))
+    return _samples(_arrays(spark, d).select("signal_id", A.bandpass("x", 24.0, 0.8, 1.2, 3).alias("x")), 4)
 
 
 @query
 def resample(spark, d):
-    return A.spread(_arrays(spark, d).select("signal_id", A.resample("x", 24.0, 12.0).alias("x")))
+    return _samples(_arrays(spark, d).select("signal_id", A.resample("x", 24.0, 12.0).alias("x")), 5)
 
 
 @query
 def envelope(spark, d):
-    return A.spread(_arrays(spark, d).select("signal_id", A.envelope("x", 24.0, 1.0).alias("x")))
+    return _samples(_arrays(spark, d).select("signal_id", A.envelope("x", 24.0, 1.0).alias("x")), 4)
 
 
 @query
 def analytic_signal(spark, d):
     z = _arrays(spark, d).select("signal_id", F.posexplode(A.analytic("x")).alias("n", "z"))
-    return z.select("signal_id", "n", "z.re", "z.im")
+    return _complex(z.select("signal_id", "n", "z.re", "z.im"), 5)
 
 
 @query
 def fft_segments(spark, d):
     z = _arrays(spark, d).select("signal_id", F.posexplode(A.fft("x")).alias("k", "z"))
-    return z.select("signal_id", "k", "z.re", "z.im")
+    return _complex(z.select("signal_id", "k", "z.re", "z.im"), 3)
 
 
 @query
 def gaussian_stft(spark, d):
-    return A.stft_rows(_arrays(spark, d), 24.0, 2.0, 0.5, K.GaussianEstimator())
+    rows = A.stft_rows(_arrays(spark, d), 24.0, 2.0, 0.5, K.GaussianEstimator())
+    return _complex(rows.withColumns({"t": r("t"), "f": r("f")}), 5)
 
 
 @query
@@ -77,31 +88,32 @@ def multitaper_stft(spark, d):
 @query
 def wavelet_scalogram(spark, d):
     est = K.WaveletEstimator(6, 0.5, 8, 12)
-    return A.stft_rows(_arrays(spark, d), 24.0, est.window(), 1.0, est)
+    rows = A.stft_rows(_arrays(spark, d), 24.0, est.window(), 1.0, est)
+    return _complex(rows.withColumns({"t": r("t"), "f": r("f")}), 4)
 
 
 @query
 def mean_spectrogram(spark, d):
-    return A.mean_spectrogram(_arrays(spark, d), 24.0, [2.0, 4.0], 1.0, 0.5, 10.0, 16, 3.0)
+    out = A.mean_spectrogram(_arrays(spark, d), 24.0, [2.0, 4.0], 1.0, 0.5, 10.0, 16, 3.0)
+    return out.select("signal_id", "t_idx", "band", r("x", 5).alias("x"))
 
 
 @query
 def multitaper_coherence(spark, d):
-    return A.multitaper_coherence(signal(spark, d, True), 24.0, 120, 0.5, 3)
+    out = A.multitaper_coherence(signal(spark, d, True), 24.0, 120, 0.5, 3)
+    return out.select("a", "b", "k", *[r(c).alias(c) for c in ("freq", "re", "im", "coherence", "lower", "upper")])
 
 
 @query
 def multitaper_power(spark, d):
-    return A.multitaper_power(signal(spark, d, True), 24.0, 120, 3)
+    out = A.multitaper_power(signal(spark, d, True), 24.0, 120, 3)
+    return out.select("signal_id", "k", r("freq").alias("freq"), r("power", 4).alias("power"), r("std", 4).alias("std"))
 
 
 @query
 def modulation_spectrum(spark, d):
-    def run(v):
-        _, f, s = K.spectrogram(np.asarray(v), 24.0, 4.0, 0.5)
-        return K.modulation_spectrum(20 * np.log10(np.abs(s) + 1e-9), f[1] - f[0], 0.25)[2].ravel()
-
-    return A.spread(_arrays(spark, d).select("signal_id", A.array_map(run).alias("x")))
+    out = A.modulation_rows(_arrays(spark, d), 24.0, 4.0, 0.5)
+    return out.select("signal_id", r("wf").alias("wf"), r("wt").alias("wt"), r("power", 4).alias("power"))
 
 
 @query
@@ -111,7 +123,7 @@ def inverse_spectrogram(spark, d):
         _, _, s = K.spectrogram(v, 24.0, 4.0, 0.5)
         return K.inverse_spectrogram(s, len(v), 24.0, 4.0, 0.5)
 
-    return A.spread(_arrays(spark, d).select("signal_id", A.array_map(run).alias("x")))
+    return _samples(_arrays(spark, d).select("signal_id", A.array_map(run).alias("x")), 5)
 
 
 @query
@@ -119,10 +131,31 @@ def surrogates(spark, d):
     return A.spread(_arrays(spark, d).select("signal_id", A.array_map(lambda v: K.surrogates(v, 3, 1).ravel()).alias("x")))
 
 
+@query
+def surrogate_power(spark, d):
+    """|FFT|^2 of surrogates, which is that of the signal."""
+    copies = A.surrogate_rows(_arrays(spark, d), 3, 1)
+    power = A.array_map(lambda v: np.abs(np.fft.rfft(v)) ** 2 / 1e6)
+    return copies.select("signal_id", "copy", F.posexplode(power).alias("k", "power")).select("signal_id", "copy", "k", r("power", 4).alias("power"))
+
+
+@query
+def band_analytic(spark, d):
+    out = A.band_rows(_arrays(spark, d), 24.0, [c for c, _ in BANDS], [w for _, w in BANDS])
+    return _complex(out, 5)
+
+
+@query
+def linear_prediction(spark, d):
+    a = _arrays(spark, d).select("signal_id", A.array_map(lambda v: K.lpc(v, 2)).alias("a"))
+    return a.select("signal_id", *[r(F.col("a")[i]).alias(f"a{i}") for i in range(3)])
+
+
 @query
 def split_half_coherence(spark, d):
     days = signal(spark, d, True).select(F.concat_ws("-", "signal_id", F.floor(F.col("n") / 240)).alias("trial"), (F.col("n") % 240).cast("int").alias("n"), "x")
-    return A.split_half_coherence(days, 24.0, 48, 2)
+    out = A.split_half_coherence(days, 24.0, 48, 2)
+    return out.select("perm", "k", r("freq").alias("freq"), r("coherence").alias("coherence"))
 
 
 def _cf(spark, d, a, b):
@@ -131,22 +164,24 @@ def _cf(spark, d, a, b):
 
 @query
 def lag_coherency(spark, d):
-    return A.lag_coherency(_cf(spark, d, "click", "view"), _cf(spark, d, "click", "click"), _cf(spark, d, "view", "view"))
+    out = A.lag_coherency(_cf(spark, d, "click", "view"), _cf(spark, d, "click", "click"), _cf(spark, d, "view", "view"))
+    return out.select("lag", r("coherency").alias("coherency"))
 
 
 @query
 def wiener_filter(spark, d):
-    return A.wiener_filter(_cf(spark, d, "click", "view"), _cf(spark, d, "click", "click"))
+    out = A.wiener_filter(_cf(spark, d, "click", "view"), _cf(spark, d, "click", "click"), _cf(spark, d, "view", "view"))
+    return out.select("k", *[r(c).alias(c) for c in ("re", "im", "coherence")])
 
 
 @query
 def acf_spectrum(spark, d):
-    return A.acf_spectrum(_cf(spark, d, "click", "click"))
+    return A.acf_spectrum(_cf(spark, d, "click", "click")).select("k", r("power").alias("power"))
 
 
 @query
 def whiten(spark, d):
-    return M.whiten(signal(spark, d, True), 3)
+    return M.whiten(signal(spark, d, True), 3).select("signal_id", "n", r("x", 5).alias("x"))
 
 
 @query
@@ -159,6 +194,17 @@ def empirical_modes(spark, d):
     return A.modes(_arrays(spark, d))
 
 
+@query
+def mode_sums(spark, d):
+    """Modes and rest add up to the signal."""
+    return A.modes(_arrays(spark, d)).groupBy("signal_id", "n").agg(r(F.sum("value"), 5).alias("x"))
+
+
+@query
+def multichannel_mode_sums(spark, d):
+    return A.multi_modes(signal(spark, d, True), 3, 8).groupBy("signal_id", "n").agg(r(F.sum("value"), 5).alias("x"))
+
+
 @query
 def multichannel_modes(spark, d):
     return A.multi_modes(signal(spark, d, True), 3, 8)
@@ -244,15 +290,13 @@ def spectral_clusters(spark, d):
 
 @query
 def wav_round_trip(spark, d):
-    files = wav.to_wav(_arrays(spark, d), 24)
-
-    def run(batches):
-        import pandas as pd
-
-        for rows in batches:
-            for name, data in zip(rows["signal_id"], rows["content"], strict=True):
-                rate, channels = wav.parse_wav(bytes(data))
-                yield pd.DataFrame({"signal_id": [name], "sr": [rate], "samples": [len(channels[0])], "peak": [max(map(abs, channels[0]))]})
+    """Signals written as WAV files to the shared folder, found and read back."""
+    folder = shared_folder(spark, "wav")
+    wav.write_wav(_arrays(spark, d), folder, 24)
+    back = wav.read_wav(spark, folder)
+    name = F.regexp_extract("signal_id", r"([^/]*)\.wav$", 1)
+    sizes = F.aggregate("x", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v)))
+    return back.select(name.alias("signal_id"), "sr", F.size("x").cast("long").alias("samples"), sizes.alias("peak"), F.aggregate("x", F.lit(0.0), lambda m, v: m + v).alias("total"))
 
-    return files.mapInPandas(run, "signal_id string, sr int, samples int, peak double")
 
+ORACLES = {name: sql for name, sql in kernel_sql.ORACLES.items() if name in QUERIES}

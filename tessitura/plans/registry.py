@@ -3,4 +3,4 @@
 from tessitura.plans import array_queries, point_queries, signal_queries
 
 QUERIES = {**signal_queries.QUERIES, **point_queries.QUERIES, **array_queries.QUERIES}
-ORACLES = {**signal_queries.ORACLES, **point_queries.ORACLES}
+ORACLES = {**signal_queries.ORACLES, **point_queries.ORACLES, **array_queries.ORACLES}

@@ -43,15 +43,19 @@ def ship_package(spark: SparkSession) -> None:
     context._tessitura_shipped = True
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back; where that is unset, a local master gets a fresh folder and
-    any other raises, as its executors share no disk."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessitura_tables", None)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local master gets a fresh one and any other raises, as
+    its executors share no disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_tessitura_tables", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = spark._tessitura_tables = "file://" + tempfile.mkdtemp(prefix="tessitura-")
-    path = f"{folder.rstrip('/')}/tessitura/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tessitura/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a shared folder and read it back: lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

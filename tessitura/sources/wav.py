@@ -20,14 +20,23 @@ def parse_wav(data: bytes, mono: bool = False) -> tuple[int, list[list[float]]]:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if name == b"fmt ":
             tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            if tag == 0xFFFE and size >= 26:  # extensible: the format is the first field of the sub-format
+                tag = struct.unpack_from("<H", data, at + 32)[0]
         elif name == b"data":
             body = data[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    kind = {(1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}.get((tag, bits))
-    if kind is None:
-        raise ValueError("unsupported sample format")
     step = channels * bits // 8
-    x = np.frombuffer(body[: len(body) // step * step], kind).astype(float).reshape(-1, channels).T
+    body = body[: len(body) // step * step] if step else b""
+    if (tag, bits) == (1, 24):
+        wide = np.zeros((len(body) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        flat = (wide.view("<i4")[:, 0] >> 8).astype(float)
+    else:
+        kind = {(1, 8): "u1", (1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}.get((tag, bits))
+        if kind is None:
+            raise ValueError("unsupported sample format")
+        flat = np.frombuffer(body, kind).astype(float)
+    x = flat.reshape(-1, channels).T
     return rate, (x[:1] if mono else x).tolist()
 
 
@@ -71,16 +80,25 @@ def to_wav(arrays: DataFrame, rate: int, normalize: bool = True) -> DataFrame:
 
 
 def write_wav(arrays: DataFrame, folder: str, rate: int, normalize: bool = True) -> None:
-    """One file a signal under a folder that all executors can write to."""
+    """One file a signal under a mounted folder that all executors share (a path or a file: URI), named by its id, percent-encoded.
+
+    Files appear whole, so a task that runs twice does no harm. Other stores take the rows of ``to_wav`` through a sink of their own.
+    """
+    root = folder.removeprefix("file://")
+    if "://" in root or root.startswith(("hdfs:", "s3")):
+        raise ValueError("write_wav needs a mounted folder")
 
     def save(rows) -> None:
         import os
+        import uuid
+        from urllib.parse import quote
 
-        os.makedirs(folder, exist_ok=True)
+        os.makedirs(root, exist_ok=True)
         for row in rows:
-            name = "".join(c if c.isalnum() else "_" for c in row["signal_id"])
-            with open(f"{folder}/{name}.wav", "wb") as file:
+            part = f"{root}/.{uuid.uuid4().hex}"
+            with open(part, "wb") as file:
                 file.write(bytes(row["content"]))
+            os.replace(part, f"{root}/{quote(row['signal_id'], safe='')}.wav")
 
     to_wav(arrays, rate, normalize).foreachPartition(save)
 
