@@ -50,18 +50,47 @@ def butter_sos(order: int, cut: float | tuple[float, float], kind: str) -> np.nd
     return out
 
 
+#: Samples that a filter section takes at once.
+BLOCK = 256
+
+
+def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One second-order section over all of ``x`` from a state, block by block.
+
+    In state-space form a block's output is a triangular Toeplitz matrix of the impulse response times its input, plus the
+    response to the state at its start; the next state is linear in both, so only states pass from block to block.
+    """
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    drive = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    size = min(BLOCK, max(1, len(x)))
+    powers = np.empty((size + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for i in range(size):
+        powers[i + 1] = step @ powers[i]
+    free = powers[:size, 0, :]  # output at each place of a block for each part of the state
+    impulse = np.concatenate([[b[0]], powers[: size - 1, 0, :] @ drive])
+    lag = np.arange(size)[:, None] - np.arange(size)[None]
+    forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    carry = (powers[:size] @ drive)[::-1].T  # next state from a block's input
+    out = np.empty(len(x))
+    whole = len(x) // size
+    inputs = x[: whole * size].reshape(whole, size)
+    pushes, settled = inputs @ carry.T, powers[size]
+    starts = np.empty((whole, 2))
+    for i in range(whole):
+        starts[i] = state
+        state = settled @ state + pushes[i]
+    out[: whole * size] = (inputs @ forced.T + starts @ free.T).ravel()
+    rest = x[whole * size :]
+    out[whole * size :] = forced[: len(rest), : len(rest)] @ rest + free[: len(rest)] @ state
+    return out
+
+
 def sos_filter(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """Direct form II transposed over the last axis."""
+    """A cascade of second-order sections (b0 b1 b2 1 a1 a2) over a signal, from a state for each (0 if none is given)."""
     y = np.array(x, float)
-    for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        s1, s2 = (0.0, 0.0) if state is None else (state[i, 0], state[i, 1])
-        out = np.empty_like(y)
-        for n, v in enumerate(y.tolist()):
-            w = b0 * v + s1
-            s1 = b1 * v - a1 * w + s2
-            s2 = b2 * v - a2 * w
-            out[n] = w
-        y = out
+    for i, section in enumerate(sos):
+        y = _section(section[:3], section[3:], y, np.zeros(2) if state is None else state[i])
     return y
 
 

@@ -16,18 +16,12 @@ from pyspark.sql import functions as F
 from tessitura.functions import emd_kernels as E
 from tessitura.functions import kernels as K
 from tessitura.functions import sound_kernels as V
-from tessitura.operators.samples import KEY, chunk
+from tessitura.operators.samples import KEY, chunk, gather, rows_of
 from tessitura.operators.spectra import cross_spectra
 
 COMPLEX = "array<struct<re:double,im:double>>"
 
 
-def gather(signals: DataFrame, *keys: str, order: str = "n") -> DataFrame:
-    """(keys, x): every signal as one array, in the order of its samples."""
-    keys = keys or (KEY,)
-    return signals.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "x"))), lambda s: s["x"]).alias("x"))
-
-
 def spread(arrays: DataFrame, column: str = "x", *keys: str) -> DataFrame:
     """(keys, n, x): arrays back to samples."""
     keys = keys or (KEY,)
@@ -95,18 +89,6 @@ def stft_rows(arrays: DataFrame, rate: float, window: float, hop: float, estimat
     return arrays.select(key, "x").mapInPandas(run, f"{key} string, t_idx long, f_idx long, t double, f double, re double, im double")
 
 
-def rows_of(arrays: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, column: str = "x", key: str = KEY) -> DataFrame:
-    """(key, schema's columns): every signal's rows by a kernel that returns columns of equal length."""
-
-    def run(batches):
-        for rows in batches:
-            for name, x in zip(rows[key], rows[column], strict=True):
-                out = kernel(np.asarray(x, float))
-                yield pd.DataFrame({key: [name] * len(next(iter(out.values()))), **out})
-
-    return arrays.select(key, column).mapInPandas(run, f"{key} string, {schema}")
-
-
 def modulation_rows(arrays: DataFrame, rate: float, spec_rate: float, spacing: float, window: float | None = None) -> DataFrame:
     """(signal_id, wf, wt, power): modulation spectrum of the log spectrogram of every signal."""
 

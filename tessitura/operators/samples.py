@@ -6,13 +6,36 @@ A signal is a partition of its key, so many signals run in parallel; the samples
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections.abc import Callable
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "signal_id"
 
 
+def gather(signals: DataFrame, *keys: str, order: str = "n") -> DataFrame:
+    """(keys, x): every signal as one array, in the order of its samples."""
+    keys = keys or (KEY,)
+    return signals.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "x"))), lambda s: s["x"]).alias("x"))
+
+
+def rows_of(arrays: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, column: str = "x", key: str = KEY) -> DataFrame:
+    """(key, schema's columns): every signal's rows by a kernel that returns columns of equal length."""
+
+    def run(batches):
+        for rows in batches:
+            for name, x in zip(rows[key], rows[column], strict=True):
+                out = kernel(np.asarray(x, float))
+                yield pd.DataFrame({key: [name] * len(next(iter(out.values()))), **out})
+
+    return arrays.select(key, column).mapInPandas(run, f"{key} string, {schema}")
+
+
 def _whole():
     return Window.partitionBy(KEY)
 
@@ -82,21 +105,31 @@ def detect_peaks(signals: DataFrame, least: float | None = None, distance: int =
         found = found.filter(F.least(F.col("v") - F.col("b"), F.col("v") - F.col("a")) >= threshold)
     if distance <= 1:
         return found.select(KEY, "n", "x")
-    import numpy as np
-    import pandas as pd
-
-    def suppress(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        n, v = rows["n"].to_numpy(), rows["v"].to_numpy()
-        dead, kept = np.zeros(len(n), bool), []
-        for i in np.lexsort((n, v))[::-1]:
-            if not dead[i]:
-                near = (n >= n[i] - distance) & (n <= n[i] + distance)
-                dead |= near & (v < v[i]) if keep_same else near
-                kept.append(i)
-        return rows.iloc[sorted(kept)][[KEY, "n", "x"]]
-
-    return found.select(KEY, "n", "x", "v").groupBy(KEY).applyInPandas(suppress, signals.select(KEY, "n", "x").schema)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(rows["n"].tolist(), rows["v"].tolist(), strict=True))
+        return rows[rows["n"].isin(thin_peaks(own, distance, keep_same))][[KEY, "n", "x"]]
+
+    return found.select(KEY, "n", "x", "v").groupBy(KEY).applyInPandas(run, signals.select(KEY, "n", "x").schema)
+
+
+def thin_peaks(heights: dict[int, float], distance: int, keep_same: bool = False) -> list[int]:
+    """Places kept, rising: a place stays if no kept place within the distance is higher, or as high and later.
+
+    Places come by falling height, and the kept ones stay sorted, so each place looks at its two neighbours among them.
+    With ``keep_same`` equal heights don't see each other: they join the kept places together.
+    """
+    kept: list[int] = []
+
+    def free(place: int) -> bool:
+        at = bisect_left(kept, place)
+        return not ((at < len(kept) and kept[at] - place <= distance) or (at and place - kept[at - 1] <= distance))
+
+    ranked = sorted(heights.items(), key=lambda item: (-item[1], -item[0]))
+    for _, level in groupby(ranked, key=lambda item: item[1] if keep_same else item):
+        for place in [p for p, _ in level if free(p)]:
+            insort(kept, place)
+    return kept
 
 
 def break_into_events(signals: DataFrame, threshold: float = 0, merge: float | None = None, least_peak: float | None = None) -> DataFrame:

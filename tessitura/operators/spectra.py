@@ -1,16 +1,15 @@
-"""Spectra in relational form: DFT as a join with its frequencies, coherence, spectrum statistics.
-
-These run whole on the JVM and have SQL twins; tessitura.operators.kernels holds the array forms for long signals.
-"""
+"""Spectra: whole signals by FFT in Arrow batches, short frames as a join with their frequencies on the JVM; coherence and
+spectrum statistics in relational form."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.operators.samples import KEY
+from tessitura.operators.samples import KEY, gather, rows_of
 
 
 def dft(frames: DataFrame, keys: list[str], index: str, size: int, ks: list[int]) -> DataFrame:
@@ -24,17 +23,21 @@ def dft(frames: DataFrame, keys: list[str], index: str, size: int, ks: list[int]
 
 
 def power_spectrum(signals: DataFrame, size: int, rate: float, log: bool = False, hann: bool = False) -> DataFrame:
-    """(signal_id, k, freq, power): |FFT|^2 at the frequencies from 0 up to but not the Nyquist of an even size.
+    """(signal_id, k, freq, power): |FFT|^2 over ``size`` points at the frequencies from 0 up to but not the Nyquist of an even size.
 
-    ``hann`` applies a symmetric Hann window first; ``log`` gives 20 log10(power / max).
+    Signals are padded with zeros to ``size`` (or cut). ``hann`` applies a symmetric Hann window first; ``log`` gives
+    20 log10(power / max). One FFT a signal, so a million samples are a matter of a fraction of a second.
     """
-    x = F.col("x") * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("n") / (size - 1))) if hann else F.col("x")
-    spec = dft(signals.select(KEY, "n", x.alias("x")), [KEY], "n", size, list(range((size + 1) // 2)))
-    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    out = spec.select(KEY, "k", (F.col("k") * rate / size).alias("freq"), power.alias("power"))
-    if log:
-        out = out.withColumn("power", 20 * F.log10(F.col("power") / F.max("power").over(Window.partitionBy(KEY))))
-    return out
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        x = np.pad(x[:size], (0, max(0, size - len(x))))
+        power = np.abs(np.fft.rfft(x * np.hanning(size) if hann else x)[: (size + 1) // 2]) ** 2
+        if log:
+            power = 20 * np.log10(np.maximum(power, 1e-300) / max(power.max(), 1e-300))
+        k = np.arange(len(power))
+        return {"k": k, "freq": k * rate / size, "power": power}
+
+    return rows_of(gather(signals), run, "k int, freq double, power double")
 
 
 def cross_spectra(spectra: DataFrame, keys: list[str], channel: str = KEY) -> DataFrame:

@@ -27,8 +27,10 @@ def r(value: Column | str, digits: int = 6) -> Column:
 def signal(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
     """(signal_id, n, x): hourly sums of ``events.value``, missing hours 0; one signal, or one for each event type."""
     key = F.col("event_type") if by_type else F.lit("hourly")
-    sums = table(spark, sf_dir, "events").select(key.alias("signal_id"), F.floor(seconds() / 3600).cast("int").alias("n"), "value").filter((F.col("n") >= 0) & (F.col("n") < HOURS))
-    sums = sums.groupBy("signal_id", "n").agg(F.sum("value").alias("x"))
+    sums = table(spark, sf_dir, "events").select(key.alias("signal_id"), F.floor(seconds() / 3600).cast("int").alias("n"), "value")
+    # the signal's length is part of every query on it, so events outside are an error, not left out
+    inside = F.when((F.col("n") >= 0) & (F.col("n") < HOURS), F.col("n")).otherwise(F.raise_error(F.lit(f"an event lies outside the {HOURS} hours of the signal")).cast("int"))
+    sums = sums.withColumn("n", inside).groupBy("signal_id", "n").agg(F.sum("value").alias("x"))
     names = TYPES if by_type else ("hourly",)
     grid = spark.range(HOURS).select(F.col("id").cast("int").alias("n"), F.explode(F.array(*map(F.lit, names))).alias("signal_id"))
     return grid.join(sums, ["signal_id", "n"], "left").select("signal_id", "n", F.coalesce("x", F.lit(0.0)).alias("x"))

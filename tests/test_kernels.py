@@ -156,3 +156,19 @@ def test_complex_components_invert_and_demodulation_stills_phase():
     wave = np.exp(2j * np.pi * 5 * T)
     out = L.demodulate(np.array([wave, 0.5 * wave]))
     assert np.abs(np.diff(np.unwrap(np.angle(out[0])))).max() < 0.01
+
+
+@pytest.mark.parametrize("size", [1, 5, 255, 256, 257, 1000])
+def test_blocked_filter_equals_the_recursion(size):
+    rng = np.random.default_rng(size)
+    sos, x = K.butter_sos(5, (0.1, 0.3), "band"), rng.normal(size=size)
+    state = rng.normal(size=(len(sos), 2))
+    want = x.tolist()
+    for (b0, b1, b2, _, a1, a2), (s1, s2) in zip(sos, state, strict=True):
+        out = []
+        for v in want:
+            w = b0 * v + s1
+            s1, s2 = b1 * v - a1 * w + s2, b2 * v - a2 * w
+            out.append(w)
+        want = out
+    assert np.allclose(K.sos_filter(sos, x, state), want, rtol=1e-9, atol=1e-10)

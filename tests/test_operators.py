@@ -98,3 +98,17 @@ def test_page_rank_sums_to_one(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 2.0), ("a", "d", 1.0)], "src string, dst string, weight double")
     rank = G.page_rank(edges, iterations=20).toPandas()
     assert abs(rank["rank"].sum() - 1) < 1e-9 and len(rank) == 4
+
+
+def test_thinned_peaks_equal_the_definition():
+    rng = np.random.default_rng(4)
+    for keep_same in (False, True):
+        for _ in range(50):
+            at = np.sort(rng.choice(60, 20, False)).tolist()
+            heights = {int(n): float(rng.integers(0, 5)) for n in at}
+            kept, dead = [], set()
+            for n in sorted(heights, key=lambda n: (-heights[n], -n)):
+                if n not in dead:
+                    kept.append(n)
+                    dead |= {m for m in heights if abs(m - n) <= 4 and m != n and (heights[m] < heights[n] or not keep_same)}
+            assert S.thin_peaks(heights, 4, keep_same) == sorted(kept)
