@@ -94,6 +94,13 @@ def in_crowd(model: ConvolutionModel, l1: float, l2: float = 0.0, fraction: floa
     return w
 
 
+def sign_constrained(gram: np.ndarray, xty: np.ndarray, signs: np.ndarray, l1: float = 200.0) -> np.ndarray:
+    """Least squares with l1 |w|_1 under given signs of the weights (1 or -1): columns are flipped, and what is solved is
+    nonnegative."""
+    s = np.where(signs < 0, -1.0, 1.0)
+    return s * K.elastic_net(gram * np.outer(s, s), xty * s, l1, 0.0, True)
+
+
 def difference_gradient(f, w: np.ndarray, eps: float = 1e-8) -> np.ndarray:
     base = f(w)
     return np.array([(f(w + eps * e) - base) / eps for e in np.eye(len(w))])

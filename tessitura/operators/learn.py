@@ -56,20 +56,24 @@ def strf_lasso(samples: DataFrame, target: DataFrame, lags: list[int], l1: float
 
 
 def whiten(signals: DataFrame, order: int) -> DataFrame:
-    """(signal_id, n, x): residual of the least-squares prediction from the last ``order`` samples."""
+    """(signal_id, n, x): residual of the least-squares prediction from the last ``order`` samples.
+
+    Products are summed per signal, one small system each is solved in Arrow batches, and the weights come back in a join.
+    """
     w = Window.partitionBy(KEY).orderBy("n")
     cols = signals.select(KEY, "n", (F.col("x") - F.avg("x").over(Window.partitionBy(KEY))).alias("x"))
     cols = cols.select("*", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, order + 1)]).filter(F.col(f"l{order}").isNotNull())
     names = [f"l{k}" for k in range(1, order + 1)]
-    sums = cols.groupBy(KEY).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in [*names[i:], "x"]])
-    fits = {}
-    for row in sums.collect():  # one small row per signal
-        g = np.array([[row[f"{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"] for b in names] for a in names])
-        fits[row[KEY]] = np.linalg.lstsq(g, np.array([row[f"{a}_x"] for a in names]), rcond=None)[0]
-    guess = F.lit(0.0)
-    for name, c in fits.items():
-        guess = F.when(F.col(KEY) == name, sum((float(v) * F.col(a) for v, a in zip(c, names, strict=True)), F.lit(0.0))).otherwise(guess)
-    return cols.select(KEY, "n", (F.col("x") - guess).alias("x"))
+    gram = F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names])
+    sums = cols.groupBy(KEY).agg(gram.alias("gram"), F.array(*[F.sum(F.col(a) * F.col("x")) for a in names]).alias("xty"))
+
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, xty: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.lstsq(np.reshape(g, (order, order)), b, rcond=None)[0] for g, b in zip(gram, xty, strict=True)])
+
+    fits = sums.select(KEY, solve("gram", "xty").alias("w"))
+    guess = sum((F.col("w")[i] * F.col(a) for i, a in enumerate(names)), F.lit(0.0))
+    return cols.join(fits, KEY).select(KEY, "n", (F.col("x") - guess).alias("x"))
 
 
 def discriminate(rows: DataFrame, folds: int = 5, least: int = 5, components: int | None = None, pca_in_fold: bool = False, forest: bool = False) -> DataFrame:
@@ -168,18 +172,106 @@ def complex_pca(rows: DataFrame, channels: int, k: int | None = None, zscore: bo
     return L.complex_pca(a + b + 1j * (c - c.T), k)
 
 
-def discrete_information(rows: DataFrame, k: int = 3, base: float = 2) -> DataFrame:
-    """(information): entropy of continuous x less its mean over classes y, by class groups; small classes count as the whole."""
+def complex_transform(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """Every column of (re array, im array) rows beside them, with the two as scores on the components."""
+    return _complex_map(rows, vectors)
+
+
+def complex_inverse(scores: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """Rows back from scores, by the conjugate transpose; exact if all components are there."""
+    return _complex_map(scores, np.conj(vectors).T)
+
+
+def _complex_map(rows: DataFrame, matrix: np.ndarray) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            z = (np.array(pdf["re"].tolist(), float) + 1j * np.array(pdf["im"].tolist(), float)).reshape(len(pdf), -1)
+            out = z @ matrix if len(pdf) else z
+            yield pdf.assign(re=list(out.real), im=list(out.imag))
+
+    return rows.mapInPandas(run, rows.schema)
 
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["x"].to_numpy()[:, None]
-        return pd.DataFrame({"n": [len(x)], "h": [L.knn_entropy(x, k, base) if len(x) > k else None]})
 
-    per = rows.select("x", "y").groupBy("y").applyInPandas(own, "n long, h double")
+def radial_fit(rows: DataFrame, x: str, y: str, df: int = 3, folds: int = 10, key: str = "id") -> dict[str, np.ndarray]:
+    """centers, widths, weights, bias, alpha and r2 of a radial basis with a ridge, its strength by cross-validation.
+
+    Centers are percentiles of x, widths deviations between the neighbouring centers. Folds follow from a hash of ``key``; each one's
+    sums of products are df + 1 squared numbers from one pass, and everything else is solved from them. Weights are the mean
+    over the folds at the best strength of 10^-2 to 10^5.
+    """
+    shares = [int((k + 1) * 100 / (df + 1)) / 100 for k in range(df)]
+    facts = rows.agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    edges = [facts["lo"], *facts["c"], facts["hi"]]
+    spans = rows.agg(*[F.stddev_samp(F.when((F.col(x) >= a) & (F.col(x) <= b), F.col(x))).alias(f"w{i}") for i, (a, b) in enumerate(zip(edges[:-2], edges[2:], strict=True))]).first()
+    centers, widths = np.array(facts["c"]), np.array([spans[f"w{i}"] for i in range(df)], float)
+    basis = [F.exp(-F.pow(F.col(x) - float(c), F.lit(2.0)) / float(w)) for c, w in zip(centers, widths, strict=True)]
+    terms = [F.lit(1.0), *basis, F.col(y).cast("double")]
+    wide = rows.select(F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"), *[t.alias(f"t{i}") for i, t in enumerate(terms)])
+    size = len(terms)
+    sums = wide.groupBy("fold").agg(F.array(*[F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i in range(size) for j in range(size)]).alias("g")).collect()
+    parts = [np.reshape(r["g"], (size, size)) for r in sorted(sums, key=lambda r: r["fold"])]
+    best = None
+    for alpha in np.logspace(-2, 5, 20):
+        scores, weights, biases = [], [], []
+        for test in parts:
+            train = sum(parts) - test
+            n, s = train[0, 0], train[0, 1:]
+            centred = train[1:, 1:] - np.outer(s, s) / n
+            w = L.ridge(centred[:-1, :-1], centred[:-1, -1], alpha)
+            b = (s[-1] - s[:-1] @ w) / n
+            full = np.concatenate([[b], w, [-1.0]])
+            mean = s[-1] / n
+            total = test[-1, -1] - 2 * mean * test[0, -1] + mean**2 * test[0, 0]
+            scores.append(1 - full @ test @ full / max(total, 1e-300))
+            weights.append(w)
+            biases.append(b)
+        if best is None or np.mean(scores) > best["r2"]:
+            best = {"alpha": alpha, "r2": float(np.mean(scores)), "weights": np.mean(weights, axis=0), "bias": float(np.mean(biases))}
+    return {"centers": centers, "widths": widths, **best}
+
+
+def radial_transform(x, fit: dict[str, np.ndarray]):
+    """A column through a fitted radial basis."""
+    terms = (float(w) * F.exp(-F.pow(x - float(c), F.lit(2.0)) / float(b)) for c, b, w in zip(fit["centers"], fit["widths"], fit["weights"], strict=True))
+    return sum(terms, F.lit(fit["bias"]))
+
+
+#: Rows that nearest neighbours in several dimensions take at most: their distances are quadratic.
+KNN_ROWS = 20_000
+
+
+def knn_measures(rows: DataFrame, x: list[str], y: list[str], z: list[str], k: int = 3, base: float = 2) -> DataFrame:
+    """(entropy, mutual, conditional, divergence) by nearest neighbours: of x; of x and y; of these given z; of x from y.
+
+    Columns are groups of any number of dimensions. All pairs are compared, block by block, so more than ``KNN_ROWS`` rows
+    raise; cut larger tables by a key and call this for each part.
+    """
+    names = [*x, *y, *z]
+    data = rows.select(*names).dropna()
+    n = data.count()
+    if n > KNN_ROWS:
+        raise ValueError(f"{n} rows are too many for all pairs; {KNN_ROWS} at most")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(names)
+        a, b, c = (pdf[v].to_numpy(float) for v in (x, y, z))
+        kl = L.knn_kl(a, b, k, base) if len(x) == len(y) else None
+        return pd.DataFrame({"entropy": [L.knn_entropy(a, k, base)], "mutual": [L.knn_mi(a, b, k, base)], "conditional": [L.knn_cmi(a, b, c, k, base)], "divergence": [kl]})
+
+    return data.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "entropy double, mutual double, conditional double, divergence double")
+
+
+def discrete_information(rows: DataFrame, k: int = 3, base: float = 2) -> DataFrame:
+    """(information): entropy of continuous x less its mean over the classes y, weighed by their sizes.
+
+    Neighbours come from sorted order inside each class; classes of k rows or fewer count with the whole column's entropy.
+    """
     from tessitura.operators.statistics import knn_entropy
 
-    whole = knn_entropy(rows, "x", k, base)
-    return per.crossJoin(F.broadcast(whole)).agg((F.first("entropy") - F.sum(F.col("n") * F.coalesce("h", "entropy")) / F.sum("n")).alias("information"))
+    per = knn_entropy(rows.filter("x is not null"), "x", k, base, "y")
+    own = F.when(F.col("n") > k, F.col("entropy"))
+    whole = knn_entropy(rows.filter("x is not null"), "x", k, base).withColumnRenamed("entropy", "whole")
+    return per.crossJoin(F.broadcast(whole)).agg((F.first("whole") - F.sum(F.col("n") * F.coalesce(own, "whole")) / F.sum("n")).alias("information"))
 
 
 def shuffle_test(rows: DataFrame, measure, count: int = 200, share: float = 0.95, seed: int = 0) -> DataFrame:

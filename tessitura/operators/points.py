@@ -71,15 +71,28 @@ def spike_matrix(trains: DataFrame, bin_size: float, start: float, duration: flo
     return kept.groupBy("train_id", place.alias("bin")).agg(F.count("*").alias("count"))
 
 
-def spike_envelope(trains: DataFrame, start: float, duration: float, bin_size: float = 0.001, count_all: bool = False) -> DataFrame:
-    """(bin, env): share of trains with an event in the bin, over its largest; ``count_all`` counts events instead."""
-    bins = int(round(duration / bin_size))
+def spike_envelope(trains: DataFrame, start: float, duration: float, bin_size: float = 0.001, count_all: bool = False, smooth: bool = False, win_size: float = 3.0, thresh_percentile: float | None = None) -> DataFrame:
+    """(bin, env): number of trains with an event in the bin, over its largest; ``count_all`` counts events instead.
+
+    ``smooth`` convolves with 30 taps exp(-u^2 / win_size^2), u from -50 to 50, mirrored at the ends; what is then under the
+    ``thresh_percentile`` of all bins becomes 0.
+    """
+    bins = int(duration / bin_size + 1e-9)
     place = F.least(F.floor((F.col("t") - start) / bin_size), F.lit(bins - 1)).cast("int")
     kept = trains.filter((F.col("t") >= start) & (F.col("t") <= start + duration)).select("train_id", place.alias("bin"))
-    per = kept.groupBy("bin").agg((F.count("*") if count_all else F.count_distinct("train_id")).alias("c"))
+    per = kept.groupBy("bin").agg((F.count("*") if count_all else F.count_distinct("train_id")).cast("double").alias("c"))
+    if smooth:
+        taps = [(o, math.exp(-(((o + 15) * 100 / 29 - 50) ** 2) / win_size**2)) for o in range(-15, 15)]
+        at = F.explode(F.array(F.col("bin"), -1 - F.col("bin"), F.lit(2 * bins - 1) - F.col("bin"))).alias("at")
+        reach = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in taps])).alias("k")
+        spread = per.select("c", at).select("c", "at", reach).select((F.col("at") + F.col("k.o")).alias("bin"), (F.col("c") * F.col("k.w")).alias("c"))
+        per = spread.filter((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy("bin").agg(F.sum("c").alias("c"))
     grid = trains.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    full = grid.join(per, "bin", "left").select("bin", F.coalesce("c", F.lit(0)).alias("c"))
-    return full.select("bin", (F.col("c") / F.max("c").over(Window.partitionBy(F.lit(1)))).alias("env"))
+    full = grid.join(per, "bin", "left").select("bin", F.coalesce("c", F.lit(0.0)).alias("c"))
+    facts = full.agg(F.max("c").alias("top"), *([F.percentile("c", F.lit(thresh_percentile / 100)).alias("cut")] if thresh_percentile is not None else []))
+    joined = full.crossJoin(F.broadcast(facts))
+    value = F.col("c") / F.col("top")
+    return joined.select("bin", (F.when(F.col("c") < F.col("cut"), 0.0).otherwise(value) if thresh_percentile is not None else value).alias("env"))
 
 
 def _occupied(spikes: DataFrame, duration: float, bin_size: float) -> Column:

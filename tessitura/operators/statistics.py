@@ -111,14 +111,56 @@ def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str, base:
     return h.select((F.col("h0") + F.col("h1") - F.col("h2") - F.col("h3")).alias("cmi"))
 
 
-def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
-    """(bin, center, mean, se, count) of y over equal-width bins of x; bins are half-open, so the largest x is left out."""
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20, by_quantile: bool = False) -> DataFrame:
+    """(bin, center, mean, se, count) of y over bins of x, half-open, so the largest x is left out.
+
+    Bins are of equal width, or with ``by_quantile`` end at the percentiles int(100 k / (bins + 1)), k = 1 to bins - 1, of x (of
+    equal width all the same if these aren't distinct).
+    """
+    shares = [int(k * 100 / (bins + 1)) / 100 for k in range(1, bins)]
+    facts = [F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")]
+    ends = df.agg(*facts, *([F.percentile(x, F.array(*map(F.lit, shares))).alias("cuts")] if by_quantile else []))
+    even = F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * (k / bins) for k in range(bins)], F.col("hi"))
+    edges = F.when(F.size(F.array_distinct("cuts")) == bins - 1, F.concat(F.array("lo"), F.col("cuts"), F.array("hi"))).otherwise(even) if by_quantile else even
+    edged = ends.select("lo", "hi", edges.alias("edges"))
     width = (F.col("hi") - F.col("lo")) / bins
-    placed = df.crossJoin(F.broadcast(ends)).filter(F.col(x) < F.col("hi")).select(F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin"), (F.col("lo")).alias("lo"), width.alias("width"), F.col(y).alias("y"))
-    return placed.groupBy("bin").agg(
-        (F.first("lo") + (F.col("bin") + 0.5) * F.first("width")).alias("center"), F.avg("y").alias("mean"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("count")
-    )
+    place = F.size(F.filter("edges", lambda e: e <= F.col(x))) - 1 if by_quantile else F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(bins - 1))
+    placed = df.select(x, y).crossJoin(F.broadcast(edged)).filter(F.col(x) < F.col("hi")).select(place.cast("int").alias("bin"), "edges", F.col(y).alias("y"))
+    center = F.element_at(F.first("edges"), F.col("bin") + 1) / 2 + F.element_at(F.first("edges"), F.col("bin") + 2) / 2
+    return placed.groupBy("bin").agg(center.alias("center"), F.avg("y").alias("mean"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("count"))
+
+
+def smooth_bins(binned: DataFrame, points: int) -> DataFrame:
+    """(i, center, mean, se): binned means (one row a bin, so few) resampled at ``points`` even places by not-a-knot cubics."""
+    import numpy as np
+    import pandas as pd
+
+    from tessitura.functions import kernels as K
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("center")
+        at = rows["center"].to_numpy()
+        grid = np.linspace(at.min(), at.max(), points)
+        return pd.DataFrame({"i": np.arange(points), "center": grid, **{c: K.cubic_spline(at, rows[c].to_numpy(), grid) for c in ("mean", "se")}})
+
+    return binned.select("center", "mean", "se").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "i int, center double, mean double, se double")
+
+
+def percentile_knots(df: DataFrame, x: str, knots: int = 3) -> list[float]:
+    """Knots of a spline at the percentiles int(100 k / (knots + 1)) of a column; 10, 50 and 90 if these aren't distinct."""
+    shares = [int(k * 100 / (knots + 1)) / 100 for k in range(1, knots + 1)]
+    row = df.agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("own"), F.percentile(x, F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("wide")).first()
+    found = row["own"] if len(set(row["own"])) == knots else row["wide"]
+    if len(set(found)) != len(found):
+        raise ValueError("the column has too few distinct values for knots")
+    return list(found)
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of every two columns, each pair once, from one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("o")).select("o.*")
 
 
 def categorical_summary(df: DataFrame, category: str, y: str) -> DataFrame:
@@ -164,7 +206,37 @@ def weighted_moments(df: DataFrame, key: list[str], at: str, weight: str, quarti
     )
 
 
-# --- nearest neighbours in one dimension ----------------------------------------------------------------------------
+# --- order and nearest neighbours in one dimension ------------------------------------------------------------------
+
+#: Rows of a range partition, about.
+RANGE_ROWS = 500_000
+
+
+def _ranges(df: DataFrame, x: str) -> DataFrame:
+    """``df`` with _pid: rows dealt over ranges of ``x``, numbered in its order; written, so that the deal is final."""
+    from tessitura.session import shared_table
+
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    return shared_table(df.repartitionByRange(parts, x).withColumn("_pid", F.spark_partition_id()), "ranges")
+
+
+def count_up_to(points: DataFrame, probes: DataFrame, x: str, strictly: bool = False) -> DataFrame:
+    """``probes`` with _count: how many ``points`` have a value of at most (or under) theirs.
+
+    Both are dealt over ranges together; a running count inside each range adds to the number of points in the ranges before, a
+    table of one row a range. No task sees more than a range.
+    """
+    order = F.lit(1 if strictly else 0)
+    both = points.select(F.col(x).cast("double").alias(x), order.alias("_turn"), F.lit(True).alias("_point")).unionByName(
+        probes.withColumns({x: F.col(x).cast("double"), "_turn": 1 - order, "_point": F.lit(False)}), allowMissingColumns=True
+    )
+    dealt = _ranges(both, x)
+    own = dealt.groupBy("_pid").agg(F.count_if("_point").alias("_own"))
+    # one row for each range of RANGE_ROWS rows
+    before = own.select("_pid", (F.sum("_own").over(Window.orderBy("_pid")) - F.col("_own")).alias("_before"))
+    running = F.count_if("_point").over(Window.partitionBy("_pid").orderBy(x, "_turn").rowsBetween(Window.unboundedPreceding, 0))
+    counted = dealt.withColumn("_run", running).filter("not _point").join(before, "_pid")
+    return counted.withColumn("_count", F.col("_run") + F.col("_before")).select(*probes.columns, "_count")
 
 
 def digamma_int(n: Column, most: int = 40) -> Column:
@@ -175,22 +247,53 @@ def digamma_int(n: Column, most: int = 40) -> Column:
     return F.when(n <= most, small).otherwise(series)
 
 
-def knn_radius(df: DataFrame, x: str, k: int = 3) -> DataFrame:
-    """Every row's distance to its k-th nearest other value, from k neighbours on each side in sorted order."""
-    order = Window.orderBy(x)
+def _neighbour_radius(df: DataFrame, x: str, k: int, *keys: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(x)
     near = F.array_sort(F.filter(F.array(*[F.abs(F.col(x) - F.lag(x, i).over(order)) for i in range(1, k + 1)], *[F.abs(F.lead(x, i).over(order) - F.col(x)) for i in range(1, k + 1)]), lambda v: v.isNotNull()))
     return df.select("*", near.alias("_near")).select("*", F.get("_near", F.lit(k - 1)).alias("radius")).drop("_near")
 
 
-def knn_entropy(df: DataFrame, x: str, k: int = 3, base: float = 2) -> DataFrame:
-    """Kozachenko-Leonenko entropy of one column: psi(N) - psi(k) + ln 2 + mean ln r, in units of ``base``. Ties at distance 0 have no logarithm and are left out."""
-    r = knn_radius(df.select(x), x, k)
+def knn_radius(df: DataFrame, x: str, k: int = 3, key: str | None = None) -> DataFrame:
+    """Every row's distance to its k-th nearest other value, from k neighbours on each side in sorted order.
+
+    With a ``key`` neighbours are those of the same key. Without one, rows are dealt over ranges of the value, and each range
+    borrows the k rows before and after it, so no task sorts the whole column.
+    """
+    if key is not None:
+        return _neighbour_radius(df, x, k, key)
+    dealt = _ranges(df, x)
+    own = Window.partitionBy("_pid").orderBy(x)
+    ends = dealt.select("_pid", x, F.row_number().over(own).alias("_n"), F.count("*").over(Window.partitionBy("_pid")).alias("_size")).filter((F.col("_n") <= k) | (F.col("_n") > F.col("_size") - k))
+    # 2 k values for each range of RANGE_ROWS rows; the nearest k beyond a range may lie in several
+    rows = sorted((r["_pid"], r[x]) for r in ends.select("_pid", x).collect())
+    halo, start = [], 0
+    while start < len(rows):
+        pid, end = rows[start][0], start
+        while end < len(rows) and rows[end][0] == pid:
+            end += 1
+        halo += [(pid, float(v)) for _, v in rows[max(0, start - k) : start] + rows[end : end + k]]
+        start = end
+    borrowed = df.sparkSession.createDataFrame(halo, f"_pid int, `{x}` double").withColumn("_own", F.lit(False))
+    whole = dealt.withColumn("_own", F.lit(True)).withColumn(x, F.col(x).cast("double")).unionByName(borrowed, allowMissingColumns=True)
+    return _neighbour_radius(whole, x, k, "_pid").filter("_own").drop("_own", "_pid")
+
+
+def knn_entropy(df: DataFrame, x: str, k: int = 3, base: float = 2, key: str | None = None) -> DataFrame:
+    """Kozachenko-Leonenko entropy of one column (of each key's rows): psi(N) - psi(k) + ln 2 + mean ln r, in units of ``base``.
+
+    Ties at distance 0 have no logarithm and are left out; a key with k rows or fewer has a null entropy.
+    """
+    keys = [key] if key else []
+    r = knn_radius(df.select(*keys, x), x, k, key)
     psi_k = -EULER_GAMMA + math.fsum(1 / i for i in range(1, k))
-    agg = r.agg(F.count("*").alias("n"), F.avg(F.when(F.col("radius") > 0, F.log("radius"))).alias("mean_log"))
-    return agg.select(((digamma_int(F.col("n")) - psi_k + math.log(2) + F.col("mean_log")) / math.log(base)).alias("entropy"))
+    agg = r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.when(F.col("radius") > 0, F.log("radius"))).alias("mean_log"))
+    value = (digamma_int(F.col("n")) - psi_k + math.log(2) + F.col("mean_log")) / math.log(base)
+    return agg.select(*keys, *(["n"] if keys else []), value.alias("entropy"))
 
 
 def mean_digamma(df: DataFrame, x: str, radius: float) -> DataFrame:
-    """Mean digamma of the number of rows within ``radius``, the row itself included: a range frame, no join."""
-    count = F.expr(f"count(*) over (order by `{x}` range between {radius!r}D preceding and {radius!r}D following)")
-    return df.select(digamma_int(count).alias("psi")).agg(F.avg("psi").alias("mean_digamma"))
+    """Mean digamma of the number of rows within ``radius``, the row itself included: two counts by rank, no join on distances."""
+    own = df.select(F.col(x).cast("double").alias(x), F.monotonically_increasing_id().alias("_id"))
+    high = count_up_to(own, own.select("_id", (F.col(x) + radius).alias(x)), x).select("_id", F.col("_count").alias("high"))
+    low = count_up_to(own, own.select("_id", (F.col(x) - radius).alias(x)), x, True).select("_id", F.col("_count").alias("low"))
+    return high.join(low, "_id").select(digamma_int(F.col("high") - F.col("low")).alias("psi")).agg(F.avg("psi").alias("mean_digamma"))

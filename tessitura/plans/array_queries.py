@@ -257,17 +257,11 @@ def discriminate(spark, d):
 
 @query
 def complex_pca(spark, d):
-    rows = table(spark, d, "embeddings").select(F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 8).alias("re"), F.slice(F.transform("embedding", lambda v: v.cast("double")), 9, 8).alias("im"))
-    values, _ = M.complex_pca(rows, 8)
+    wide = F.transform("embedding", lambda v: v.cast("double"))
+    values, _ = M.complex_pca(table(spark, d, "embeddings").filter("embedding IS NOT NULL").select(F.slice(wide, 1, 32).alias("re"), F.slice(wide, 33, 32).alias("im")), 32)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, value double")
 
 
-@query
-def discrete_information(spark, d):
-    rows = table(spark, d, "customer").select(F.col("c_acctbal").alias("x"), F.col("c_mktsegment").alias("y"))
-    return M.discrete_information(rows)
-
-
 @query
 def shuffle_test(spark, d):
     rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"))

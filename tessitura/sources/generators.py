@@ -68,45 +68,38 @@ def sweep_strf(spark, ts, fs, theta=0.0, aspect=1.0, phase=0.0, wavelength=0.5,
     return g.select("i", "j", (F.exp(-(a * a + aspect**2 * b * b) / (2 * spread**2)) * F.cos(2 * math.pi * a / wavelength + phase)).alias("w"))
 
 
+#: Direction numbers of Sobol sequences as Joe and Kuo published them (fixed values): for each dimension from the second on the
+#: coefficients of its primitive polynomial, as one number, and the initial m.
+JOE_KUO = (
+    (0, (1,)), (1, (1, 3)), (1, (1, 3, 1)), (2, (1, 1, 1)), (1, (1, 1, 3, 3)), (4, (1, 3, 5, 13)), (2, (1, 1, 5, 5, 17)), (4, (1, 1, 5, 5, 5)),
+    (7, (1, 1, 7, 11, 19)), (11, (1, 1, 5, 1, 1)), (13, (1, 1, 1, 3, 11)), (14, (1, 3, 5, 5, 31)), (1, (1, 3, 3, 9, 7, 49)), (13, (1, 1, 1, 15, 21, 21)),
+    (16, (1, 3, 1, 13, 27, 49)), (19, (1, 1, 1, 15, 7, 5)), (22, (1, 3, 1, 15, 13, 25)), (25, (1, 1, 5, 5, 19, 61)), (1, (1, 3, 7, 11, 23, 15, 103)), (4, (1, 3, 7, 13, 13, 15, 69)),
+)
+
+
 def _sobol_direction(dimension: int, bits: int = 30) -> np.ndarray:
-    """Direction numbers from primitive polynomials over GF(2), found by trial; initial numbers are the odd ones below 2^k by hash."""
+    """Direction numbers of a dimension, by the recurrence of its polynomial."""
     if dimension == 0:
-        return np.array([1 << (bits - 1 - i) for i in range(bits)], np.int64)
-    found, degree = 0, 1
-    while True:
-        for poly in range((1 << degree) + 1, 1 << (degree + 1), 2):
-            if _primitive(poly, degree):
-                found += 1
-                if found == dimension:
-                    m = [((2 * ((dimension * 7 + i * 5) % (1 << i)) + 1) if i else 1) for i in range(degree)]
-                    for i in range(degree, bits):
-                        new = m[i - degree] ^ (m[i - degree] << degree)
-                        for k in range(1, degree):
-                            if poly >> (degree - k) & 1:
-                                new ^= m[i - k] << k
-                        m.append(new)
-                    return np.array([m[i] << (bits - 1 - i) for i in range(bits)], np.int64)
-        degree += 1
-
-
-def _primitive(poly: int, degree: int) -> bool:
-    """Whether x has order 2^degree - 1 modulo the polynomial."""
-    if degree == 1:
-        return poly == 3
-    state, order = 2, (1 << degree) - 1
-    for step in range(1, order + 1):
-        if state == 1:
-            return step == order
-        state <<= 1
-        if state >> degree & 1:
-            state ^= poly
-    return state == 1
-
-
-def quasirand(dimensions: int, points: int, spherical: bool = False) -> np.ndarray:
-    """(points, dimensions) Sobol points in [0, 1); ``spherical`` maps dimensions - 1 of them to angles on the unit sphere."""
+        m = [1] * bits
+    else:
+        if dimension > len(JOE_KUO):
+            raise ValueError(f"points have {len(JOE_KUO) + 1} dimensions at most")
+        inner, first = JOE_KUO[dimension - 1]
+        m, degree = list(first), len(first)
+        for i in range(degree, bits):
+            new = m[i - degree] ^ (m[i - degree] << degree)
+            for k in range(1, degree):
+                if inner >> (degree - 1 - k) & 1:
+                    new ^= m[i - k] << k
+            m.append(new)
+    return np.array([v << (bits - 1 - i) for i, v in enumerate(m[:bits])], np.int64)
+
+
+def quasirand(dimensions: int, points: int, spherical: bool = False, start: int = 0) -> np.ndarray:
+    """(points, dimensions) Sobol points in [0, 1) from number ``start`` on, the very first (0) left out; ``spherical`` maps dimensions - 1 of them to angles from
+    -pi to pi on the unit sphere."""
     bits, need = 30, dimensions - 1 if spherical else dimensions
-    codes = np.arange(1, points + 1)
+    codes = np.arange(start + 1, start + points + 1)
     gray = codes ^ (codes >> 1)
     out = np.zeros((points, max(need, 1)))
     for j in range(max(need, 1)):
@@ -116,8 +109,7 @@ def quasirand(dimensions: int, points: int, spherical: bool = False) -> np.ndarr
         out[:, j] = x / float(1 << bits)
     if not spherical:
         return out
-    angles = out * np.pi
-    angles[:, -1] *= 2
+    angles = out * (2 * np.pi - 1e-6) - (np.pi - 1e-6)
     sphere, rest = np.ones((points, dimensions)), np.ones(points)
     for j in range(dimensions - 1):
         sphere[:, j] = rest * np.cos(angles[:, j])
@@ -126,6 +118,20 @@ def quasirand(dimensions: int, points: int, spherical: bool = False) -> np.ndarr
     return sphere
 
 
+def quasirandom(spark: SparkSession, dimensions: int, points: int, spherical: bool = False) -> DataFrame:
+    """(i, dim, value): Sobol points as rows, made on the executors from their numbers."""
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            i = rows["id"].to_numpy()  # one run of numbers
+            values = quasirand(dimensions, len(i), spherical, int(i[0]) if len(i) else 0)
+            yield pd.DataFrame({"i": np.repeat(i, dimensions), "dim": np.tile(np.arange(dimensions), len(i)), "value": values.ravel()})
+
+    return spark.range(points).mapInPandas(run, "i long, dim int, value double")
+
+
 def simulate_poisson(rate: DataFrame, bin_size: float, trials: int, seed: int = 0) -> DataFrame:
     """(trial, t): random trains from (n, rate per second): a new exponential threshold after every spike, per trial."""
     import pandas as pd
@@ -178,11 +184,10 @@ def simulate_gamma(rate: DataFrame, spikes: DataFrame, bin_size: float, trials:
 
 
 def random_psth(spark: SparkSession, duration: float, smooth: int = 10, rate: float = 1000.0, thresh: float = 0.5, seed: int = 0) -> DataFrame:
-    """(n, rate): thresholded Gaussian noise, smoothed by exp(-k^2) and scaled to 1 at most."""
+    """(n, rate): Gaussian noise, 0 under the threshold, smoothed by exp(-k^2) of area 1 over ``smooth`` samples on each side."""
     noise = spark.range(int(duration * rate)).select(F.col("id").cast("int").alias("n"), F.randn(seed).alias("z"))
-    kept = noise.select("n", F.when(F.col("z") > thresh, F.col("z")).otherwise(0.0).alias("z"))
-    half = smooth // 2
-    order = Window.orderBy("n")
-    value = sum((math.exp(-k * k) * F.coalesce(F.lag("z", k).over(order) if k >= 0 else F.lead("z", -k).over(order), F.lit(0.0)) for k in range(-half, half + 1)), F.lit(0.0))
-    out = kept.select("n", value.alias("v"))
-    return out.select("n", (F.col("v") / F.greatest(F.max("v").over(Window.partitionBy(F.lit(1))), F.lit(1e-12))).alias("rate"))
+    kept = noise.select("n", F.when(F.col("z") >= thresh, F.col("z")).otherwise(0.0).alias("z"))
+    raw = {k: math.exp(-k * k) for k in range(-smooth, smooth + 1)}
+    taps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / sum(raw.values())).alias("w")) for k, w in raw.items()]))
+    near = kept.select("n", "z", taps.alias("t")).select((F.col("n") + F.col("t.k")).alias("n"), (F.col("z") * F.col("t.w")).alias("v"))
+    return near.filter((F.col("n") >= 0) & (F.col("n") < int(duration * rate))).groupBy("n").agg(F.sum("v").alias("rate"))

@@ -23,6 +23,11 @@ def event_sessions(events: DataFrame, threshold: float, gap: str, late: str = "1
     return grouped.agg(F.max("value").alias("peak")).select("event_type", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "peak")
 
 
+def running_moments(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, count, mean, variance): running count, mean and sample variance of every key, merged as Spark merges partial moments."""
+    return rows.groupBy(key).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
+
+
 def forgetting_stream(observations: DataFrame, states: int, rate: float, tau: float) -> DataFrame:
     """(signal_id, n, p array) updates of (signal_id, n, obs): state decays by 1 - 1 / (rate tau) per tick and adds observations.
 
