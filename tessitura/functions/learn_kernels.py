@@ -7,23 +7,32 @@ import numpy as np
 from tessitura.functions import kernels as K
 
 
-def gaussian_posteriors(x: np.ndarray, y: np.ndarray, test: np.ndarray, pooled: bool, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, probabilities of test rows) with even priors: pooled covariance (LDA) or one per class (QDA)."""
-    classes = np.unique(y)
-    means = np.array([x[y == c].mean(axis=0) for c in classes])
-    eye = np.eye(x.shape[1]) * ridge * max(x.var(), 1e-12)
-    if pooled:
-        centered = x - means[np.searchsorted(classes, y)]
-        covs = [centered.T @ centered / max(len(x) - len(classes), 1) + eye] * len(classes)
-    else:
-        covs = [np.cov(x[y == c].T).reshape(x.shape[1], -1) + eye for c in classes]
+def gaussian_models(sums: dict[str, np.ndarray], least: int, floor: float = 1e-6) -> dict | None:
+    """Means and covariances, pooled and of each class, from sums of (1, z) (1, z)'; None with fewer than two classes of ``least`` rows."""
+    kept = {c: g for c, g in sums.items() if g[0, 0] >= least}
+    if len(kept) < 2:
+        return None
+    total = sum(kept.values())
+    mean = total[0, 1:] / total[0, 0]
+    spread = max(float(np.trace(total[1:, 1:]) / total[0, 0] - mean @ mean) / len(mean), 1e-12)
+    eye = np.eye(len(mean)) * floor * spread
+    means = np.array([g[0, 1:] / g[0, 0] for g in kept.values()])
+    within = [g[1:, 1:] - g[0, 0] * np.outer(m, m) for g, m in zip(kept.values(), means, strict=True)]
+    pooled = sum(within) / max(total[0, 0] - len(kept), 1) + eye
+    own = [w / max(g[0, 0] - 1, 1) + eye for w, g in zip(within, kept.values(), strict=True)]
+    return {"classes": list(kept), "means": means, "pooled": pooled, "own": own}
+
+
+def gaussian_scores(model: dict, z: np.ndarray, pooled: bool) -> np.ndarray:
+    """Probabilities of the model's classes for rows, with even priors: one covariance for all (LDA) or each its own (QDA)."""
     logs = []
-    for m, cov in zip(means, covs, strict=True):
-        d = test - m
+    for m, own in zip(model["means"], model["own"], strict=True):
+        cov = model["pooled"] if pooled else own
+        d = z - m
         logs.append(-0.5 * ((d @ np.linalg.inv(cov)) * d).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1])
     logs = np.array(logs).T
     p = np.exp(logs - logs.max(axis=1, keepdims=True))
-    return classes, p / p.sum(axis=1, keepdims=True)
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def ridge(gram: np.ndarray, xty: np.ndarray, alpha: float) -> np.ndarray:

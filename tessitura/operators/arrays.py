@@ -301,13 +301,20 @@ def modes(arrays: DataFrame, key: str = KEY, most: int = 10) -> DataFrame:
     return arrays.select(key, "x").mapInPandas(run, f"{key} string, imf int, n int, value double, amp double, phase double")
 
 
-def multi_modes(signals: DataFrame, count: int = 3, directions: int = 8) -> DataFrame:
-    """(signal_id, imf, n, value): multichannel modes of all channels together, one task per call's channel set."""
+def multi_modes(signals: DataFrame, count: int = 3, directions: int = 8, group: str | None = None) -> DataFrame:
+    """(group, signal_id, imf, n, value): multichannel modes of the channels of each group together, groups in parallel.
+
+    Sifting needs all channels of a group at all times, so a group is one task; frame long recordings and group by frame.
+    """
+    keys = [group] if group else ["_one"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index=KEY, columns="n", values="x")
         out = E.memd(wide.to_numpy(), count, directions)
         parts = [pd.DataFrame({KEY: name, "imf": i, "n": wide.columns, "value": out[i, c]}) for i in range(len(out)) for c, name in enumerate(wide.index)]
-        return pd.concat(parts)
+        return pd.concat(parts).assign(**{k: rows[k].iloc[0] for k in keys})[[*keys, KEY, "imf", "n", "value"]]
 
-    return signals.select(KEY, "n", "x", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, f"{KEY} string, imf int, n int, value double")
+    kept = signals.select(*([group] if group else [F.lit(1).alias("_one")]), KEY, "n", "x")
+    kind = dict(kept.dtypes)[keys[0]]
+    out = kept.groupBy(*keys).applyInPandas(run, f"`{keys[0]}` {kind}, {KEY} string, imf int, n int, value double")
+    return out if group else out.drop("_one")

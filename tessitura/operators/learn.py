@@ -11,6 +11,9 @@ from tessitura.functions import kernels as K
 from tessitura.functions import learn_kernels as L
 from tessitura.operators.samples import KEY, toeplitz
 
+#: Rows that nearest neighbours in several dimensions take at most: their distances are quadratic.
+KNN_ROWS = 20_000
+
 
 def gramian(design: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(X'X, X'y, y'y, n) of a long design matrix (n, column, value) and (n, y): p x p sums, whatever the number of rows."""
@@ -76,70 +79,110 @@ def whiten(signals: DataFrame, order: int) -> DataFrame:
     return cols.join(fits, KEY).select(KEY, "n", (F.col("x") - guess).alias("x"))
 
 
-def discriminate(rows: DataFrame, folds: int = 5, least: int = 5, components: int | None = None, pca_in_fold: bool = False, forest: bool = False) -> DataFrame:
-    """(method, truth, predicted, p): soft confusion of (id, x array, label) by cross-validated LDA and QDA with even priors.
+def _product_sums(rows: DataFrame, keys: list[str], width: int, project=None) -> dict[tuple, np.ndarray]:
+    """For each value of the keys, sums of (1, x) (1, x)' over (keys, x array), x projected first if asked: (width + 1)^2 numbers."""
+    size = width + 1
 
-    Classes under ``least`` + 1 rows are left out. Without ``components`` PCA keeps min(D, sqrt(n / 5)). Folds are groups, so they
-    run in parallel; ``forest`` adds random forests from Spark ML.
-    """
-    big = rows.groupBy("label").agg(F.count("*").alias("c")).filter(F.col("c") >= least + 1)
-    kept = rows.join(F.broadcast(big.select("label")), "label")
-    n, width = kept.count(), len(kept.select("x").first()["x"]) if big.count() > 1 else 0
-    if not width:
-        return rows.sparkSession.createDataFrame([], "method string, truth string, predicted string, p double")
-    k = components or max(1, min(width, int(np.sqrt(n // 5))))
-
-    def moments(batches):
-        g, s, c = np.zeros((width, width)), np.zeros(width), 0
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            x = np.array(pdf["x"].tolist(), float)
-            g, s, c = g + x.T @ x, s + x.sum(axis=0), c + len(x)
-        flat = np.concatenate([g.ravel(), s, [c]])
-        yield pd.DataFrame({"k": np.arange(len(flat)), "v": flat})
+            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
+            own = np.hstack([np.ones((len(pdf), 1)), x if project is None else project(x)])
+            for key, at in pdf.groupby(keys).indices.items() if keys else [((), np.arange(len(pdf)))]:
+                key = key if isinstance(key, tuple) else (key,)
+                held[key] = held.get(key, 0) + own[at].T @ own[at]
+        for key, g in held.items():
+            yield pd.DataFrame({**{k: [v] * g.size for k, v in zip(keys, key, strict=True)}, "_k": np.arange(g.size), "_v": g.ravel()})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_k long", "_v double"])
+    out: dict[tuple, np.ndarray] = {}
+    for r in rows.select(*keys, "x").mapInPandas(run, schema).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v")).collect():
+        out.setdefault(tuple(r[k] for k in keys), np.zeros(size * size))[r["_k"]] = r["_v"]
+    return {k: v.reshape(size, size) for k, v in out.items()}
 
-    flat = np.zeros(width * width + width + 1)
-    for i, v in kept.select("x").mapInPandas(moments, "k long, v double").groupBy("k").agg(F.sum("v")).collect():
-        flat[i] = v
-    mean = flat[width * width : -1] / n
-    cov = flat[: width * width].reshape(width, width) / n - np.outer(mean, mean)
-    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
+
+def discriminate(rows: DataFrame, folds: int = 5, least: int = 5, components: int | None = None, pca_in_fold: bool = False, forest: bool = False) -> DataFrame:
+    """(method, truth, predicted, p, count): soft confusion of (id, x array, label) by cross-validated LDA and QDA with even priors.
+
+    p is the mean probability of a class over the rows of a true one, count the rows for which it is the likeliest. Classes
+    under ``least`` + 1 rows are left out. Without ``components`` PCA keeps min(D, sqrt(n / 5)). A fold's model follows from
+    sums of products by fold and class, so rows are read three times and never copied or gathered; what reaches the driver is
+    one small matrix for each fold and class. ``forest`` adds random forests from Spark ML.
+    """
     fold = F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int")
-    spread = kept.select("x", F.col("label").cast("string").alias("label"), fold.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    ready = rows.filter("x is not null and label is not null").select(F.col("x").cast("array<double>").alias("x"), F.col("label").cast("string").alias("label"), fold.alias("fold"), "id")
+    sizes = {r["label"]: r["n"] for r in ready.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    classes = sorted(c for c, n in sizes.items() if n >= least + 1)
+    schema = "method string, truth string, predicted string, p double, count long"
+    if len(classes) < 2:
+        return rows.sparkSession.createDataFrame([], schema)
+    kept = ready.filter(F.col("label").isin(classes))
+    width = len(kept.select("x").first()["x"])
+    by_fold = {f: g for (f,), g in _product_sums(kept.select("fold", "x"), ["fold"], width).items()}
+    whole = sum(by_fold.values())
+    k = components or max(1, min(width, int(np.sqrt(whole[0, 0] // 5))))
+
+    def axes_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = g[0, 1:] / g[0, 0]
+        return mean, np.linalg.eigh(g[1:, 1:] / g[0, 0] - np.outer(mean, mean))[1][:, ::-1][:, :k]
+
+    spaces = {f: axes_of(whole - g if pca_in_fold else whole) for f, g in by_fold.items()}
+    models = {}
+    for f, (mean, axes) in spaces.items() if pca_in_fold else [(None, next(iter(spaces.values())))]:
+        source = kept.filter(F.col("fold") != f) if pca_in_fold else kept
+        own = _product_sums(source.select("fold", "label", "x"), ["fold", "label"], k, lambda x, mean=mean, axes=axes: (x - mean) @ axes)
+        for test in [f] if pca_in_fold else list(spaces):
+            models[test] = L.gaussian_models({c: sum((g for (fo, la), g in own.items() if la == c and fo != test), np.zeros((k + 1, k + 1))) for c in classes}, max(least, 2))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = (pdf["own"] == pdf["fold"]).to_numpy()
-        x, y = np.array(pdf["x"].tolist(), float), pdf["label"].to_numpy()
-        if pca_in_fold:
-            base = x[~test]
-            center = base.mean(axis=0)
-            own = np.linalg.eigh(np.cov((base - center).T))[1][:, ::-1][:, :k]
-        else:
-            center, own = mean, axes
-        z = (x - center) @ own
-        enough = {c for c in np.unique(y[~test]) if (y[~test] == c).sum() >= max(least, 2)}
-        train = ~test & np.isin(y, list(enough))
-        test &= np.isin(y, list(enough))
-        out = []
-        if test.any() and len(enough) > 1:
-            for method, pooled in (("LDA", True), ("QDA", False)):
-                classes, p = L.gaussian_posteriors(z[train], y[train], z[test], pooled)
-                for truth, row in zip(y[test], p, strict=True):
-                    out += [(method, truth, c, float(v)) for c, v in zip(classes, row, strict=True)]
-        return pd.DataFrame(out, columns=["method", "truth", "predicted", "p"])
-
-    out = spread.groupBy("fold").applyInPandas(run, "method string, truth string, predicted string, p double")
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for f, at in pdf.groupby("fold").indices.items():
+                model, (mean, axes) = models[f], spaces[f]
+                if model is None:
+                    continue
+                own = pdf.iloc[at]
+                own = own[own["label"].isin(model["classes"])]
+                if not len(own):
+                    continue
+                z = (np.array(own["x"].tolist(), float) - mean) @ axes
+                for method in ("LDA", "QDA"):
+                    p = L.gaussian_scores(model, z, method == "LDA")
+                    best = p.argmax(axis=1)
+                    for truth, where in own.reset_index(drop=True).groupby("label").indices.items():
+                        for j, c in enumerate(model["classes"]):
+                            held[method, truth, c] = held.get((method, truth, c), 0) + np.array([p[where, j].sum(), len(where), (best[where] == j).sum()])
+        yield pd.DataFrame([(*key, float(v[0]), int(v[1]), int(v[2])) for key, v in held.items()], columns=["method", "truth", "predicted", "p", "n", "count"])
+
+    parts = kept.select("x", "label", "fold").mapInPandas(run, "method string, truth string, predicted string, p double, n long, count long")
+    out = parts.groupBy("method", "truth", "predicted").agg((F.sum("p") / F.sum("n")).alias("p"), F.sum("count").alias("count"))
     if forest:
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import StringIndexer
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
-        ready = kept.select(F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold"), F.col("label").cast("string").alias("label"), array_to_vector(F.col("x").cast("array<double>")).alias("features"))
-        index = StringIndexer(inputCol="label", outputCol="y").fit(ready)
+        vectors = kept.select("fold", "label", array_to_vector("x").alias("features"))
+        index = StringIndexer(inputCol="label", outputCol="y").fit(vectors)
+        names = F.array(*map(F.lit, index.labels))
         for i in range(folds):
-            model = RandomForestClassifier(labelCol="y", numTrees=20, seed=1).fit(index.transform(ready.filter(F.col("fold") != i)))
-            p = model.transform(ready.filter(F.col("fold") == i)).select(F.lit("RF").alias("method"), F.col("label").alias("truth"), F.posexplode(vector_to_array("probability")).alias("c", "p"))
-            out = out.unionByName(p.select("method", "truth", F.element_at(F.array(*map(F.lit, index.labels)), F.col("c") + 1).alias("predicted"), "p"))
-    return out.groupBy("method", "truth", "predicted").agg(F.avg("p").alias("p"))
+            model = RandomForestClassifier(labelCol="y", numTrees=20, seed=1).fit(index.transform(vectors.filter(F.col("fold") != i)))
+            p = model.transform(vectors.filter(F.col("fold") == i)).select("label", vector_to_array("probability").alias("q"))
+            p = p.select("label", F.array_position("q", F.array_max("q")).alias("best"), F.posexplode("q").alias("c", "p"))
+            own = p.select(F.lit("RF").alias("method"), F.col("label").alias("truth"), F.element_at(names, F.col("c") + 1).alias("predicted"), "p", (F.col("best") == F.col("c") + 1).cast("long").alias("count"))
+            out = out.unionByName(own.groupBy("method", "truth", "predicted").agg(F.avg("p").alias("p"), F.sum("count").alias("count")))
+        out = out.groupBy("method", "truth", "predicted").agg(F.avg("p").alias("p"), F.sum("count").alias("count"))
+    return out
+
+
+def discriminate_summary(confusion: DataFrame) -> DataFrame:
+    """(method, correct, n, share, chance, p_value) of a confusion: rows whose likeliest class is theirs, against chance.
+
+    The p-value is the upper binomial tail at one over the number of classes; one row a method, so it is found on the driver.
+    """
+    rows = confusion.groupBy("method").agg(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("count")).otherwise(0)).alias("correct"), F.sum("count").alias("n"), F.count_distinct("truth").alias("classes")).collect()
+    told = [(r["method"], r["correct"], r["n"], r["correct"] / max(r["n"], 1), 1 / r["classes"], chance_p_value(r["correct"], r["n"], r["classes"])) for r in rows]
+    return confusion.sparkSession.createDataFrame(told, "method string, correct long, n long, share double, chance double, p_value double")
 
 
 def chance_p_value(correct: int, n: int, classes: int) -> float:
@@ -236,10 +279,6 @@ def radial_transform(x, fit: dict[str, np.ndarray]):
     return sum(terms, F.lit(fit["bias"]))
 
 
-#: Rows that nearest neighbours in several dimensions take at most: their distances are quadratic.
-KNN_ROWS = 20_000
-
-
 def knn_measures(rows: DataFrame, x: list[str], y: list[str], z: list[str], k: int = 3, base: float = 2) -> DataFrame:
     """(entropy, mutual, conditional, divergence) by nearest neighbours: of x; of x and y; of these given z; of x from y.
 
@@ -275,13 +314,20 @@ def discrete_information(rows: DataFrame, k: int = 3, base: float = 2) -> DataFr
 
 
 def shuffle_test(rows: DataFrame, measure, count: int = 200, share: float = 0.95, seed: int = 0) -> DataFrame:
-    """(mean, lower, upper) of measure(x, y) over seeded permutations of x, one group a permutation. ``rows``: (x, y)."""
+    """(mean, lower, upper) of measure(x, y) over seeded permutations of x, one group a permutation. ``rows``: (x, y), or (x, y, z)
+    for measure(x, y, z).
+
+    Every permutation needs all rows in one task; the measures of this package are quadratic, so more than ``KNN_ROWS`` raise.
+    """
+    names = [c for c in ("x", "y", "z") if c in rows.columns]
+    if rows.count() > KNN_ROWS:
+        raise ValueError(f"too many rows for a permutation each; {KNN_ROWS} at most")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["x", "y"])
+        own = pdf.sort_values(names)
         x = np.random.default_rng([seed, int(own["perm"].iloc[0])]).permutation(own["x"].to_numpy())
-        return pd.DataFrame({"value": [float(measure(x[:, None], own["y"].to_numpy()[:, None]))]})
+        return pd.DataFrame({"value": [float(measure(x[:, None], *[own[c].to_numpy()[:, None] for c in names[1:]]))]})
 
-    values = rows.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("perm")).groupBy("perm").applyInPandas(run, "value double")
+    values = rows.select(*names, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("perm")).groupBy("perm").applyInPandas(run, "value double")
     low = (1 - share) / 2
     return values.agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(low)).alias("lower"), F.percentile("value", F.lit(1 - low)).alias("upper"))

@@ -252,7 +252,13 @@ def effective_dof(spark, d):
 @query
 def discriminate(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
-    return M.discriminate(rows, 5).select("method", "truth", "predicted", r("p").alias("p"))
+    return M.discriminate(rows, 5).select("method", "truth", "predicted", r("p").alias("p"), "count")
+
+
+@query
+def discriminate_summary(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
+    return M.discriminate_summary(M.discriminate(rows, 5))
 
 
 @query
