@@ -483,11 +483,18 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     for i in range(n - 2, 0, -1):
         m[i] = dp[i] - (cp[i] * m[i + 1] if i < n - 2 else 0)
     m[0], m[-1] = (1 + r0) * m[1] - r0 * m[2], (1 + r1) * m[-2] - r1 * m[-3]
-    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    u, v, w = np.asarray(at) - x[i], x[i + 1] - np.asarray(at), h[i]
-    if y.ndim > 1:
-        u, v, w = u[..., None], v[..., None], w[..., None]
-    return m[i] * v**3 / (6 * w) + m[i + 1] * u**3 / (6 * w) + (y[i] / w - m[i] * w / 6) * v + (y[i + 1] / w - m[i + 1] * w / 6) * u
+    # each piece as a polynomial of the distance from its left knot
+    h = h.reshape(-1, *[1] * (y.ndim - 1))
+    parts = (y[:-1], slope - h * (2 * m[:-1] + m[1:]) / 6, m[:-1] / 2, np.diff(m, axis=0) / (6 * h))
+    at = np.asarray(at)
+    if at.ndim == 1 and len(at) > 1 and (at[1:] >= at[:-1]).all():  # rising places fall into the pieces in runs
+        runs = np.diff(np.searchsorted(at, x[1:-1], "left"), prepend=0, append=len(at))
+        a0, a1, a2, a3, left = (np.repeat(v, runs, axis=0) for v in (*parts, x[:-1]))
+    else:
+        i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+        a0, a1, a2, a3, left = (v[i] for v in (*parts, x[:-1]))
+    u = (at - left).reshape(*at.shape, *[1] * (y.ndim - 1))
+    return a0 + u * (a1 + u * (a2 + u * a3))
 
 
 def resample_grid(t: np.ndarray, f: np.ndarray, spec: np.ndarray, dt: float, df: float):
