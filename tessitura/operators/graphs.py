@@ -47,11 +47,15 @@ def modularity(edges: DataFrame, communities: DataFrame, null_weight: float = 1.
     return per.crossJoin(F.broadcast(whole)).agg((F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("m") - null_weight * F.pow(F.col("strength") / F.col("m"), F.lit(2.0)))).alias("modularity"))
 
 
-def generalized_modularity(matrix: DataFrame, members: DataFrame) -> DataFrame:
-    """The matrix over a subgroup (node), less each row's sum on the diagonal."""
+def generalized_modularity(matrix: DataFrame, members: DataFrame, directed: bool = False) -> DataFrame:
+    """The matrix over a subgroup (node), less each row's sum on the diagonal; half of the row's and the column's sum if directed."""
     sub = matrix.join(members.select(F.col("node").alias("i")), "i", "left_semi").join(members.select(F.col("node").alias("j")), "j", "left_semi")
-    row = F.sum("value").over(Window.partitionBy("i"))
-    return sub.select("i", "j", (F.col("value") - F.when(F.col("i") == F.col("j"), row).otherwise(0.0)).alias("value"))
+    if not directed:
+        row = F.sum("value").over(Window.partitionBy("i"))
+        return sub.select("i", "j", (F.col("value") - F.when(F.col("i") == F.col("j"), row).otherwise(0.0)).alias("value"))
+    both = sub.select(F.col("i").alias("node"), (F.col("value") / 2).alias("v")).unionByName(sub.select(F.col("j").alias("node"), (F.col("value") / 2).alias("v"))).groupBy("node").agg(F.sum("v").alias("v"))
+    out = sub.join(both, sub["i"] == both["node"], "left")
+    return out.select("i", "j", (F.col("value") - F.when(F.col("i") == F.col("j"), F.coalesce("v", F.lit(0.0))).otherwise(0.0)).alias("value"))
 
 
 def google_matrix(edges: DataFrame, alpha: float = 0.85) -> DataFrame:
@@ -93,6 +97,18 @@ def link_rank_matrix(edges: DataFrame, alpha: float = 0.85, null_weight: float =
     return both.select("i", "j", link.alias("link"), (link - null_weight * F.col("pi") * F.col("pj")).alias("value"))
 
 
+def link_rank_modularity(edges: DataFrame, alpha: float = 0.85, null_weight: float = 1.0, iterations: int = 30) -> DataFrame:
+    """(i, j, value) over all node pairs: pi_i G_ij - gamma pi_i pi_j with the teleport term everywhere; output is n^2."""
+    rank = shared_table(page_rank(edges, alpha, iterations), "rank")
+    n = rank.count()
+    share = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share"))
+    sinks = rank.select(F.col("node").alias("i")).join(share.select(F.col("src").alias("i")).distinct().withColumn("goes", F.lit(True)), "i", "left")
+    a, b = rank.select(F.col("node").alias("i"), F.col("rank").alias("pi")), rank.select(F.col("node").alias("j"), F.col("rank").alias("pj"))
+    pairs = a.join(sinks, "i").crossJoin(b).join(share.select(F.col("src").alias("i"), F.col("dst").alias("j"), "share"), ["i", "j"], "left")
+    step = F.when(F.col("goes").isNull(), F.lit(1.0 / n)).otherwise(F.coalesce("share", F.lit(0.0)))
+    return pairs.select("i", "j", (F.col("pi") * (alpha * step + (1 - alpha) / n) - null_weight * F.col("pi") * F.col("pj")).alias("value"))
+
+
 # --- dense parts, for matrices of a graph that fits one machine -----------------------------------------------------
 
 
@@ -171,6 +187,41 @@ def spectral_clusters(w: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return label
 
 
+def spectral_gaps(w: np.ndarray, powers: range = range(1, 500)) -> list[tuple[int, int, float]]:
+    """(power, place, gap) of the largest step between neighbouring eigenvalues of D^-1 W, each raised to a power, largest
+    first; up to the first power whose largest step comes after the first eigenvalue. The place is a number of clusters."""
+    d = w.sum(axis=1)
+    if (d <= 0).any():
+        raise ValueError("a node has no weight")
+    values = np.linalg.eigvalsh(w / np.sqrt(np.outer(d, d)))
+    values = values[np.argsort(-np.abs(values), kind="stable")]
+    out = []
+    for power in powers:
+        steps = -np.diff(values**power)
+        out.append((power, int(steps.argmax()) + 1, float(steps.max())))
+        if out[-1][1] == 1:
+            break
+    return out
+
+
+def cluster_count(gaps: list[tuple[int, int, float]]) -> int:
+    """The number of clusters that lasts longest as the power grows, 1 and what only the first power says aside."""
+    places = [place for _, place, _ in gaps if place > 1]
+    return max(set(places), key=lambda p: (places.count(p), -p)) if places else 1
+
+
+def matrix_array(matrix: DataFrame) -> tuple[np.ndarray, list]:
+    """Dense array of (i, j, value) entries, others 0, and the node order, for matrices of at most 5000 nodes."""
+    nodes = [r[0] for r in matrix.select(F.col("i").alias("n")).union(matrix.select("j")).distinct().orderBy("n").limit(5001).collect()]
+    if len(nodes) > 5000:
+        raise ValueError("too many nodes for a dense matrix")
+    at = {v: i for i, v in enumerate(nodes)}
+    out = np.zeros((len(nodes), len(nodes)))
+    for r in matrix.select("i", "j", "value").collect():
+        out[at[r["i"]], at[r["j"]]] = r["value"]
+    return out, nodes
+
+
 def weight_array(edges: DataFrame) -> tuple[np.ndarray, list]:
     """Dense symmetric weights and the node order, for graphs of at most 5000 nodes."""
     w = symmetric_weights(edges)

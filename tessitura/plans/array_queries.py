@@ -85,6 +85,12 @@ def multitaper_stft(spark, d):
     return A.stft_rows(_arrays(spark, d), 24.0, 4.0, 1.0, K.MultitaperEstimator(0.75, adaptive=True))
 
 
+@query
+def multitaper_frames(spark, d):
+    rows = A.stft_rows(_arrays(spark, d), 24.0, 4.0, 1.0, K.MultitaperEstimator(0.75))
+    return rows.select("signal_id", "t_idx", "f_idx", r("re", 4).alias("power"))
+
+
 @query
 def wavelet_scalogram(spark, d):
     est = K.WaveletEstimator(6, 0.5, 8, 12)
@@ -282,6 +288,19 @@ def communities(spark, d):
     return spark.createDataFrame([(int(nodes[i]), c) for c, m in enumerate(found) for i in m], "node long, community int")
 
 
+@query
+def link_rank_communities(spark, d):
+    b, nodes = G.matrix_array(G.link_rank_modularity(shared_table(nation_edges(spark, d), "edges")))
+    found = G.leaves(G.communities(b, directed=True))
+    return spark.createDataFrame([(int(nodes[i]), c) for c, m in enumerate(found) for i in m], "node long, community int")
+
+
+@query
+def spectral_gaps(spark, d):
+    w, _ = G.weight_array(shared_table(nation_edges(spark, d), "edges"))
+    return spark.createDataFrame(G.spectral_gaps(w, range(1, 50)), "power int, place int, gap double")
+
+
 @query
 def spectral_clusters(spark, d):
     w, nodes = G.weight_array(shared_table(nation_edges(spark, d), "edges"))

@@ -168,6 +168,10 @@ def cut(source: str, size: int, hop: int, count: int) -> str:
     return f"SELECT signal_id, frame, n - frame * {hop} AS m, x FROM range({count}) g(frame) JOIN {source} s ON s.n BETWEEN frame * {hop} AND frame * {hop} + {size - 1}"
 
 
+ORACLES["q_multitaper_frames"] = f"""WITH {MULTI}, {values_table("w", "taper, j, w", [(i, j, v) for i, row in enumerate(K.dpss(97, 3, 5)[0]) for j, v in enumerate(row)])},
+z AS (SELECT s.signal_id, t, taper, k, sum(x * w * cos({angle('k * j', 97)})) AS re, sum(x * w * sin({angle('k * j', 97)})) AS im FROM range(30) r(t) CROSS JOIN w JOIN sig s ON s.n = t * 24 + j - 48 CROSS JOIN range(49) h(k) GROUP BY 1, 2, 3, 4)
+SELECT signal_id, CAST(t AS BIGINT) AS t_idx, CAST(k AS BIGINT) AS f_idx, {rounded('avg(re * re + im * im)', 4)} AS power FROM z GROUP BY 1, 2, 3"""
+
 ORACLES["q_multitaper_power"] = f"""WITH {MULTI}, {tapered("sig", 120, cut("sig", 120, 120, 5))}, p AS (SELECT signal_id, frame, k, avg(re * re + im * im) AS p FROM spectra GROUP BY 1, 2, 3)
 SELECT signal_id, CAST(k AS INTEGER) AS k, {rounded('k * 24 / 120::DOUBLE', 6)} AS freq, {rounded('avg(p)', 4)} AS power, {rounded('stddev_samp(p)', 4)} AS std FROM p GROUP BY signal_id, k"""
 

@@ -223,6 +223,13 @@ def generalized_modularity(spark, d):
     return G.generalized_modularity(G.modularity_matrix(nation_edges(spark, d)), members).select("i", "j", r("value").alias("value"))
 
 
+@query("q_generalized_modularity_directed", f"WITH {EDGES}, {MATRIX}, m AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1), u AS (SELECT i, j, value * (1 + i / 100::DOUBLE) AS value FROM b WHERE i IN (FROM m) AND j IN (FROM m)) SELECT i, j, round(value - CASE WHEN i = j THEN (SELECT sum(v.value) FROM u v WHERE v.i = u.i) / 2 + (SELECT sum(v.value) FROM u v WHERE v.j = u.i) / 2 ELSE 0 END, 6) + 0.0 AS value FROM u")
+def generalized_modularity_directed(spark, d):
+    members = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("node"))
+    skewed = G.modularity_matrix(nation_edges(spark, d)).withColumn("value", F.col("value") * (1 + F.col("i") / 100))
+    return G.generalized_modularity(skewed, members, True).select("i", "j", r("value").alias("value"))
+
+
 @query("q_google_matrix", f"WITH {EDGES}, n AS (SELECT count(*) AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)) SELECT src AS i, dst AS j, round(0.85::DOUBLE * weight / sum(weight) OVER (PARTITION BY src) + 0.15::DOUBLE / n, 10) AS value FROM e, n")
 def google_matrix(spark, d):
     return G.google_matrix(nation_edges(spark, d)).select("i", "j", r("value", 10).alias("value"))

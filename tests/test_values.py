@@ -217,3 +217,37 @@ def test_features_and_formants(run):
     formants = run("q_formants")
     ordered = formants.dropna()
     assert len(formants) and (ordered["f1"] <= ordered["f2"]).all() and (ordered["f2"] <= ordered["f3"]).all()
+
+
+def test_spectral_gaps(run, spark):
+    from tessitura.operators import graphs as G
+    from tessitura.plans.tables import nation_edges
+
+    w, _ = G.weight_array(nation_edges(spark, SF))
+    values = np.linalg.eigvals(w / w.sum(axis=1)[:, None]).real
+    values = values[np.argsort(-np.abs(values))]
+    for r in run("q_spectral_gaps").itertuples():
+        steps = values[:-1] ** r.power - values[1:] ** r.power
+        assert math.isclose(r.gap, steps.max(), rel_tol=1e-6, abs_tol=1e-12)
+    # three cliques, faintly tied
+    w = np.kron(np.eye(3), np.ones((5, 5))) + 1e-3
+    assert G.cluster_count(G.spectral_gaps(w)) == 3
+
+
+def test_link_rank_communities(run, spark):
+    from tessitura.operators import graphs as G
+    from tessitura.plans.tables import nation_edges
+
+    b, nodes = G.matrix_array(G.link_rank_modularity(nation_edges(spark, SF)))
+    found = run("q_link_rank_communities").set_index("node")["community"]
+    assert set(found.index) == set(nodes) and abs(b.sum()) < 1e-6
+    label = found.loc[nodes].to_numpy()
+    assert b[label[:, None] == label[None]].sum() >= -1e-9
+
+
+def test_griffin_lim_nears_the_amplitudes(run, spark):
+    wide = signal(spark, SF, True).toPandas().pivot(index="n", columns="signal_id", values="x")
+    got = run("q_griffin_lim").pivot(index="n", columns="signal_id", values="x")
+    for name in wide.columns:
+        want, own = (np.abs(K.spectrogram(v[name].to_numpy(), 24.0, 4.0, 0.5)[2]) for v in (wide, got))
+        assert np.linalg.norm(want - own) < 0.5 * np.linalg.norm(want)
