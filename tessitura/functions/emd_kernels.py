@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from tessitura.functions import kernels as K
@@ -114,20 +116,32 @@ def multi_mean_envelope(s: np.ndarray, directions: np.ndarray) -> np.ndarray | N
     return total / used if used else None
 
 
-def memd(s: np.ndarray, modes: int, directions: int = 16, most: int = 10, ratio: float = 50.0, noise_channels: int = 0, seed: int = 0) -> np.ndarray:
-    """(modes + 1, channels, times): multichannel modes and the rest; noise channels help alignment and are dropped."""
+def _damping(h: np.ndarray, m: np.ndarray) -> float:
+    """Share of the mean envelope to subtract: the mean over channels of their correlation with it, 0.01 at least each."""
+    a, b = h - h.mean(axis=1, keepdims=True), m - m.mean(axis=1, keepdims=True)
+    size = np.sqrt((a**2).sum(axis=1) * (b**2).sum(axis=1))
+    return float(np.maximum(np.where(size > 0, (a * b).sum(axis=1) / np.maximum(size, 1e-300), 0), 1e-2).mean())
+
+
+def memd(s: np.ndarray, modes: int, directions: int = 16, most: int = 10, resolution: float = 50.0, noise_channels: int = 0, seed: int = 0) -> np.ndarray:
+    """(modes + 1, channels, times): multichannel modes and the rest; noise channels help alignment and are dropped.
+
+    A sift subtracts a damped mean envelope, until log10 of the first energy over the running mean of the envelopes' energies
+    passes ``resolution``, or ``most`` times.
+    """
     own = len(s)
     if noise_channels:
         s = np.concatenate([s, np.random.default_rng(seed).normal(0, s.std(), (noise_channels, s.shape[1]))])
     dirs, rest, out = _directions(len(s), directions), np.array(s, float), []
     for _ in range(modes):
-        h = rest.copy()
-        for _ in range(most):
+        h, energy, mean_energy = rest.copy(), (rest**2).mean(), 0.0
+        for i in range(1, most + 1):
             m = multi_mean_envelope(h, dirs)
             if m is None:
                 break
-            h = h - m
-            if 10 * np.log10((h**2).sum() / max((m**2).sum(), 1e-300)) > ratio:
+            mean_energy += ((m**2).mean() - mean_energy) / i
+            h = h - _damping(h, m) * m
+            if mean_energy <= 0 or math.log10(max(energy, 1e-300) / mean_energy) > resolution:
                 break
         out.append(h)
         rest = rest - h

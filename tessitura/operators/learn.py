@@ -38,8 +38,9 @@ def gramian(design: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarra
     return flat[: size * size].reshape(size, size), flat[size * size : -2], float(flat[-2]), int(flat[-1])
 
 
-def convolution_model(samples: DataFrame, target: DataFrame, lags: list[int]) -> L.ConvolutionModel:
-    return L.ConvolutionModel(*gramian(toeplitz(samples, lags, bias=True), target))
+def convolution_model(samples: DataFrame, target: DataFrame, lags: list[int], group: str | None = None) -> L.ConvolutionModel:
+    """The least squares of (n, y) on lagged channels and a constant, as sums; lags don't cross groups."""
+    return L.ConvolutionModel(*gramian(toeplitz(samples, lags, True, group), target))
 
 
 def strf_ridge(samples: DataFrame, target: DataFrame, lags: list[int], alpha: float = 1.0) -> tuple[np.ndarray, float]:
@@ -191,7 +192,13 @@ def chance_p_value(correct: int, n: int, classes: int) -> float:
 
 
 def complex_pca(rows: DataFrame, channels: int, k: int | None = None, zscore: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(eigenvalues, vectors) of (re array, im array) rows: real and imaginary parts z-scored apart, covariance summed in Spark."""
+    """(eigenvalues, vectors) of the covariance of (re array, im array) rows, largest first."""
+    return L.complex_pca(complex_moments(rows, channels, zscore)[0], k)
+
+
+def complex_moments(rows: DataFrame, channels: int, zscore: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(covariance Z* Z / n, pseudo-covariance Z' Z / n) of (re array, im array) rows: real and imaginary parts z-scored apart,
+    products summed in Spark."""
 
     def sums(batches):
         g, s, n = np.zeros((2 * channels, 2 * channels)), np.zeros(2 * channels), 0
@@ -212,7 +219,7 @@ def complex_pca(rows: DataFrame, channels: int, k: int | None = None, zscore: bo
         sd = np.sqrt(np.diag(cov) * n / (n - 1))
         cov = cov / np.outer(sd, sd)
     a, b, c = cov[:channels, :channels], cov[channels:, channels:], cov[:channels, channels:]
-    return L.complex_pca(a + b + 1j * (c - c.T), k)
+    return a + b + 1j * (c - c.T), a - b + 1j * (c + c.T)
 
 
 def complex_transform(rows: DataFrame, vectors: np.ndarray) -> DataFrame:

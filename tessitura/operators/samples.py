@@ -265,16 +265,22 @@ def fast_conv(samples: DataFrame, weights: list[tuple[str, int, float]], bias: f
     return grid.join(sums, [*keys, "i"], "left").select(*keys, F.col("n").cast("int").alias("n"), (F.coalesce("v", F.lit(0.0)) + bias).alias("y"))
 
 
-def toeplitz(samples: DataFrame, lags: list[int], bias: bool = True) -> DataFrame:
-    """(n, column, value): design matrix in long form, column = channel rank * lags + place of the lag; lag > 0 is the past."""
-    rank = F.dense_rank().over(Window.orderBy(KEY)) - 1
+def toeplitz(samples: DataFrame, lags: list[int], bias: bool = True, group: str | None = None) -> DataFrame:
+    """(n, column, value): design matrix in long form, column = channel rank * lags + place of the lag; lag > 0 is the past.
+
+    With a ``group`` column lags stay inside a group's own samples, in the order of n, which numbers rows over all groups.
+    """
+    keys = [group] if group else []
+    rank = F.dense_rank().over(Window.orderBy(KEY)) - 1  # one row a channel
     channels = samples.select(KEY).distinct().select(KEY, rank.alias("channel"))
     shift = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(lag).alias("lag")) for i, lag in enumerate(lags)])
-    size = F.max("n").over(_whole())
-    moved = samples.select(KEY, "n", "x", size.alias("size"), F.explode(shift).alias("s"))
-    grid = moved.select(KEY, "n", F.col("s.at").alias("at"))
-    values = moved.select(KEY, (F.col("n") + F.col("s.lag")).alias("n"), F.col("s.at").alias("at"), "x").filter((F.col("n") >= 0) & (F.col("n") <= F.col("size")))
-    full = grid.join(values, [KEY, "n", "at"], "left").join(F.broadcast(channels), KEY)
+    own = Window.partitionBy(*keys, KEY)
+    place = F.row_number().over(own.orderBy("n")) - 1 if group else F.col("n")
+    placed = samples.select(*keys, KEY, "n", place.alias("i"), "x")
+    moved = placed.select(*keys, KEY, "n", "i", "x", F.max("i").over(own).alias("size"), F.explode(shift).alias("s"))
+    grid = moved.select(*keys, KEY, "n", "i", F.col("s.at").alias("at"))
+    values = moved.select(*keys, KEY, (F.col("i") + F.col("s.lag")).alias("i"), F.col("s.at").alias("at"), "x", "size").filter((F.col("i") >= 0) & (F.col("i") <= F.col("size"))).drop("size")
+    full = grid.join(values, [*keys, KEY, "i", "at"], "left").join(channels, KEY)
     out = full.select("n", (F.col("channel") * len(lags) + F.col("at")).cast("int").alias("column"), F.coalesce("x", F.lit(0.0)).alias("value"))
     if not bias:
         return out

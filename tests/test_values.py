@@ -251,3 +251,50 @@ def test_griffin_lim_nears_the_amplitudes(run, spark):
     for name in wide.columns:
         want, own = (np.abs(K.spectrogram(v[name].to_numpy(), 24.0, 4.0, 0.5)[2]) for v in (wide, got))
         assert np.linalg.norm(want - own) < 0.5 * np.linalg.norm(want)
+
+
+def test_grouped_design_does_not_bleed(spark):
+    from tessitura.operators import learn as M
+    from tessitura.operators import samples as S
+
+    rows = [("g", c, n, float(10 * n + k)) if n < 5 else ("h", c, n, float(10 * n + k)) for k, c in enumerate("ab") for n in range(9)]
+    samples = spark.createDataFrame(rows, "part string, signal_id string, n int, x double")
+    got = {(r["n"], r["column"]): r["value"] for r in S.toeplitz(samples, [0, 2, -1], True, "part").collect()}
+    for n in range(9):
+        lo, hi = (0, 4) if n < 5 else (5, 8)
+        for k in range(2):
+            for at, lag in enumerate((0, 2, -1)):
+                m = n - lag
+                assert got[n, 3 * k + at] == (10 * m + k if lo <= m <= hi else 0)
+        assert got[n, 6] == 1
+    target = spark.createDataFrame([(n, float(n)) for n in range(9)], "n int, y double")
+    m = M.convolution_model(samples, target, [0, 2, -1], "part")
+    x = np.array([[got[n, c] for c in range(7)] for n in range(9)])
+    assert np.allclose(m.gram, x.T @ x) and np.allclose(m.xty, x.T @ np.arange(9.0))
+
+
+def test_early_stopping_and_solver_hook():
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(size=(60, 8)), np.array([2.0, -1, 0, 0, 0, 0, 0, 0])
+    y = x @ w + rng.normal(size=60) * 2
+
+    def model(rows):
+        return L.ConvolutionModel(x[rows].T @ x[rows], x[rows].T @ y[rows], y[rows] @ y[rows], len(rows))
+
+    train, held = model(np.arange(40)), model(np.arange(40, 60))
+    stopped = L.threshold_descent(train, np.zeros(8), 0.05, 0.0, 500, slope=1.0, held=held)
+    assert held.error(stopped) <= held.error(np.zeros(8))
+    calls = []
+    L.in_crowd(train, 1.0, solver=lambda g, b: calls.append(len(b)) or K.elastic_net(g, b, 1.0, 0.0))
+    assert calls
+
+
+def test_pseudo_covariance(spark):
+    from tessitura.operators import learn as M
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(50, 3)) + 1j * rng.normal(size=(50, 3))
+    rows = spark.createDataFrame([(r.real.tolist(), r.imag.tolist()) for r in z], "re array<double>, im array<double>")
+    cov, pseudo = M.complex_moments(rows, 3)
+    parts = (z.real - z.real.mean(axis=0)) / z.real.std(axis=0, ddof=1) + 1j * (z.imag - z.imag.mean(axis=0)) / z.imag.std(axis=0, ddof=1)
+    assert np.allclose(cov, parts.conj().T @ parts / 50) and np.allclose(pseudo, parts.T @ parts / 50)
