@@ -226,22 +226,21 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
-    """The whole screen as RGBA after each frame, by palettes, transparency and disposal.
+def compose(width: int, height: int, frames: list[Frame], canvas: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The whole screen as RGBA after each frame, by palettes, transparency and disposal, on an empty canvas or a given one.
 
     The next frame may overwrite what was yielded. A screen of more than ``MOST_PIXELS`` is an error, as a file of a few
     bytes can claim any.
     """
     if width * height > MOST_PIXELS:
         raise ValueError("the screen is too large")
-    canvas = np.zeros((height, width, 4), np.uint8)
+    if canvas is None:
+        canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         h, w = f.indices.shape
         h, w = min(h, max(height - f.top, 0)), min(w, max(width - f.left, 0))
         indices = f.indices[:h, :w]
-        colours = np.zeros((256, 4), np.uint8)
-        colours[: len(f.palette), :3] = f.palette
-        colours[:, 3] = 255
+        colours = _opaque(f.palette)
         place = canvas[f.top : f.top + h, f.left : f.left + w]
         before = canvas.copy() if f.disposal == 3 else None
         if f.transparent is None:
@@ -256,6 +255,13 @@ def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray
             canvas = before
 
 
+def _opaque(palette: np.ndarray) -> np.ndarray:
+    colours = np.zeros((256, 4), np.uint8)
+    colours[: len(palette), :3] = palette
+    colours[:, 3] = 255
+    return colours
+
+
 def colour_histogram(image: np.ndarray, bins: int = 16) -> np.ndarray:
     """Counts of opaque pixels per bin of each of red, green and blue."""
     opaque = image[image[..., 3] > 0]
@@ -300,13 +306,31 @@ def timed_frames(data: bytes | None, red: list[bytes] | None = None) -> list[dic
     ``red`` receives the red samples of each frame's own place, which are what ``encode_gif`` stored.
     """
     time, told = 0, []
+
+    def tell(f: Frame, histogram: np.ndarray, own: np.ndarray) -> None:
+        nonlocal time
+        told.append({"time_ms": time, "delay_ms": f.delay_ms, "width": w, "height": h, "histogram": histogram.tolist()})
+        time += f.delay_ms
+        if red is not None:
+            red.append(own.tobytes())
+
     try:
         w, h, frames = decode_gif(data or b"")
-        for f, image in zip(frames, compose(w, h, frames), strict=True):
-            told.append({"time_ms": time, "delay_ms": f.delay_ms, "width": w, "height": h, "histogram": colour_histogram(image).tolist()})
-            time += f.delay_ms
-            if red is not None:
-                red.append(image[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes())
+        if w * h > MOST_PIXELS:
+            raise ValueError("the screen is too large")
+        # frames that cover the screen hide what was before, so their palettes' counts are all there is to tell
+        last = None
+        for i, f in enumerate(frames):
+            if f.indices.shape != (h, w) or f.left or f.top or f.transparent is not None or f.disposal > 1:
+                break
+            colours, counts = _opaque(f.palette), np.bincount(f.indices.ravel(), minlength=256)
+            tell(f, np.stack([np.bincount(colours[:, c] >> 4, counts, 16) for c in range(3)]).astype(np.int64), colours[:, 0][f.indices])
+            last = f
+        else:
+            return told
+        canvas = None if last is None else _opaque(last.palette)[last.indices]
+        for f, image in zip(frames[i:], compose(w, h, frames[i:], canvas), strict=True):
+            tell(f, colour_histogram(image), image[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0])
     except (ValueError, MemoryError):
         return None
     return told

@@ -202,6 +202,8 @@ def test_frames_disposal_transparency_interlace():
     red, green, blue, none = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255), (0, 0, 0, 0)
     shown = [[tuple(map(int, p)) for row in image for p in row] for image in gif.compose(w, h, frames)]
     assert shown == [[red] * 4, [green, red, red, red], [none, none, red, blue], [green, none, red, red]]
+    told = gif.timed_frames(data)
+    assert [t["histogram"][0][15] for t in told] == [4, 3, 1, 2] and [t["histogram"][1][15] for t in told] == [0, 1, 0, 1] and [t["time_ms"] for t in told] == [0, 50, 120, 130]
     _, _, (f,) = gif.decode_gif(_file(1, 5, [(0, 0, 1, 5, [0, 1, 2, 3, 1], 0, 0, None, True)], palette))
     assert f.indices[:, 0].tolist() == [0, 3, 2, 1, 1]
     for broken in (b"", b"GIF89a", data[:40], data[:-10]):
