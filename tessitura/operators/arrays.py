@@ -17,7 +17,6 @@ from tessitura.functions import emd_kernels as E
 from tessitura.functions import kernels as K
 from tessitura.functions import sound_kernels as V
 from tessitura.operators.samples import KEY, chunk, gather, rows_of
-from tessitura.operators.spectra import cross_spectra
 
 COMPLEX = "array<struct<re:double,im:double>>"
 
@@ -145,18 +144,66 @@ def taper_spectra(frames: DataFrame, size: int, nw: float = 3, group: list[str]
     """(group, signal_id, frame, taper, k, re, im): detrended frames under 2 nw - 1 Slepian tapers, transformed."""
     keys = [*(group or []), KEY, "frame"]
     tapers, _ = K.dpss(size, nw, int(2 * nw - 1))
-    kind = "array<struct<taper:int,k:int,re:double,im:double>>"
+    arrays = gather(frames, *keys, order="m")
+    places = (len(tapers), size // 2 + 1)
+    taper, k = (v.ravel() for v in np.indices(places))
 
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            z = np.fft.rfft(K.detrend(np.asarray(v, float)) * tapers)
-            out.append([{"taper": i, "k": k, "re": float(c.real), "im": float(c.imag)} for i, row in enumerate(z) for k, c in enumerate(row)])
-        return pd.Series(out)
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                some = pdf.iloc[lo : lo + 64]
+                x = np.array([K.detrend(np.asarray(v, float)) for v in some["x"]])
+                z = np.fft.rfft(x[:, None, :] * tapers[None]).reshape(len(some), -1)
+                named = {c: np.repeat(some[c].to_numpy(), taper.size) for c in keys}
+                yield pd.DataFrame({**named, "taper": np.tile(taper, len(some)), "k": np.tile(k, len(some)), "re": z.real.ravel(), "im": z.imag.ravel()})
 
-    arrays = gather(frames, *keys, order="m")
-    return arrays.select(*keys, F.explode(run("x")).alias("s")).select(*keys, "s.taper", "s.k", "s.re", "s.im")
+    kinds = dict(arrays.dtypes)
+    return arrays.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "taper int", "k int", "re double", "im double"]))
+
+
+def frame_arrays(signals: DataFrame, size: int, overlap: float, group: list[str] | None = None) -> DataFrame:
+    """(group, frame, names, m, x): the frames of ``samples.chunk``, the channels of each in one row, as places and samples.
+
+    What is past a signal's end is left out; a kernel fills it with zeros.
+    """
+    keys, hop = [*(group or [])], size - int(size * overlap)
+    sized = signals.select(*keys, KEY, "n", "x", (F.max("n").over(Window.partitionBy(*keys, KEY)) + 1).alias("len"))
+    frames = F.greatest(F.floor((F.col("len") - hop) / hop) + F.when(F.col("len") % hop != 0, 1).otherwise(0), F.lit(1))
+    first = F.greatest(F.ceil((F.col("n") - size + 1) / hop), F.lit(0)).cast("int")
+    last = F.least(F.floor(F.col("n") / hop), frames - 1).cast("int")
+    held = sized.filter(first <= last).select(*keys, KEY, F.explode(F.sequence(first, last)).alias("frame"), "n", "x")
+    # a channel's samples of a frame meet first, then the channels
+    per = held.groupBy(*keys, "frame", KEY).agg(F.collect_list((F.col("n") - F.col("frame") * hop).cast("int")).alias("m"), F.collect_list("x").alias("x"))
+    met = per.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct(KEY, "m", "x"))).alias("c"))
+    return met.select(*keys, "frame", F.col(f"c.{KEY}").alias("names"), F.col("c.m").alias("m"), F.col("c.x").alias("x"))
+
+
+def taper_cross_spectra(signals: DataFrame, size: int, overlap: float = 0.5, nw: float = 3, group: list[str] | None = None) -> DataFrame:
+    """(group, frame, k, a, b, re, im, pa, pb): conj(X_a) X_b and both powers of the channel pairs a < b of every frame, averaged
+    over the tapers of detrended frames.
+
+    The channels of a frame meet in one row, so pairs are formed in arrays and no spectrum is shuffled.
+    """
+    keys = [*(group or []), "frame"]
+    tapers, _ = K.dpss(size, nw, int(2 * nw - 1))
+    k, met = np.arange(size // 2 + 1), frame_arrays(signals, size, overlap, group)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                x = np.zeros((len(row.names), size))
+                for own, m, v in zip(x, row.m, row.x, strict=True):
+                    own[np.asarray(m)] = v
+                z = np.fft.rfft(np.array([K.detrend(v) for v in x])[:, None, :] * tapers[None])
+                first, second = np.triu_indices(len(x), 1)
+                pairs, power = (np.conj(z[first]) * z[second]).mean(axis=1), (np.abs(z) ** 2).mean(axis=1)
+                names = np.array(row.names, object)
+                out = {"k": np.tile(k, len(first)), "a": np.repeat(names[first], k.size), "b": np.repeat(names[second], k.size)}
+                out |= {"re": pairs.real.ravel(), "im": pairs.imag.ravel(), "pa": power[first].ravel(), "pb": power[second].ravel()}
+                yield pd.DataFrame({**{c: [getattr(row, c)] * len(out["k"]) for c in keys}, **out})
+
+    kinds = dict(met.dtypes)
+    return met.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "k int, a string, b string, re double, im double, pa double, pb double"]))
 
 
 def multitaper_coherence(signals: DataFrame, rate: float = 1, size: int = 1024, overlap: float = 0.5, nw: float = 3, group: str | None = None) -> DataFrame:
@@ -166,20 +213,15 @@ def multitaper_coherence(signals: DataFrame, rate: float = 1, size: int = 1024,
     gives all pseudovalues. Bounds are two standard errors of the jackknifed arctanh of the coherency's size.
     """
     keys = [group] if group else []
-    spectra = taper_spectra(chunk(signals, size, overlap, keys), size, nw, keys)
-    per = cross_spectra(spectra, [*keys, "frame", "taper", "k"]).groupBy(*keys, "frame", "k", "a", "b").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    per = taper_cross_spectra(signals, size, overlap, nw, keys)
     whole = Window.partitionBy(*keys, "k", "a", "b")
-    summed = per.select("*", F.sum("re").over(whole).alias("sre"), F.sum("im").over(whole).alias("sim"), F.count("*").over(whole).alias("n"))
-    own = summed.filter("a = b").select(*keys, "frame", "k", F.col("a").alias("channel"), F.col("re").alias("p"), F.col("sre").alias("sp"))
-    on = [*keys, "frame", "k"]
-    pairs = summed.filter("a < b").join(own.select(*on, F.col("channel").alias("a"), F.col("p").alias("pa"), F.col("sp").alias("spa")), [*on, "a"])
-    pairs = pairs.join(own.select(*on, F.col("channel").alias("b"), F.col("p").alias("pb"), F.col("sp").alias("spb")), [*on, "b"])
+    pairs = per.select("*", *[F.sum(c).over(whole).alias(f"s{c}") for c in ("re", "im", "pa", "pb")], F.count("*").over(whole).alias("n"))
     scale = F.sqrt(F.col("spa") * F.col("spb"))
     left = F.sqrt((F.col("spa") - F.col("pa")) * (F.col("spb") - F.col("pb")))
     most = F.lit(1 - 1e-12)
     g_all = F.atanh(F.least(F.hypot("sre", "sim") / scale, most))
     g_out = F.atanh(F.least(F.hypot(F.col("sre") - F.col("re"), F.col("sim") - F.col("im")) / left, most))
-    pseudo = pairs.select(*keys, "k", "a", "b", "n", (F.col("sre") / scale).alias("cre"), (F.col("sim") / scale).alias("cim"), (F.col("n") * g_all - (F.col("n") - 1) * g_out).alias("g"))
+    pseudo = pairs.select(*keys, "k", "a", "b", (F.col("sre") / scale).alias("cre"), (F.col("sim") / scale).alias("cim"), (F.col("n") * g_all - (F.col("n") - 1) * g_out).alias("g"))
     out = pseudo.groupBy(*keys, "k", "a", "b").agg(F.first("cre").alias("re"), F.first("cim").alias("im"), F.avg("g").alias("g"), F.sqrt(F.var_pop("g") / F.count("*")).alias("se"))
 
     def back(v: Column) -> Column:
