@@ -10,28 +10,51 @@ and its doc_id falls under the fraction of r. Everything is DataFrame expression
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import DOCUMENT_COLUMNS, durable, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
+#: Sources of a range, about.
+RANGE_ROWS = 500_000
+
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], range_rows: int) -> DataFrame:
+    """``df`` with, for each name in ``sums``, the sum of its column over the rows before (exclusive) in the given order.
+
+    Rows are dealt over ranges of the order, so no task sorts the whole table; what lies before a range is a sum of one row
+    a range.
+    """
+    parts = max(1, math.ceil(df.count() / range_rows))
+    dealt = durable(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy("_pid").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
+    ranges = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of range_rows rows
+    before = per.select("_pid", *[F.coalesce(F.sum(f"_{k}").over(ranges), F.lit(0)).alias(f"_{k}") for k in sums])
+    out = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(k) for k, v in sums.items()]).join(F.broadcast(before), "_pid")
+    return out.select(*df.columns, *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in sums])
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
-    """(source, source_size, target, rate) from (source, source_size), one row per source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights)) + 1)
-    weighed = sizes.withColumn("weight", pick).withColumn("cap", F.lit(most) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(whole).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = weighed.withColumn("level", level)
-    target = F.least("cap", F.max("level").over(whole) * F.col("weight"))
-    out = leveled.withColumn("target", target)
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(source, source_size, target, rate) from (source, source_size), one row per source.
+
+    Ranks and running sums are made in ranges of sources, so millions of them (hosts, say) spread over tasks. All sums are of
+    whole numbers, so ranges move no result.
+    """
+    ranked = _running(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, range_rows)
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = ranked.select("source", "source_size", pick.alias("weight"), (F.lit(most) * F.col("source_size")).alias("cap"))
+    by_ratio = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    run = durable(_running(weighed, by_ratio, {"caps": F.col("cap"), "weights": F.col("weight")}, range_rows), "running")
+    whole = run.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    leveled = run.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("all_sizes").cast("double") - F.col("caps")) / (F.col("all_weights") - F.col("weights")))
+    level = leveled.agg(F.max("level").alias("top"))
+    target = F.least(F.col("cap"), F.col("top") * F.col("weight"))
+    out = run.crossJoin(F.broadcast(level)).withColumn("target", target)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return out.select("source", "source_size", "target", rate.alias("rate"))
 

@@ -264,6 +264,11 @@ def test_targets_equal_iterated_sharing(spark):
     got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
     want = _fill(sizes)
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+    assert {r["source"]: r["target"] for r in mixing.source_targets(df, range_rows=2).collect()} == got
+    many = {f"host{i}": (i * 7919) % 1000 for i in range(500)}
+    df = spark.createDataFrame(list(many.items()), "source string, source_size long")
+    got, want = {r["source"]: r["target"] for r in mixing.source_targets(df, range_rows=40).collect()}, _fill(many)
+    assert all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
 
 
 def test_mix_takes_what_it_plans(spark):
