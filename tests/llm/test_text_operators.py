@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -286,6 +287,72 @@ def test_language_accuracy_and_edges(spark, edges):
     assert {r["lang_pred"] for r in langid.identify(edges, nothing).collect()} == {"und"}
 
 
+def _runs(text):
+    """Runs of letters, with marks inside, of the lower-cased tokens of a text."""
+    out = []
+    for token in text.split():
+        own = ""
+        for ch in token.lower() + " ":
+            if unicodedata.category(ch)[0] == "L" or (own and unicodedata.category(ch)[0] == "M"):
+                own += ch
+            elif own:
+                out.append(own)
+                own = ""
+    return out
+
+
+def test_language_scores_equal_brute_force(spark, docs, edges):
+    both = docs.select("doc_id", "text", "lang").unionByName(edges.select("doc_id", "text", "lang"))
+    rows = both.collect()
+    words, grams = {}, {}
+    for r in rows:
+        if r["text"] is None or r["lang"] is None or len(r["text"]) > langid.TRAIN_CHARS or _held(r["doc_id"], 5, 0):
+            continue
+        for w in _runs(r["text"]):
+            words.setdefault(r["lang"], Counter())[w] += 1
+            m = f"^{w}$"
+            grams.setdefault(r["lang"], Counter()).update(m[i - n : i] for i in range(1, len(m) + 1) for n in range(1, min(4, i) + 1))
+    langs = sorted(words)
+    total = sum(words.values(), Counter())
+    known = {w for w, n in total.items() if n >= 2}
+    of_gram = {g for c in grams.values() for g in c}
+
+    whole = {(lang, 0): sum(n for w, n in words[lang].items() if w in known) for lang in langs}
+    whole |= {(lang, k): sum(n for g, n in grams[lang].items() if len(g) == k) for lang in langs for k in (1, 2, 3, 4)}
+
+    def log(kind, entry, lang):
+        own, size = (words, len(known)) if kind else (grams, len(of_gram))
+        return math.log((own[lang][entry] + 0.5) / (whole[lang, 0 if kind else len(entry)] + 0.5 * (size + 1)))
+
+    memo = {}
+
+    def word(w):
+        if w not in memo:
+            if w in known:
+                memo[w] = [log(True, w, lang) for lang in langs]
+            else:
+                m, out = f"^{w}$", [0.0] * len(langs)
+                for end in range(2, len(m) + 1):
+                    g = next((m[end - n : end] for n in range(min(4, end), 0, -1) if m[end - n : end] in of_gram), None)
+                    if g is not None:
+                        out = [v + 0.5 * log(False, g, lang) for v, lang in zip(out, langs, strict=True)]
+                memo[w] = out
+        return memo[w]
+
+    some = [r for r in rows if len(r["text"] or "") < 3000][:90] + [r for r in rows if r["doc_id"] is None or r["doc_id"] < 12]
+    got = {}
+    for r in langid.identify(both, langid.fit_outside(both)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["lang_pred"], round(r["score"], 4)))
+    for r in some:
+        own = _runs(r["text"] or "")
+        want = ("und", 0.0)
+        if own:
+            sums = np.sum([word(w) for w in own], axis=0) / math.sqrt(len(own))
+            share = np.exp(sums - sums.max())
+            want = (langs[int(share.argmax())], float(share.max() / share.sum()))
+        assert any(lang == want[0] and abs(score - want[1]) < 2e-3 for lang, score in got[r["doc_id"]]), (r["doc_id"], want, got[r["doc_id"]])
+
+
 def test_quality_held_out_and_edges(spark, edges):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
