@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
 import numpy as np
 
@@ -267,6 +268,14 @@ def frames(x: np.ndarray, rate: float, window: float, hop: float) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, size)[::step]
 
 
+class SpectrumEstimator(Protocol):
+    """What ``stft`` asks of an estimator: its frequencies, and spectra of rows of samples, one row a frame."""
+
+    def frequencies(self, size: int, rate: float) -> np.ndarray: ...
+
+    def estimate(self, rows: np.ndarray, rate: float) -> np.ndarray: ...
+
+
 class GaussianEstimator:
     """Complex spectra of Gaussian-windowed frames, zero-padded to a fast length; frequencies from 0 up."""
 
@@ -313,6 +322,19 @@ class MultitaperEstimator:
         return out[:, 0]
 
 
+    def jackknife(self, rows: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """(mean power, deviation) of frames from leaving each taper out."""
+        n = rows.shape[1]
+        nw = max(1, int(n / rate * self.bandwidth))
+        tapers, _ = dpss(n, nw, 2 * nw - 1)
+        spec = np.abs(np.fft.fft(rows[:, None, :] * tapers[None])[:, :, np.fft.fftfreq(n) >= 0]) ** 2
+        k = spec.shape[1]
+        if k < 2:
+            return spec[:, 0], np.zeros_like(spec[:, 0])
+        out = (spec.sum(axis=1, keepdims=True) - spec) / (k - 1)
+        return spec.mean(axis=1), np.sqrt((k - 1) / k * ((out - out.mean(axis=1, keepdims=True)) ** 2).sum(axis=1))
+
+
 class WaveletEstimator:
     """Morlet amplitudes at log2-spaced frequencies, highest first; the longest wavelet sets the window."""
 

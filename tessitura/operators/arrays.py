@@ -99,6 +99,33 @@ def modulation_rows(arrays: DataFrame, rate: float, spec_rate: float, spacing: f
     return rows_of(arrays, run, "wf double, wt double, power double")
 
 
+def bandpass_rows(arrays: DataFrame, rate: float, edges: list[float], order: int = 5) -> DataFrame:
+    """(signal_id, band, n, re, im): analytic signals of a Butterworth low-pass under the first edge and band-passes above."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        z = K.bandpass_analytic(x, rate, edges, order)
+        return {"band": np.repeat(np.arange(len(z)), len(x)), "n": np.tile(np.arange(len(x)), len(z)), "re": z.real.ravel(), "im": z.imag.ravel()}
+
+    return rows_of(arrays, run, "band int, n int, re double, im double")
+
+
+def frame_loudness(stft: DataFrame) -> DataFrame:
+    """(signal_id, t_idx, rms): summed size of every time slice of ``stft_rows``."""
+    return stft.groupBy(KEY, "t_idx").agg(F.sum(F.hypot("re", "im")).alias("rms"))
+
+
+def multitaper_jackknife(arrays: DataFrame, rate: float, window: float, hop: float, bandwidth: float) -> DataFrame:
+    """(signal_id, t_idx, f_idx, power, sd): mean power over the tapers of every frame, and its deviation by leaving tapers out."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        rows = K.frames(x, rate, window, hop)
+        power, sd = K.MultitaperEstimator(bandwidth).jackknife(rows, rate)
+        t, f = np.indices(power.shape)
+        return {"t_idx": t.ravel(), "f_idx": f.ravel(), "power": power.ravel(), "sd": sd.ravel()}
+
+    return rows_of(arrays, run, "t_idx int, f_idx int, power double, sd double")
+
+
 def surrogate_rows(arrays: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """(signal_id, copy, x): signals with the same power spectrum and shuffled phases."""
     return rows_of(arrays, lambda x: {"copy": np.arange(count), "x": list(K.surrogates(x, count, seed))}, "copy int, x array<double>")

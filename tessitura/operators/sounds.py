@@ -59,6 +59,17 @@ def analyze(arrays: DataFrame, rate: float, low: float = 0, high: float | None =
     return envelope.join(lines, KEY, "left").join(spectra, KEY).select(KEY, "envelope", F.coalesce("fundamental", F.lit(0.0)).alias("fundamental"), "power", "spectrogram")
 
 
+def amplitude_moments(arrays: DataFrame, rate: float, cut: float = 20, amp_rate: float | None = 1000) -> DataFrame:
+    """(signal_id, max_amp, mean, std, skew, kurtosis, entropy): the envelope's top, and moments of time under its weight."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        amp = K.envelope(x, rate, cut, amp_rate)
+        t = np.arange(len(amp)) / (amp_rate or rate)
+        return {"max_amp": np.array([amp.max()]), **{k: np.array([v]) for k, v in zip(("mean", "std", "skew", "kurtosis", "entropy"), V._moments(t, amp), strict=True)}}
+
+    return rows_of(arrays, run, "max_amp double, mean double, std double, skew double, kurtosis double, entropy double")
+
+
 def pitch_tracks(sounds: DataFrame, rate: float, method: str = "HPS", lowest: float = 300, highest: float = 1500, **options) -> DataFrame:
     """(signal_id, t, f0, f0_2, sal, sal_2) at every hop; NaN where there is no pitch. Methods: AC, ACA, Cep, HPS, Stack."""
 

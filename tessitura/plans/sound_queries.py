@@ -15,7 +15,7 @@ from tessitura.operators import learn as M
 from tessitura.operators import points as P
 from tessitura.operators import sounds as U
 from tessitura.operators import statistics as T
-from tessitura.plans.kernel_sql import angle, rounded, stft
+from tessitura.plans.kernel_sql import RECTIFIED, angle, rounded, stft, values_table, zero_phase
 from tessitura.plans.point_queries import FS, HARMONIC, STRF, TRIALS, TS, _trials
 from tessitura.plans.tables import HOURS, MULTI, r, seconds, signal, table
 from tessitura.session import shared_folder
@@ -113,6 +113,49 @@ def formants(spark, d):
     return U.formant_tracks(_stacks(spark), 10000.0, hop=0.05)
 
 
+@query(
+    "q_amplitude_moments",
+    f"""WITH RECURSIVE {MULTI}, {RECTIFIED}, {zero_phase(K.butter_sos(4, 2 * 1.0 / 24, 'low'), 'rectified')}, a AS (SELECT signal_id, n / 24::DOUBLE AS t, greatest(x, 0) AS a FROM filtered),
+    p AS (SELECT *, a / sum(a) OVER (PARTITION BY signal_id) AS p FROM a), m AS (SELECT *, sum(p * t) OVER (PARTITION BY signal_id) AS mean FROM p),
+    s AS (SELECT signal_id, max(a) AS top, max(mean) AS mean, sqrt(sum(p * (t - mean) ** 2)) AS sd, sum(p * (t - mean) ** 3) AS m3, sum(p * (t - mean) ** 4) AS m4, -sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END) / log2(count(*) FILTER (p > 0)) AS h FROM m GROUP BY 1)
+    SELECT signal_id, round(top, 5) AS max_amp, round(mean, 6) AS mean, round(sd, 6) AS std, round(m3 / sd ** 3, 6) + 0.0 AS skew, round(m4 / sd ** 4, 6) AS kurtosis, round(h, 6) AS entropy FROM s""",
+)
+def amplitude_moments(spark, d):
+    out = U.amplitude_moments(_arrays(spark, d), 24.0, 1.0, None)
+    return out.select("signal_id", r("max_amp", 5).alias("max_amp"), *[r(c).alias(c) for c in ("mean", "std", "skew", "kurtosis", "entropy")])
+
+
+def _band(number: int, sos) -> str:
+    return f"SELECT {number} AS band, signal_id, n, x FROM (WITH RECURSIVE {MULTI}, {zero_phase(sos)} SELECT signal_id, n, x FROM filtered)"
+
+
+@query(
+    "q_bandpass_analytic",
+    f"""WITH b AS ({_band(0, K.butter_sos(5, 2 * 0.8 / 24, 'low'))} UNION ALL {_band(1, K.butter_sos(5, (2 * 0.8 / 24, 2 * 2.0 / 24), 'band'))})
+    SELECT a.signal_id, CAST(a.band AS INTEGER) AS band, a.n, {rounded('max(a.x)', 4)} AS re, {rounded(f'sum(b.x * 2 / {HOURS} / tan(pi() * (a.n - b.n) / {HOURS}))', 4)} AS im FROM b a JOIN b ON b.signal_id = a.signal_id AND b.band = a.band AND (a.n + b.n) % 2 = 1 GROUP BY 1, 2, 3""",
+)
+def bandpass_analytic(spark, d):
+    out = A.bandpass_rows(_arrays(spark, d), 24.0, [0.8, 2.0])
+    return out.select("signal_id", "band", "n", r("re", 4).alias("re"), r("im", 4).alias("im"))
+
+
+@query("q_frame_loudness", f"WITH {MULTI}, {stft(49, 12, 50)} SELECT signal_id, CAST(t_idx AS BIGINT) AS t_idx, {rounded('sum(sqrt(re * re + im * im))', 4)} AS rms FROM tf GROUP BY 1, 2")
+def frame_loudness(spark, d):
+    out = A.frame_loudness(A.stft_rows(_arrays(spark, d), 24.0, 2.0, 0.5, K.GaussianEstimator()))
+    return out.select("signal_id", "t_idx", r("rms", 4).alias("rms"))
+
+
+@query(
+    "q_multitaper_jackknife",
+    f"""WITH {MULTI}, {values_table("w", "taper, j, w", [(i, j, v) for i, row in enumerate(K.dpss(97, 3, 5)[0]) for j, v in enumerate(row)])},
+    z AS (SELECT s.signal_id, t, taper, k, sum(x * w * cos({angle('k * j', 97)})) AS re, sum(x * w * sin({angle('k * j', 97)})) AS im FROM range(30) r(t) CROSS JOIN w JOIN sig s ON s.n = t * 24 + j - 48 CROSS JOIN range(49) h(k) GROUP BY 1, 2, 3, 4)
+    SELECT signal_id, CAST(t AS INTEGER) AS t_idx, CAST(k AS INTEGER) AS f_idx, {rounded('avg(re * re + im * im)', 4)} AS power, {rounded('stddev_samp(re * re + im * im) / sqrt(5)', 4)} AS sd FROM z GROUP BY 1, 2, 3""",
+)
+def multitaper_jackknife(spark, d):
+    out = A.multitaper_jackknife(_arrays(spark, d), 24.0, 4.0, 1.0, 0.75)
+    return out.select("signal_id", "t_idx", "f_idx", r("power", 4).alias("power"), r("sd", 4).alias("sd"))
+
+
 # --- modulation and grids -------------------------------------------------------------------------------------------
 
 CELLS = f"{STRF}, v AS (SELECT i, j, sin({TAU} * 10 * (t - 0.15::DOUBLE)) * exp(-((f - 3000) ** 2) / 500000) * exp(-((t - 0.15::DOUBLE) ** 2) / 0.125::DOUBLE) AS w FROM g), s AS (SELECT i, j, w / max(abs(w)) OVER () AS w FROM v)"

@@ -172,3 +172,16 @@ def test_blocked_filter_equals_the_recursion(size):
             out.append(w)
         want = out
     assert np.allclose(K.sos_filter(sos, x, state), want, rtol=1e-9, atol=1e-10)
+
+
+def test_wav_formats():
+    """24-bit samples, and the extensible header."""
+    import struct
+
+    values = [0, 1, -1, 8388607, -8388608, 70000]
+    body = b"".join(struct.pack("<i", v)[:3] for v in values)
+    for tag, extra in ((1, b""), (0xFFFE, struct.pack("<HHIH", 22, 24, 0, 1) + b"\0" * 14)):
+        fmt = struct.pack("<HHIIHH", tag, 2, 8000, 48000, 6, 24) + extra
+        data = b"RIFF" + struct.pack("<I", 0) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body
+        assert wav.parse_wav(data) == (8000, [[float(v) for v in values[::2]], [float(v) for v in values[1::2]]])
+        assert wav.parse_wav(data, True)[1] == [[float(v) for v in values[::2]]]
