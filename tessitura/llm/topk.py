@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import durable, hashed_fraction, shared_dir, table
+from tessitura.llm.common import durable, forget, hashed_fraction, shared_dir, table
 
 SCALE = 1024
 LEAF = 128
@@ -309,6 +309,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: i
         block = [(ids, v, np.array([_below(kth.get(i)) for i in ids.tolist()], float)) for ids, v, _ in block]
         found = seeds.unionByName(search(block, packed.filter("not seed")))
         found.select("*", F.row_number().over(best).alias("rank")).filter((F.col("rank") <= k) | F.col("query_id").isNull()).drop("rank").write.mode("append").parquet(path)
+        forget(seeds)
+    forget(ready, placed, packed, asked)
     done = spark.read.schema(schema).parquet(path)
     if counters is not None:
         counters |= done.agg(*[F.sum(c).alias(c) for c in ("pairs", "searched", "leaves", "visited")]).first().asDict()
