@@ -28,7 +28,8 @@ def affinity(edges: DataFrame) -> DataFrame:
 def modularity_matrix(edges: DataFrame, null_weight: float = 1.0) -> DataFrame:
     """(i, j, value): A - gamma w_i w_j / M over all node pairs; meant for graphs whose pairs are wanted, so output is n^2."""
     w = symmetric_weights(edges)
-    s = strengths(w).select("*", F.sum("strength").over(Window.partitionBy(F.lit(1))).alias("total"))
+    s = strengths(w)
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("strength").alias("total"))))
     a = s.select(F.col("node").alias("i"), F.col("strength").alias("si"), "total")
     b = s.select(F.col("node").alias("j"), F.col("strength").alias("sj"))
     null = a.crossJoin(b).join(w.select(F.col("src").alias("i"), F.col("dst").alias("j"), "weight"), ["i", "j"], "left")

@@ -79,7 +79,8 @@ def phase_locking(pairs: DataFrame, first: str, second: str) -> DataFrame:
 def frequencies(df: DataFrame, *symbols: str) -> DataFrame:
     """Relative frequency of every distinct symbol."""
     counts = df.groupBy(*symbols).agg(F.count("*").alias("count"))
-    return counts.select(*symbols, (F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1)))).alias("p"))
+    total = F.broadcast(counts.agg(F.sum("count").alias("_total")))
+    return counts.crossJoin(total).select(*symbols, (F.col("count") / F.col("_total")).alias("p"))
 
 
 def entropy(df: DataFrame, *symbols: str, base: float = 2) -> DataFrame:
@@ -166,7 +167,8 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def categorical_summary(df: DataFrame, category: str, y: str) -> DataFrame:
     """Share of every category, with mean and population deviation of y."""
     g = df.groupBy(category).agg(F.count("*").alias("count"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"))
-    return g.select(category, (F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1)))).alias("share"), "mean", "std")
+    total = F.broadcast(g.agg(F.sum("count").alias("_total")))
+    return g.crossJoin(total).select(category, (F.col("count") / F.col("_total")).alias("share"), "mean", "std")
 
 
 def pairwise_correlation(df: DataFrame, features: list[str], dependent: str) -> DataFrame:

@@ -40,7 +40,8 @@ def _grid(spark: SparkSession, ts: list[float], fs: list[float]) -> DataFrame:
 
 def _peak_scaled(grid: DataFrame, value) -> DataFrame:
     raw = grid.select("i", "j", value.alias("w"))
-    return raw.select("i", "j", (F.col("w") / F.max(F.abs("w")).over(Window.partitionBy(F.lit(1)))).alias("w"))
+    top = F.broadcast(raw.agg(F.max(F.abs("w")).alias("top")))
+    return raw.crossJoin(top).select("i", "j", (F.col("w") / F.col("top")).alias("w"))
 
 
 def onset_strf(spark, ts, fs, t_c=0.15, t_freq=10.0, t_phase=0.0, t_sigma=0.25, f_c=3000.0, f_sigma=500.0) -> DataFrame:
