@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, and every other for rows, on the smallest tables."""
+"""Every query with SQL against DuckDB on the smallest tables; the others are in ``test_values``."""
 
 import os
 
@@ -36,6 +36,8 @@ def test_matches_sql(spark, duck, name):
             assert (got[c] == want[c]).all(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_every_other_query_has_a_value_test():
+    from pathlib import Path
+
+    source = Path(__file__).with_name("test_values.py").read_text()
+    assert [n for n in sorted(set(registry.QUERIES) - set(registry.ORACLES)) if f'"{n}"' not in source] == []

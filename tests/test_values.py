@@ -298,3 +298,17 @@ def test_pseudo_covariance(spark):
     cov, pseudo = M.complex_moments(rows, 3)
     parts = (z.real - z.real.mean(axis=0)) / z.real.std(axis=0, ddof=1) + 1j * (z.imag - z.imag.mean(axis=0)) / z.imag.std(axis=0, ddof=1)
     assert np.allclose(cov, parts.conj().T @ parts / 50) and np.allclose(pseudo, parts.T @ parts / 50)
+
+
+def test_peaks_apart(run, spark):
+    """Greedy thinning by the definition, on the rising-edge peaks of every signal."""
+    got = run("q_peaks_distance")
+    wide = signal(spark, SF, True).toPandas().pivot(index="n", columns="signal_id", values="x")
+    for name in set(got["signal_id"]):
+        x = wide[name].to_numpy()
+        at = [i for i in range(1, len(x) - 1) if x[i] > x[i - 1] and x[i + 1] <= x[i] and x[i] >= 300]
+        own = sorted(got[got["signal_id"] == name]["n"])
+        assert set(own) <= set(at) and (np.diff(own) > 12).all()
+        # whatever isn't kept has a kept peak, as high or higher, within reach
+        for i in set(at) - set(own):
+            assert any(abs(i - k) <= 12 and x[k] >= x[i] for k in own)
