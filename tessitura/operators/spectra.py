@@ -43,8 +43,8 @@ def power_spectrum(signals: DataFrame, size: int, rate: float, log: bool = False
 def cross_spectra(spectra: DataFrame, keys: list[str], channel: str = KEY) -> DataFrame:
     """(keys, a, b, re, im): conj(X_a) X_b of all channel pairs a <= b that share the keys (an equi-join)."""
     a = spectra.select(*keys, F.col(channel).alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = spectra.select(*keys, F.col(channel).alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    pairs = a.join(b, keys).filter(F.col("a") <= F.col("b"))
+    b = spectra.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(channel).alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"))
+    pairs = a.join(b, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("a") <= F.col("b")])
     return pairs.select(*keys, "a", "b", (F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("re"), (F.col("ar") * F.col("bi") - F.col("ai") * F.col("br")).alias("im"))
 
 
