@@ -2,20 +2,19 @@
 
 Words are those of ``simhash``. Texts with one set (its XXH64 is the node) are copies. Links come from two exact checks:
 
-1. SimHash proposes: fingerprints over the same shingles are linked by the generalised pigeonhole, and every text of a
-   linked group is compared with the group's first one, as every text that shares a rare shingle is with the shingle's
-   centre (the set whose prefix is the commonest). What is similar becomes one component, so large groups of copies
-   don't meet as all pairs afterwards.
+1. SimHash comes first: fingerprints over the same shingles are linked by the generalised pigeonhole, and every text of a
+   linked group is compared with the group's first one. What is similar becomes one component, and whatever follows
+   compares texts of different components only.
 2. A similarity of 0.8 leaves about 10 of 64 bits to differ, more than any pigeonhole can probe, so the prefix filter,
-   which loses no pair, completes the links: the shingles of a set are put in one global order, and two sets of
-   similarity 0.8 meet in the first fifth of it, at places early enough that what follows can still make up the overlap.
-   The order takes shingles first whose cell in a sketch of sampled sets is least filled, so that common lines and the body
-   of large groups come last; any order gives the same result. Pairs that are one component already are skipped.
+   which loses no pair, completes the links between what SimHash left apart: the shingles of a set are put in one global
+   order, and two sets of similarity 0.8 meet in the first fifth of it, at places early enough that what follows can still
+   make up the overlap. The order takes shingles first whose cell in a sketch of sampled sets is least filled, so that common
+   lines and the body of large groups come last; any order gives the same result. Texts first meet each shingle's centre
+   only (the set whose prefix is the commonest), so that large groups of copies don't meet as all pairs in the exact join.
 
 Every candidate is verified on the two sets. Before that, a sketch of each set (how many of its hashes fall in each cell, a
 few of them to a cell) bounds the overlap from above, which turns most candidates away for a small part of the sets' size
-and loses none. Sets are never stored: they are made again from the texts where needed, and only those of candidates within
-the bound are shuffled.
+and loses none. Sets are never stored: they are made again where needed, from the texts of candidates within the bound only.
 """
 
 from __future__ import annotations
@@ -36,13 +35,14 @@ WORDS = 5
 CELL_BITS = 20
 #: One set in so many feeds the sketch; this moves the order, never the result.
 SAMPLE = 8
-#: Bits of the filter that keeps sets without a candidate out of the shuffle; a bit too many costs a row, never a result.
+#: Bits of the filter that keeps texts without a candidate from being hashed; a bit too many costs a row, never a result.
 SLOTS = 1 << 24
 #: Cells of a sketch: a power of two, at least this many, and about so many hashes to a cell.
 LEAST_CELLS, CELL_FILL = 128, 3
 #: Nodes that a task remembers, so as to send each but once; more only cost repeated rows.
 REMEMBERED = 200_000
 SET_SCHEMA = "node long, hashes binary"
+MET_SCHEMA = "u long, v long, comp_u long, comp_v long, text_u long, text_v long"
 PREFIX_SCHEMA = "key long, node long, n int, at int, common float"
 
 
@@ -145,14 +145,17 @@ def _prefixes(parts: list[tuple]) -> pa.RecordBatch:
 
 
 def _wanted_batches(held):
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy() & (SLOTS - 1)
+            yield batch.filter(pa.array((held.value[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, size = [], [], 0
-        for node, data in _sets(batches, 0):
-            slot = node % SLOTS
-            if held.value[slot >> 3] >> (slot & 7) & 1:
-                nodes.append(node)
-                sets.append(data)
-                size += len(data)
+        for node, data in _sets(wanted(batches), 1):
+            nodes.append(node)
+            sets.append(data)
+            size += len(data)
             if size > 8_000_000:
                 yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
                 nodes, sets, size = [], [], 0
@@ -174,8 +177,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _bounded_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [may_be_similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        keep = [may_be_similar(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        yield batch.drop_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _reachable(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
@@ -183,25 +186,34 @@ def _reachable(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
     return F.least(n_a - at_a, n_b - at_b) * 9 >= (n_a + n_b) * 4
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The distinct pairs (u, v) of nodes whose sets are similar; ``sketches`` has (node, sketch)."""
-    a = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
-    b = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"))
-    sketched = pairs.select("u", "v").distinct().hint("merge").join(a, "u").hint("merge").join(b, "v")
-    pairs = durable(sketched.select("u", "v", "a", "b").mapInArrow(_bounded_batches, "u long, v long"), "candidates")
-    slot = F.pmod("node", F.lit(SLOTS))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).select(F.shiftright(slot, 3).cast("int").alias("k"), F.expr("shiftleft(1, cast(pmod(node, 8) as int))").alias("bit"))
-    bits = ends.groupBy("k").agg(F.bit_or("bit").alias("bit")).toArrow()
+def _merged(comps: DataFrame, pairs: DataFrame, texts: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """``comps`` (node, comp) after similar sets among the pairs (u, v) have made their components one.
+
+    Pairs within a component are neither sketched nor verified; ``nodes`` has (node, text_hash, sketch).
+    """
+    ends = nodes.hint("merge").join(comps, "node")
+    a = ends.select(F.col("node").alias("u"), F.col("comp").alias("comp_u"), F.col("text_hash").alias("text_u"), F.col("sketch").alias("a"))
+    b = ends.select(F.col("node").alias("v"), F.col("comp").alias("comp_v"), F.col("text_hash").alias("text_v"), F.col("sketch").alias("b"))
+    apart = pairs.select("u", "v").distinct().hint("merge").join(a, "u").hint("merge").join(b, "v").filter("comp_u <> comp_v")
+    met = durable(apart.select("u", "v", "comp_u", "comp_v", "text_u", "text_v", "a", "b").mapInArrow(_bounded_batches, MET_SCHEMA), "candidates")
+    slot = F.pmod("text_hash", F.lit(SLOTS))
+    wanted = met.select(F.explode(F.array("text_u", "text_v")).alias("text_hash")).select(F.shiftright(slot, 3).cast("int").alias("k"), F.expr("shiftleft(1, cast(pmod(text_hash, 8) as int))").alias("bit"))
+    bits = wanted.groupBy("k").agg(F.bit_or("bit").alias("bit")).toArrow()
+    if not bits.num_rows:
+        forget(met)
+        return comps
     filled = np.zeros(SLOTS // 8, np.uint8)
     filled[bits["k"].to_numpy()] = bits["bit"].to_numpy()
-    sets = texts.mapInArrow(_wanted_batches(texts.sparkSession.sparkContext.broadcast(filled)), SET_SCHEMA)
+    sets = texts.select("text_hash", "text").mapInArrow(_wanted_batches(texts.sparkSession.sparkContext.broadcast(filled)), SET_SCHEMA)
     sets = durable(sets.repartition("node").dropDuplicates(["node"]), "wanted")
     a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    met = pairs.hint("merge").join(a, "u").hint("merge").join(b, "v")
-    found = durable(met.select("u", "v", "a", "b").mapInArrow(_verify_batches, "u long, v long"), "verified")
-    forget(pairs, sets)
-    return found
+    both = met.hint("merge").join(a, "u").hint("merge").join(b, "v")
+    links = durable(both.select("comp_u", "comp_v", "a", "b").mapInArrow(_verify_batches, "u long, v long"), "verified")
+    labels = connected_components(links)
+    out = durable(_labelled(comps, labels), name)
+    forget(met, sets, links, labels, comps)
+    return out
 
 
 def near_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -213,7 +225,6 @@ def near_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     text = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = durable(slim.mapInArrow(_row_batches, "doc_id long, text_hash long, node long, fp long, sketch binary"), "nodes")
-    texts = slim.select("text")
     sampled = slim.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text")
     found = sampled.mapInArrow(_sketch_batches, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     sketch = np.zeros(1 << CELL_BITS, np.int32)
@@ -221,36 +232,32 @@ def near_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     # texts of one set can repeat shingles differently; one of their fingerprints stands for the set
-    nodes = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.any_value("sketch").alias("sketch")), "sets")
+    nodes = durable(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.any_value("sketch").alias("sketch")), "sets")
     groups = durable(nodes.select("node", "fp").hint("merge").join(link_fingerprints(nodes.select("fp"), distance), "fp"), "proposed")
     first = groups.groupBy("comp").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter(F.col("first") != F.col("last"))
     proposed = groups.join(first, "comp").filter(F.col("node") != F.col("first")).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    comps = durable(nodes.select("node", F.col("node").alias("comp")), "own")
+    comps = _merged(comps, proposed, slim, nodes, "simhash")
+    forget(groups)
 
-    prefixes = texts.mapInArrow(_prefix_batches(held), PREFIX_SCHEMA)
+    prefixes = slim.select("text").mapInArrow(_prefix_batches(held), PREFIX_SCHEMA)
     own = Window.partitionBy("key")
     shared = prefixes.repartition("key").dropDuplicates(["key", "node"])
     shared = shared.withColumn("members", F.count("*").over(own)).withColumn("centre", F.max(F.struct("common", "node", "n", "at")).over(own))
     shared = durable(shared.filter("members > 1").drop("members", "common"), "shared")
 
     star = shared.filter((F.col("node") != F.col("centre.node")) & _reachable(F.col("n"), F.col("at"), F.col("centre.n"), F.col("centre.at")))
-    star = star.select(F.col("node").alias("u"), F.col("centre.node").alias("v")).unionByName(proposed)
-    labels = connected_components(_verified(star, texts, nodes))
-    comps = durable(_labelled(nodes.select("node", F.col("node").alias("comp")), labels), "starred")
+    comps = _merged(comps, star.select(F.col("node").alias("u"), F.col("centre.node").alias("v")), slim, nodes, "starred")
 
     placed = durable(shared.drop("centre").hint("merge").join(comps, "node"), "placed")
-    forget(shared, groups)
+    forget(shared)
     a = placed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "comp")])
     b = placed.filter((F.col("n") - F.col("at")) * 9 >= F.col("n") * 8).select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "comp")])
     order = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     apart = order & (F.col("comp_a") != F.col("comp_b")) & _reachable(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
     pairs = a.hint("merge").join(b, (a["key"] == b["key"]) & apart).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    links = _verified(pairs, texts, nodes)
-    for side in ("u", "v"):
-        names = comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
-        links = links.hint("merge").join(names, side)
-    labels = connected_components(links.select(F.col("comp_u").alias("u"), F.col("comp_v").alias("v")))
-    before, comps = comps, durable(_labelled(comps, labels), "groups")
-    forget(before, placed, labels, nodes)
+    comps = _merged(comps, pairs, slim, nodes, "groups")
+    forget(placed, nodes)
     return rows.select("doc_id", "text_hash", "node").hint("merge").join(comps, "node")
 
 

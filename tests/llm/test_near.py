@@ -79,3 +79,30 @@ def test_sketches_turn_no_similar_pair_away():
             assert may or not similar
             turned += not may
     assert turned >= 5 and near.set_sketch(np.arange(300, dtype=np.uint64) << np.uint64(40)) is None and near.may_be_similar(None, b"x")
+
+
+def test_what_simhash_links_is_not_compared_again(spark, monkeypatch):
+    """Copies with one replaced word of 2,000: what SimHash links leaves the prefix filter nothing to compare."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for base in range(3):
+        words = [f"w{rng.integers(10**6)}" for _ in range(2000)]
+        rows += [(12 * base + k, " ".join(words[: 150 * k] + [f"x{base}y{k}"] + words[150 * k + 1 :])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    write, counts = near.durable, []
+
+    def counted(table, name):
+        out = write(table, name)
+        if name == "candidates":
+            counts[-1] += out.count()
+        return out
+
+    def groups():
+        counts.append(0)
+        return {r["doc_id"]: r["comp"] for r in near.near_groups(df).collect()}
+
+    monkeypatch.setattr(near, "durable", counted)
+    linked = groups()
+    monkeypatch.setattr(near, "link_fingerprints", lambda fps, distance: fps.select("fp", fps["fp"].alias("comp")).distinct())
+    assert groups() == linked and len(set(linked.values())) == 3
+    assert counts[0] == 33 < counts[1]
