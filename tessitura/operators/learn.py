@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import kernels as K
 from tessitura.functions import learn_kernels as L
+from tessitura.operators import neighbours as N
 from tessitura.operators.samples import KEY, toeplitz
+from tessitura.operators.statistics import _ranges, digamma_int, knn_entropy
+from tessitura.session import shared_table
 
-#: Rows that nearest neighbours in several dimensions take at most: their distances are quadratic.
+#: Rows that permutation tests take at most: their measures are quadratic.
 KNN_ROWS = 20_000
 
 
@@ -286,17 +289,49 @@ def radial_transform(x, fit: dict[str, np.ndarray]):
     return sum(terms, F.lit(fit["bias"]))
 
 
+def _jittered(data: DataFrame, names: list[str], groups: list[list[str]], n: int, seed: int = 0) -> DataFrame:
+    """Rows with their place in the order of ``names`` as id, raw columns r0, r1, ... and jittered ones j0, j1, ...
+
+    The jitter is what ``learn_kernels`` adds to the sorted rows, group after group: a generator can begin at any of its numbers, so
+    each task makes those of its rows.
+    """
+    raw, noisy = [f"r{i}" for i in range(len(names))], [f"j{i}" for i in range(len(names))]
+    dealt = _ranges(data.select(*[F.col(c).cast("double").alias(r) for c, r in zip(names, raw, strict=True)]), *raw)
+    sizes = dealt.groupBy("_pid").agg(F.count("*").alias("_size"))
+    # one row for each range
+    before = sizes.select("_pid", (F.sum("_size").over(Window.orderBy("_pid")) - F.col("_size")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_pid").orderBy(*raw)) - 1
+    rows = dealt.withColumn("_row", place).join(F.broadcast(before), "_pid").select((F.col("_row") + F.col("_before")).alias("id"), *raw)
+
+    def noise(start: int, count: int) -> np.ndarray:
+        return np.random.Generator(np.random.PCG64(seed).advance(start)).random(count)
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values("id")
+            ids, out = pdf["id"].to_numpy(), pdf[raw].to_numpy(float)
+            ends = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1), len(ids)]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                first = 0
+                for g in (len(g) for g in groups):
+                    if hi > lo:
+                        out[lo:hi, first : first + g] += 1e-10 * noise(n * first + int(ids[lo]) * g, (hi - lo) * g).reshape(-1, g)
+                    first += g
+            yield pdf.assign(**dict(zip(noisy, out.T, strict=True)))
+
+    return shared_table(rows.mapInPandas(run, ", ".join(["id long", *(f"{c} double" for c in [*raw, *noisy])])), "jittered")
+
+
 def knn_measures(rows: DataFrame, x: list[str], y: list[str], z: list[str], k: int = 3, base: float = 2) -> DataFrame:
     """(entropy, mutual, conditional, divergence) by nearest neighbours: of x; of x and y; of these given z; of x from y.
 
-    Columns are groups of any number of dimensions. All pairs are compared, block by block, so more than ``KNN_ROWS`` rows
-    raise; cut larger tables by a key and call this for each part.
+    Columns are groups of any number of dimensions. Up to ``CELL_ROWS`` rows are one task; more are dealt over cells, and a row
+    meets the cells that can matter to it, so no task holds more than two. Both ways have the same jitter and distances.
     """
     names = [*x, *y, *z]
     data = rows.select(*names).dropna()
     n = data.count()
-    if n > KNN_ROWS:
-        raise ValueError(f"{n} rows are too many for all pairs; {KNN_ROWS} at most")
+    schema = "entropy double, mutual double, conditional double, divergence double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names)
@@ -304,7 +339,39 @@ def knn_measures(rows: DataFrame, x: list[str], y: list[str], z: list[str], k: i
         kl = L.knn_kl(a, b, k, base) if len(x) == len(y) else None
         return pd.DataFrame({"entropy": [L.knn_entropy(a, k, base)], "mutual": [L.knn_mi(a, b, k, base)], "conditional": [L.knn_cmi(a, b, c, k, base)], "divergence": [kl]})
 
-    return data.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, "entropy double, mutual double, conditional double, divergence double")
+    if n <= N.CELL_ROWS:
+        return data.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, schema)
+    points = _jittered(data, names, [x, y, z], n)
+    at = [f"j{i}" for i in range(len(names))]
+    jx, jy, jz = at[: len(x)], at[len(x) : len(x) + len(y)], at[len(x) + len(y) :]
+    low = F.lit(float("-inf"))
+    mean_log = F.avg(F.when(F.col("radius") > 0, F.log("radius")).otherwise(low))
+    psi_n, psi_k = float(K.digamma(n)), float(K.digamma(k))
+
+    def mean_digamma(columns: list[str], radii: DataFrame) -> float:
+        counts = N.count_within(points.select("id", *columns).join(radii, "id"), points, columns)
+        return counts.agg(F.avg(F.when(F.col("count") > 0, digamma_int(F.greatest("count", F.lit(1)))).otherwise(low))).first()[0]
+
+    def radii(columns: list[str]) -> DataFrame:
+        return shared_table(N.kth_distance(points, points, columns, k).withColumn("radius", F.col("radius") - 1e-15), "radii")
+
+    entropy = psi_n - psi_k + len(x) * (np.log(2) + N.kth_distance(points, points, jx, k).agg(mean_log).first()[0])
+    pair = radii([*jx, *jy])
+    mutual = psi_k + psi_n - mean_digamma(jx, pair) - mean_digamma(jy, pair)
+    triple = radii(at)
+    conditional = psi_k + mean_digamma(jz, triple) - mean_digamma([*jx, *jz], triple) - mean_digamma([*jy, *jz], triple)
+    divergence = None
+    if len(x) == len(y):
+        raw = [f"c{i}" for i in range(len(x))]
+        own = points.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(raw)])
+        other = points.select(*[F.col(f"r{len(x) + i}").alias(c) for i, c in enumerate(raw)])
+        # equal rows have equal distances, so each is asked for once
+        asked = shared_table(own.groupBy(*raw).agg(F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "asked")
+        near = N.kth_distance(asked, own, raw, k).join(N.kth_distance(asked, other, raw, k - 1).withColumnRenamed("radius", "far"), "id").join(asked.select("id", "copies"), "id")
+        sums = near.filter("radius > 0 and far > 0").agg(F.sum(F.col("copies") * F.log(F.col("far") / F.col("radius"))) / F.sum("copies")).first()[0]
+        divergence = np.log(n) - np.log(n - 1) + len(x) * (np.nan if sums is None else sums)
+    values = [None if v is None else float(v / np.log(base)) for v in (entropy, mutual, conditional, divergence)]
+    return rows.sparkSession.createDataFrame([tuple(values)], schema)
 
 
 def discrete_information(rows: DataFrame, k: int = 3, base: float = 2) -> DataFrame:
@@ -312,8 +379,6 @@ def discrete_information(rows: DataFrame, k: int = 3, base: float = 2) -> DataFr
 
     Neighbours come from sorted order inside each class; classes of k rows or fewer count with the whole column's entropy.
     """
-    from tessitura.operators.statistics import knn_entropy
-
     per = knn_entropy(rows.filter("x is not null"), "x", k, base, "y")
     own = F.when(F.col("n") > k, F.col("entropy"))
     whole = knn_entropy(rows.filter("x is not null"), "x", k, base).withColumnRenamed("entropy", "whole")

@@ -214,12 +214,12 @@ def weighted_moments(df: DataFrame, key: list[str], at: str, weight: str, quarti
 RANGE_ROWS = 500_000
 
 
-def _ranges(df: DataFrame, x: str) -> DataFrame:
-    """``df`` with _pid: rows dealt over ranges of ``x``, numbered in its order; written, so that the deal is final."""
+def _ranges(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` with _pid: rows dealt over ranges of ``by``, numbered in its order; written, so that the deal is final."""
     from tessitura.session import shared_table
 
     parts = max(1, -(-df.count() // RANGE_ROWS))
-    return shared_table(df.repartitionByRange(parts, x).withColumn("_pid", F.spark_partition_id()), "ranges")
+    return shared_table(df.repartitionByRange(parts, *by).withColumn("_pid", F.spark_partition_id()), "ranges")
 
 
 def count_up_to(points: DataFrame, probes: DataFrame, x: str, strictly: bool = False) -> DataFrame:

@@ -341,7 +341,7 @@ def sign_constrained(spark, d):
 
 @query("q_knn_measures")
 def knn_measures(spark, d):
-    """Entropy, mutual information, its conditional form and divergence in several dimensions, on a table of a bounded size."""
+    """Entropy, mutual information, its conditional form and divergence in several dimensions."""
     rows = table(spark, d, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.col("s_suppkey").cast("double").alias("z"))
     return M.knn_measures(rows, ["x"], ["y"], ["z"])
 

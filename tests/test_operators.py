@@ -112,3 +112,17 @@ def test_thinned_peaks_equal_the_definition():
                     kept.append(n)
                     dead |= {m for m in heights if abs(m - n) <= 4 and m != n and (heights[m] < heights[n] or not keep_same)}
             assert S.thin_peaks(heights, 4, keep_same) == sorted(kept)
+
+
+def test_neighbour_measures_of_many_cells(spark, monkeypatch):
+    from tessitura.functions import learn_kernels as L
+    from tessitura.operators import neighbours as N
+
+    monkeypatch.setattr(M, "KNN_ROWS", 10)
+    monkeypatch.setattr(N, "CELL_ROWS", 75)
+    rng = np.random.default_rng(3)
+    # with ties of x, and more of y
+    rows = np.column_stack([rng.integers(-100, 900, 300), rng.integers(0, 5, 300), np.arange(300)])
+    a, b, c = (v[:, None] for v in rows[np.lexsort(rows.T[::-1])].T)
+    got = M.knn_measures(spark.createDataFrame([tuple(map(float, v)) for v in rows], "x double, y double, z double"), ["x"], ["y"], ["z"]).first()
+    assert np.allclose(list(got), [L.knn_entropy(a), L.knn_mi(a, b), L.knn_cmi(a, b, c), L.knn_kl(a, b)], rtol=1e-9, atol=1e-12)
