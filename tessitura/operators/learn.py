@@ -11,7 +11,7 @@ from tessitura.functions import kernels as K
 from tessitura.functions import learn_kernels as L
 from tessitura.operators import neighbours as N
 from tessitura.operators.samples import KEY, toeplitz
-from tessitura.operators.statistics import _ranges, digamma_int, knn_entropy
+from tessitura.operators.statistics import _ranges, digamma_int, exact_percentiles, knn_entropy
 from tessitura.session import shared_table
 
 #: Rows that permutation tests take at most: their measures are quadratic.
@@ -253,10 +253,11 @@ def radial_fit(rows: DataFrame, x: str, y: str, df: int = 3, folds: int = 10, ke
     over the folds at the best strength of 10^-2 to 10^5.
     """
     shares = [int((k + 1) * 100 / (df + 1)) / 100 for k in range(df)]
-    facts = rows.agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    edges = [facts["lo"], *facts["c"], facts["hi"]]
+    centers = exact_percentiles(rows, x, shares)
+    facts = rows.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    edges = [facts["lo"], *centers, facts["hi"]]
     spans = rows.agg(*[F.stddev_samp(F.when((F.col(x) >= a) & (F.col(x) <= b), F.col(x))).alias(f"w{i}") for i, (a, b) in enumerate(zip(edges[:-2], edges[2:], strict=True))]).first()
-    centers, widths = np.array(facts["c"]), np.array([spans[f"w{i}"] for i in range(df)], float)
+    centers, widths = np.array(centers), np.array([spans[f"w{i}"] for i in range(df)], float)
     basis = [F.exp(-F.pow(F.col(x) - float(c), F.lit(2.0)) / float(w)) for c, w in zip(centers, widths, strict=True)]
     terms = [F.lit(1.0), *basis, F.col(y).cast("double")]
     wide = rows.select(F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"), *[t.alias(f"t{i}") for i, t in enumerate(terms)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,58 @@ def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str, base:
     return h.select((F.col("h0") + F.col("h1") - F.col("h2") - F.col("h3")).alias("cmi"))
 
 
+#: Ranges that a pass of exact_percentiles counts in each interval that it cuts.
+CUT_RANGES = 4096
+
+
+def exact_percentiles(df: DataFrame, x: str, shares: list[float]) -> list[float]:
+    """The interpolated percentiles of a column, as ``F.percentile`` has them; none if it has no value.
+
+    ``F.percentile`` holds every distinct value in one task. Here a pass counts the rows of even ranges of the values, with each one's
+    least and largest; the ranges that hold a rank in question are cut in the next pass, until they hold one value. A task sees
+    ``CUT_RANGES`` rows at most for each interval and input split, the driver as many for each interval, two a share at most.
+    """
+    values = df.select(F.col(x).cast("double").alias("v")).filter("v is not null")
+    v, top = F.col("v"), F.lit(math.inf)
+    finite = (v > -top) & (v < top)
+    facts = values.agg(F.count("*").alias("n"), F.count_if(v == -top).alias("below"), F.count_if(finite).alias("inside"), F.count_if(v == top).alias("above"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi")).first()
+    if not facts["n"]:
+        return []
+    places = [(facts["n"] - 1) * s for s in shares]
+    ranks = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
+    # intervals as (rank of the first row, rows, least, largest value)
+    whole = facts["below"], facts["inside"], facts["lo"], facts["hi"]
+    spans = [(0, facts["below"], -math.inf, -math.inf), whole, (whole[0] + whole[1], facts["above"], math.inf, math.inf), (whole[0] + whole[1] + facts["above"], facts["n"], math.nan, math.nan)]
+    found: dict[int, float] = {}
+    while True:
+        cut = []
+        for first, size, lo, hi in spans:
+            own = [k for k in ranks if first <= k < first + size and k not in found]
+            if own and lo < hi:
+                cut.append((first, lo, hi))
+            else:
+                found.update(dict.fromkeys(own, lo))
+        if not cut:
+            break
+        place = F.lit(None).cast("long")
+        for i, (_, lo, hi) in enumerate(cut):
+            width = max(hi / CUT_RANGES - lo / CUT_RANGES, 5e-324)
+            own = F.floor(F.least((v - lo) / F.lit(width), F.lit(CUT_RANGES - 1.0))) + i * CUT_RANGES
+            place = F.when((v >= lo) & (v <= hi), own).otherwise(place)
+        rows = values.select(place.alias("at"), "v").filter("at is not null").groupBy("at").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        spans, first, last = [], 0, -1
+        for r in sorted(rows):
+            first, last = cut[r["at"] // CUT_RANGES][0] if r["at"] // CUT_RANGES != last else first, r["at"] // CUT_RANGES
+            spans.append((first, r["n"], r["lo"], r["hi"]))
+            first += r["n"]
+    out = []
+    for p in places:
+        lower, higher = math.floor(p), math.ceil(p)
+        a, b = found[lower], found[higher]
+        out.append(a if a == b or lower == higher else (higher - p) * a + (p - lower) * b)
+    return out
+
+
 def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20, by_quantile: bool = False) -> DataFrame:
     """(bin, center, mean, se, count) of y over bins of x, half-open, so the largest x is left out.
 
@@ -120,20 +173,22 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20, by_quantile: bool
     """
     shares = [int(k * 100 / (bins + 1)) / 100 for k in range(1, bins)]
     facts = [F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")]
-    ends = df.agg(*facts, *([F.percentile(x, F.array(*map(F.lit, shares))).alias("cuts")] if by_quantile else []))
+    cuts = exact_percentiles(df, x, shares) if by_quantile else []
+    ends = df.agg(*facts)
     even = F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * (k / bins) for k in range(bins)], F.col("hi"))
-    edges = F.when(F.size(F.array_distinct("cuts")) == bins - 1, F.concat(F.array("lo"), F.col("cuts"), F.array("hi"))).otherwise(even) if by_quantile else even
+    edges = F.array(F.col("lo"), *map(F.lit, cuts), F.col("hi")) if by_quantile and len(np.unique(cuts)) == bins - 1 else even
     edged = ends.select("lo", "hi", edges.alias("edges"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.size(F.filter("edges", lambda e: e <= F.col(x))) - 1 if by_quantile else F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(bins - 1))
-    placed = df.select(x, y).crossJoin(F.broadcast(edged)).filter(F.col(x) < F.col("hi")).select(place.cast("int").alias("bin"), "edges", F.col(y).alias("y"))
-    center = F.element_at(F.first("edges"), F.col("bin") + 1) / 2 + F.element_at(F.first("edges"), F.col("bin") + 2) / 2
-    return placed.groupBy("bin").agg(center.alias("center"), F.avg("y").alias("mean"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("count"))
+    placed = df.select(x, y).crossJoin(F.broadcast(edged)).filter(F.col(x) < F.col("hi")).select(place.cast("int").alias("bin"), F.col(y).alias("y"))
+    binned = placed.groupBy("bin").agg(F.avg("y").alias("mean"), (F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("count"))
+    # an array in the aggregate would make Spark sort all rows
+    center = F.element_at("edges", F.col("bin") + 1) / 2 + F.element_at("edges", F.col("bin") + 2) / 2
+    return binned.crossJoin(F.broadcast(edged)).select("bin", center.alias("center"), "mean", "se", "count")
 
 
 def smooth_bins(binned: DataFrame, points: int) -> DataFrame:
     """(i, center, mean, se): binned means (one row a bin, so few) resampled at ``points`` even places by not-a-knot cubics."""
-    import numpy as np
     import pandas as pd
 
     from tessitura.functions import kernels as K
@@ -150,11 +205,12 @@ def smooth_bins(binned: DataFrame, points: int) -> DataFrame:
 def percentile_knots(df: DataFrame, x: str, knots: int = 3) -> list[float]:
     """Knots of a spline at the percentiles int(100 k / (knots + 1)) of a column; 10, 50 and 90 if these aren't distinct."""
     shares = [int(k * 100 / (knots + 1)) / 100 for k in range(1, knots + 1)]
-    row = df.agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("own"), F.percentile(x, F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("wide")).first()
-    found = row["own"] if len(set(row["own"])) == knots else row["wide"]
-    if len(set(found)) != len(found):
+    both = exact_percentiles(df, x, [*shares, 0.1, 0.5, 0.9])
+    own, wide = both[:knots], both[knots:]
+    found = own if len(set(own)) == knots else wide
+    if not found or len(set(found)) != len(found):
         raise ValueError("the column has too few distinct values for knots")
-    return list(found)
+    return found
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

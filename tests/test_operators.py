@@ -126,3 +126,25 @@ def test_neighbour_measures_of_many_cells(spark, monkeypatch):
     a, b, c = (v[:, None] for v in rows[np.lexsort(rows.T[::-1])].T)
     got = M.knn_measures(spark.createDataFrame([tuple(map(float, v)) for v in rows], "x double, y double, z double"), ["x"], ["y"], ["z"]).first()
     assert np.allclose(list(got), [L.knn_entropy(a), L.knn_mi(a, b), L.knn_cmi(a, b, c), L.knn_kl(a, b)], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied", "odd"])
+def test_exact_percentiles_equal_sparks(spark, kind):
+    from tessitura.operators import statistics as T
+
+    rng = np.random.default_rng(5)
+    x = {"spread": np.exp(rng.normal(size=2000) * 20), "tied": rng.integers(0, 4, 2000) / 7, "odd": np.concatenate([rng.normal(size=20), [np.inf, -np.inf, np.nan, 1.7e308, -1.7e308, 0.0, 5e-324]])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    shares = [0.0, 0.09, 0.27, 0.5, 0.81, 1.0]
+    want = df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+    assert np.array_equal(T.exact_percentiles(df, "x", shares), want, equal_nan=True)
+    assert T.exact_percentiles(df.filter("x is null"), "x", shares) == []
+
+
+def test_quantile_bins_hold_no_column_in_one_task(spark):
+    from tessitura.operators import statistics as T
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    binned = T.binned_mean(df, "x", "y", 10, True)
+    assert "percentile" not in binned._jdf.queryExecution().toString()
+    assert sorted(r["count"] for r in binned.collect()) == [90] * 9 + [189]
