@@ -148,3 +148,11 @@ def test_quantile_bins_hold_no_column_in_one_task(spark):
     binned = T.binned_mean(df, "x", "y", 10, True)
     assert "percentile" not in binned._jdf.queryExecution().toString()
     assert sorted(r["count"] for r in binned.collect()) == [90] * 9 + [189]
+
+
+def test_smoothed_bins_hold_no_column_in_one_task(spark):
+    from tessitura.operators import statistics as T
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    smoothed = T.smooth_bins(T.binned_mean(df, "x", "y", 10, True), 5)
+    assert "percentile" not in smoothed._jdf.queryExecution().toString() and smoothed.count() == 5
