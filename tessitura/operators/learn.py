@@ -378,12 +378,13 @@ def knn_measures(rows: DataFrame, x: list[str], y: list[str], z: list[str], k: i
 def discrete_information(rows: DataFrame, k: int = 3, base: float = 2) -> DataFrame:
     """(information): entropy of continuous x less its mean over the classes y, weighed by their sizes.
 
-    Neighbours come from sorted order inside each class; classes of k rows or fewer count with the whole column's entropy.
+    Neighbours come from sorted order inside each class; classes of k rows or fewer count with the whole column's entropy. A larger
+    class without an entropy, as all its neighbours are ties, adds nothing to the sum, as in SQL.
     """
     per = knn_entropy(rows.filter("x is not null"), "x", k, base, "y")
-    own = F.when(F.col("n") > k, F.col("entropy"))
+    own = F.when(F.col("n") > k, F.col("entropy")).otherwise(F.col("whole"))
     whole = knn_entropy(rows.filter("x is not null"), "x", k, base).withColumnRenamed("entropy", "whole")
-    return per.crossJoin(F.broadcast(whole)).agg((F.first("whole") - F.sum(F.col("n") * F.coalesce(own, "whole")) / F.sum("n")).alias("information"))
+    return per.crossJoin(F.broadcast(whole)).agg((F.first("whole") - F.sum(F.col("n") * own) / F.sum("n")).alias("information"))
 
 
 def shuffle_test(rows: DataFrame, measure, count: int = 200, share: float = 0.95, seed: int = 0) -> DataFrame:

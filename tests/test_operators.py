@@ -156,3 +156,17 @@ def test_smoothed_bins_hold_no_column_in_one_task(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
     smoothed = T.smooth_bins(T.binned_mean(df, "x", "y", 10, True), 5)
     assert "percentile" not in smoothed._jdf.queryExecution().toString() and smoothed.count() == 5
+
+
+def test_discrete_information_of_a_tied_class_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tessitura.plans import registry
+
+    customer = pd.DataFrame({"c_acctbal": [5.0] * 6 + [0.5 * i * i for i in range(20)], "c_mktsegment": ["tied"] * 6 + ["spread"] * 20})
+    con = duckdb.connect()
+    con.register("customer", customer)
+    want = con.execute(registry.ORACLES["q_discrete_information"]).fetchone()[0]
+    got = M.discrete_information(spark.createDataFrame(customer.rename(columns={"c_acctbal": "x", "c_mktsegment": "y"}))).first()[0]
+    assert abs(got - want) < 1e-6
